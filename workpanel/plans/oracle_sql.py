@@ -322,6 +322,7 @@ def build() -> dict[str, str]:
         "positions_with_education": _q([("mv", MOVERS), ("mp", MOVER_ROWS), ("le", latest_edu(False))],
                                        WITH_EDU),
         "last_origin_state": _q(movers_clean(DAYS1095), LAST_ORIGIN),
+        "last_origin_state_unfilled": _q(movers_clean(DAYS1095), LAST_ORIGIN),
         "positions_with_origin": _q(movers_clean(DAYS1095) + [("lo", LAST_ORIGIN)],
                                     f"SELECT {spells_cols('last_origin_state')} FROM "
                                     "(SELECT g.*, lo.last_origin_state FROM g "

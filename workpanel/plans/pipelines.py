@@ -18,7 +18,7 @@ from workpanel.operators.cohorts import keep_keys, last_place, latest_education,
 from workpanel.operators.education import education_wide
 from workpanel.operators.expand import expand_months, expand_years
 from workpanel.operators.places import attach_city, merge_city_mapper, split_located
-from workpanel.operators.spells import clean_spells
+from workpanel.operators.spells import END, clean_spells, close_open, parse_dates
 
 KEY, TIE = "user_id", "position_id"
 
@@ -68,7 +68,7 @@ def mover_positions(positions: DataFrame, origin: str, destination: str,
                     ordered: bool = False) -> DataFrame:
     """All rows (any country) of people with rows in both countries."""
     if ordered:
-        from workpanel.operators.spells import START, parse_dates
+        from workpanel.operators.spells import START
         keys = movers(parse_dates(positions), origin, destination, ordered=True, start=START)
     else:
         keys = movers(positions, origin, destination)
@@ -98,21 +98,35 @@ def mover_university_year(positions: DataFrame, education: DataFrame, origin: st
     return year_cells(dest, ["onet_code", "university_location"])
 
 
-def mover_spells(positions: DataFrame, origin: str, destination: str,
-                 education: DataFrame | None = None, before: str | None = None,
-                 as_of=None) -> DataFrame:
+def mover_rows(positions: DataFrame, origin: str, destination: str,
+               education: DataFrame | None = None, before: str | None = None) -> DataFrame:
+    """Movers' rows; with ``before``, only people whose latest home degree
+    ended before it."""
     pos = mover_positions(positions, origin, destination)
     if before is not None:
         if education is None:
             raise ValueError("a cut-off needs the education table")
         pos = keep_keys(pos, latest_education(education, origin, before=before), KEY)
+    return pos
+
+
+def mover_spells(positions: DataFrame, origin: str, destination: str,
+                 education: DataFrame | None = None, before: str | None = None,
+                 as_of=None) -> DataFrame:
+    pos = mover_rows(positions, origin, destination, education, before)
     return clean_spells(pos, fallback="days:1095", as_of=as_of, key=KEY, tie=TIE)
 
 
-def positions_with_origin(spells: DataFrame, origin: str, destination: str,
-                          place: str = "state", out: str = "last_origin_state") -> DataFrame:
+def last_origin_place(rows: DataFrame, origin: str, place: str = "state",
+                      out: str = "last_origin_state", as_of=None) -> DataFrame:
+    """``user_id, <out>`` from raw rows.  Only the closed end date decides,
+    and it does not depend on the start-date fill, so the fill is skipped."""
+    ended = close_open(parse_dates(rows, {END: "enddate"}), as_of=as_of)
+    return last_place(ended, origin, place=place, out=out, key=KEY, tie=TIE)
+
+
+def positions_with_origin(spells: DataFrame, home: DataFrame, destination: str) -> DataFrame:
     """Destination rows with the place of the person's latest origin job."""
-    home = last_place(spells, origin, place=place, out=out, key=KEY, tie=TIE)
     return spells.filter(F.col("country") == F.lit(destination)).join(home, KEY, "left")
 
 
@@ -122,9 +136,11 @@ def mover_origin_year(positions: DataFrame, origin: str = "India",
                       out: str = "last_origin_state") -> DataFrame:
     """L5 / L6: ``onet_code, <out>, year, mean_salary, n_individuals``; spells
     whose end year is before their start year are left out."""
-    spells = mover_spells(positions, origin, destination, education, before, as_of)
-    rows = positions_with_origin(spells, origin, destination, place, out)
-    return year_cells(rows, ["onet_code", out], drop_reversed=True)
+    rows = mover_rows(positions, origin, destination, education, before)
+    spells = clean_spells(rows, fallback="days:1095", as_of=as_of, key=KEY, tie=TIE)
+    home = last_origin_place(rows, origin, place, out, as_of)
+    dest = positions_with_origin(spells, home, destination)
+    return year_cells(dest, ["onet_code", out], drop_reversed=True)
 
 
 # ---- education and places ---------------------------------------------------

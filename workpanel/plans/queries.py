@@ -266,8 +266,16 @@ def q_last_origin_state(spark, d):
     return last_place(_mover_spells(spark, d), ORIGIN)
 
 
+def q_last_origin_state_unfilled(spark, d):
+    """Same answer from the raw rows (no start-date fill needed)."""
+    rows = L.mover_rows(_pos(spark, d), ORIGIN, DESTINATION)
+    return L.last_origin_place(rows, ORIGIN, as_of=AS_OF)
+
+
 def q_positions_with_origin(spark, d):
-    return L.positions_with_origin(_mover_spells(spark, d), ORIGIN, DESTINATION)
+    rows = L.mover_rows(_pos(spark, d), ORIGIN, DESTINATION)
+    home = L.last_origin_place(rows, ORIGIN, as_of=AS_OF)
+    return L.positions_with_origin(_mover_spells(spark, d), home, DESTINATION)
 
 
 def q_running_last_state(spark, d):
