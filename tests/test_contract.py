@@ -1,0 +1,41 @@
+"""The driver contract: entry(), and every query against its DuckDB oracle."""
+
+import pytest
+
+from conftest import SF0001
+from oracle_check import compare, duck
+
+import __spark_entry__ as E
+
+# Expected sizes at sf0.001 (FIXTURES.md).
+EXPECTED = {
+    "cell_state_year": 769, "cell_state_month": 2139, "cell_university_year": 1795,
+    "cell_university_year_pre": 897, "cell_origin_year": 537, "cell_origin_year_pre": 371,
+    "education_wide": 150, "movers": 143, "latest_education": 149, "city_mapper_merged": 26,
+    "attach_city": 6000, "located_rows": 3606, "unlocated_users": 2394, "mapper_conflicts": 1,
+    "attach_city_plain_eq_located": 3606,
+}
+
+
+@pytest.fixture(scope="module")
+def con():
+    return duck(SF0001)
+
+
+def test_entry_runs_with_stable_schema(spark):
+    df = E.entry(spark)
+    assert df.columns == ["onet_code", "state", "year", "mean_salary", "n_individuals"]
+    assert [t for _, t in df.dtypes] == ["string", "string", "int", "double", "bigint"]
+    assert df.count() == 769
+
+
+def test_every_query_has_an_oracle():
+    assert set(E.queries()) == set(E.oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_query_matches_oracle(spark, con, name):
+    r = compare(spark, con, name, E.queries()[name], E.oracle_sql()[name], SF0001)
+    assert r["match"], r
+    if name in EXPECTED:
+        assert r["rows"] == EXPECTED[name]
