@@ -9,6 +9,8 @@ person key; the periods are generated per distinct span (see
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,15 @@ from workpanel.operators.spells import END, clean_spells, close_open, parse_date
 
 KEY, TIE = "user_id", "position_id"
 
+# A hook applied to the movers' rows, e.g. ``lambda df: materialize(spark,
+# df, "movers")``: movers are a small part of all rows, and each later branch
+# (fill donors, rows to fill, origin place, destination rows) reads them.
+Stage = Callable[[DataFrame], DataFrame]
+
+
+def _staged(df: DataFrame, stage: Stage | None) -> DataFrame:
+    return df if stage is None else stage(df)
+
 
 # ---- residents ------------------------------------------------------------
 
@@ -76,22 +87,23 @@ def mover_positions(positions: DataFrame, origin: str, destination: str,
 
 
 def positions_with_education(positions: DataFrame, education: DataFrame, origin: str,
-                             destination: str, before: str | None = None) -> DataFrame:
+                             destination: str, before: str | None = None,
+                             stage: Stage | None = None) -> DataFrame:
     """Mover rows with ``college_enddate, university_location`` of the latest
     home education.  With ``before`` only people whose latest home degree
     ended before it remain (the join becomes inner)."""
-    pos = mover_positions(positions, origin, destination)
+    pos = _staged(mover_positions(positions, origin, destination), stage)
     edu = latest_education(education, origin, before=before)
     return pos.join(edu, KEY, "left" if before is None else "inner")
 
 
 def mover_university_year(positions: DataFrame, education: DataFrame, origin: str = "India",
                           destination: str = "United States", before: str | None = None,
-                          as_of=None) -> DataFrame:
+                          as_of=None, stage: Stage | None = None) -> DataFrame:
     """L3 / L4: ``onet_code, university_location, year, mean_salary, n_individuals``
     over destination rows of movers.  A missing start falls back to the
     college end date, else three years before the end."""
-    pos = positions_with_education(positions, education, origin, destination, before)
+    pos = positions_with_education(positions, education, origin, destination, before, stage)
     spells = clean_spells(pos, fallback="years:3", prefer="college_enddate", as_of=as_of,
                           key=KEY, tie=TIE)
     dest = spells.filter(F.col("country") == F.lit(destination))
@@ -99,7 +111,8 @@ def mover_university_year(positions: DataFrame, education: DataFrame, origin: st
 
 
 def mover_rows(positions: DataFrame, origin: str, destination: str,
-               education: DataFrame | None = None, before: str | None = None) -> DataFrame:
+               education: DataFrame | None = None, before: str | None = None,
+               stage: Stage | None = None) -> DataFrame:
     """Movers' rows; with ``before``, only people whose latest home degree
     ended before it."""
     pos = mover_positions(positions, origin, destination)
@@ -107,7 +120,7 @@ def mover_rows(positions: DataFrame, origin: str, destination: str,
         if education is None:
             raise ValueError("a cut-off needs the education table")
         pos = keep_keys(pos, latest_education(education, origin, before=before), KEY)
-    return pos
+    return _staged(pos, stage)
 
 
 def mover_spells(positions: DataFrame, origin: str, destination: str,
@@ -133,10 +146,10 @@ def positions_with_origin(spells: DataFrame, home: DataFrame, destination: str)
 def mover_origin_year(positions: DataFrame, origin: str = "India",
                       destination: str = "United States", education: DataFrame | None = None,
                       before: str | None = None, as_of=None, place: str = "state",
-                      out: str = "last_origin_state") -> DataFrame:
+                      out: str = "last_origin_state", stage: Stage | None = None) -> DataFrame:
     """L5 / L6: ``onet_code, <out>, year, mean_salary, n_individuals``; spells
     whose end year is before their start year are left out."""
-    rows = mover_rows(positions, origin, destination, education, before)
+    rows = mover_rows(positions, origin, destination, education, before, stage)
     spells = clean_spells(rows, fallback="days:1095", as_of=as_of, key=KEY, tie=TIE)
     home = last_origin_place(rows, origin, place, out, as_of)
     dest = positions_with_origin(spells, home, destination)
