@@ -90,13 +90,14 @@ LOCATED = ("location IS NOT NULL AND location <> 'empty' AND city IS NOT NULL "
            "AND city <> 'empty'")
 
 
-def clean(src: str, fallback: str) -> list[tuple[str, str]]:
+def clean(src: str, fallback: str, fill: bool = True) -> list[tuple[str, str]]:
     """The cleaning block: parse, LAG fill, close at as-of, flag, fallback."""
+    lag = ("LAG(ed) OVER (PARTITION BY user_id ORDER BY sd ASC NULLS FIRST, "
+           "ed ASC NULLS FIRST, position_id ASC)" if fill else "CAST(NULL AS DATE)")
     return [
         ("src", src),
         ("p", "SELECT *, TRY_CAST(startdate AS DATE) AS sd, TRY_CAST(enddate AS DATE) AS ed FROM src"),
-        ("l", "SELECT *, LAG(ed) OVER (PARTITION BY user_id ORDER BY sd ASC NULLS FIRST, "
-              "ed ASC NULLS FIRST, position_id ASC) AS pe FROM p"),
+        ("l", f"SELECT *, {lag} AS pe FROM p"),
         ("f", f"SELECT *, COALESCE(sd, pe) AS s0, COALESCE(ed, DATE '{AS_OF}') AS e0 FROM l"),
         ("g", f"SELECT *, COALESCE(s0, {fallback}) AS s1, "
               "CASE WHEN s0 IS NULL THEN 1 ELSE 0 END AS start_date_flag FROM f"),
@@ -303,6 +304,9 @@ def build() -> dict[str, str]:
                                      cells("onet_code, state, year", people=True)),
         "sql_cell_means": cell_state_year,
         "cell_state_month": cell_state_month,
+        "stream_cell_state_year": _q(
+            clean(f"SELECT * FROM positions WHERE country = '{ORIGIN}'", YEARS3, fill=False)
+            + [year_panel("gy")], cells("onet_code, state, year")),
         "cell_university_year": _q(university_rows(False),
                                    cells("onet_code, university_location, year")),
         "cell_university_year_pre": _q(university_rows(True),

@@ -231,6 +231,19 @@ def q_cell_origin_year_pre(spark, d):
                                before=CUTOFF, as_of=AS_OF)
 
 
+def q_stream_cell_state_year(spark, d):
+    """Structured Streaming: the positions arrive as Parquet files; the
+    stateless cleaning and the cell aggregate run as a streaming query."""
+    from workpanel.streaming.panel_stream import (read_positions_stream, stream_year_cells,
+                                                  write_snapshots)
+    src = write_table(_pos(spark, d).repartition(4), scratch_path(spark, "stream_src"))
+    out = scratch_path(spark, "stream_cells")
+    cells = stream_year_cells(read_positions_stream(spark, src, max_files_per_trigger=1),
+                              ORIGIN, as_of=AS_OF)
+    write_snapshots(cells, out).awaitTermination()
+    return spark.read.parquet(out)
+
+
 # ---- cohorts --------------------------------------------------------------------
 
 def q_movers(spark, d):
