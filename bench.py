@@ -6,7 +6,9 @@ The work-history tables are first derived from the test tables and written
 as Parquet under the shared checkpoint folder (timed apart as ``prepare``);
 each job then reads them like a production run reads its Parquet folders
 and is executed to the end with the ``noop`` sink (no driver collect).
-Reported per job: median of ``BENCH_REPEAT`` (default 3) warm runs.
+Reported per job: median of ``BENCH_REPEAT`` (default 5) warm runs; beside
+them, ``plain_forms`` times the straightforward plans for comparison
+(``BENCH_PLAIN=0`` skips them, ``BENCH_PLAIN=all`` adds the slow key-list one).
 Prints one JSON line.
 """
 
@@ -58,6 +60,54 @@ def jobs(spark, pos_path, edu_path, map_paths):
     }
 
 
+def plain_forms(spark, pos_path, edu_path):
+    """The straightforward plans, for comparison only: a global sort before a
+    per-person window, the window ``lag`` fill, a key list collected to the
+    driver and shipped back as ``isin``, a ``row_number`` top-1 and a Python
+    UDF.  Same results as the jobs above (checked in tests/test_rewrites.py
+    for the window parts)."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from workpanel.functions.codes import KEPT_DEGREES, OTHER_LEVEL
+    from workpanel.operators.cells import cell_means
+    from workpanel.operators.education import WIDE_COLUMNS, education_marked
+    from workpanel.operators.expand import expand_years
+    from workpanel.operators.spells import END, START, backfill_start, close_open, parse_dates
+
+    def window_clean(df, fallback):
+        df = parse_dates(df).orderBy("user_id", START)
+        w = Window.partitionBy("user_id").orderBy(START)
+        df = df.withColumn(START, F.coalesce(F.col(START), F.lag(END).over(w)))
+        return backfill_start(close_open(df, as_of=AS_OF), fallback=fallback)
+
+    def l1():
+        p = read_positions(spark, pos_path).filter(F.col("country") == ORIGIN)
+        return cell_means(expand_years(window_clean(p, "years:3")), ["onet_code", "state", "year"])
+
+    def l5():
+        p = read_positions(spark, pos_path)
+        a = p.filter(F.col("country") == ORIGIN).select("user_id")
+        b = p.filter(F.col("country") == DESTINATION).select("user_id")
+        ids = [r[0] for r in a.join(b, "user_id").select("user_id").collect()]
+        s = window_clean(p.filter(F.col("user_id").isin(ids)), "days:1095")
+        w = Window.partitionBy("user_id").orderBy(F.col(END).desc())
+        home = (s.filter(F.col("country") == ORIGIN).orderBy("user_id", END)
+                .withColumn("rn", F.row_number().over(w)).filter("rn = 1")
+                .select("user_id", F.col("state").alias("last_origin_state")))
+        d = s.filter(F.col("country") == DESTINATION).join(home, "user_id", "left")
+        d = expand_years(d, drop_reversed=True)
+        return cell_means(d, ["onet_code", "last_origin_state", "year"])
+
+    def l7():
+        level = F.udf(lambda x: x if x in KEPT_DEGREES else OTHER_LEVEL, "string")
+        e = read_education(spark, edu_path).withColumn("degree", level("degree"))
+        m = education_marked(e)
+        return m.groupBy("user_id").agg(*[F.first(c, ignorenulls=True).alias(c)
+                                          for c in WIDE_COLUMNS])
+
+    return {"L1_cell_state_year": l1, "L5_cell_origin_year": l5, "L7_education_wide": l7}
+
+
 def run(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
@@ -65,7 +115,7 @@ def run(df) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "5"))
     spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus * 2,
                           extra={"spark.driver.memory": os.environ.get("BENCH_MEM", "16g")})
     t0 = time.time()
@@ -80,6 +130,19 @@ def main() -> None:
             run(make())
             runs.append(time.time() - t)
         times[name] = round(statistics.median(runs), 3)
+    plain = {}
+    which = os.environ.get("BENCH_PLAIN", "1")  # "0": none, "1": fast ones, "all"
+    if which != "0":
+        for name, make in plain_forms(spark, paths[0], paths[1]).items():
+            if name.startswith("L5") and which != "all":
+                continue  # the shipped key list takes minutes (382 s at sf0.1)
+            run(make())
+            runs = []
+            for _ in range(repeat):
+                t = time.time()
+                run(make())
+                runs.append(time.time() - t)
+            plain[name] = round(statistics.median(runs), 3)
     sf = os.path.basename(sf_dir).removeprefix("sf")
     print(json.dumps({
         "metric": "sum of median job seconds (L1-L9)",
@@ -87,6 +150,7 @@ def main() -> None:
         "unit": "sec",
         "queries": times,
         "prepare_sec": round(prep, 3),
+        "plain_forms": plain,
         "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
         "cpus": cpus,
         "repeat": repeat,
