@@ -20,13 +20,14 @@ from workpanel.operators.expand import expand_years
 from workpanel.operators.places import mapper_conflicts
 from workpanel.plans import pipelines as L
 from workpanel.session import build_session
-from workpanel.sources.readers import read_city_mapper, read_education, read_positions
+from workpanel.sources.readers import (SOURCE_FILE, read_city_mapper, read_education,
+                                       read_positions, with_source_file)
 from workpanel.sources.writers import materialize, write_table
 
 
 def _common(p: argparse.ArgumentParser) -> None:
     p.add_argument("--out", required=True, help="output folder")
-    p.add_argument("--format", choices=["csv", "parquet"], default="parquet")
+    p.add_argument("--format", choices=["csv", "parquet", "text"], default="parquet")
     p.add_argument("--mode", default="errorifexists",
                    choices=["errorifexists", "ignore", "overwrite", "append"])
     p.add_argument("--as-of", default=None,
@@ -90,6 +91,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--city-csv", nargs="*", default=None)
     p.add_argument("--unlocated-out", required=True)
     p.add_argument("--plain-keys", action="store_true", help="null keys do not match")
+    p.add_argument("--by-source-file", action="store_true",
+                   help="one output folder per positions file (source_file=...)")
     _common(p)
     return ap
 
@@ -146,10 +149,14 @@ def run(spark: SparkSession, a) -> None:
             mapper = L.city_mapper([read_city_mapper(spark, p) for p in a.city_csv])
         else:
             raise SystemExit("give --mapper or --city-csv")
-        located, unlocated = L.positions_with_city(read_positions(spark, a.positions), mapper,
-                                                   null_safe=not a.plain_keys)
+        pos = read_positions(spark, a.positions)
+        if a.by_source_file:
+            pos = with_source_file(pos)
+            a.partition_by = (a.partition_by or []) + [SOURCE_FILE]
+        located, unlocated = L.positions_with_city(pos, mapper, null_safe=not a.plain_keys)
         _write(located, a)
-        _write(unlocated, a, a.unlocated_out)
+        # one user id per line, repeats kept (one per unlocated row)
+        write_table(unlocated, a.unlocated_out, fmt="text", mode=a.mode)
 
 
 def main(argv: list[str] | None = None) -> int:

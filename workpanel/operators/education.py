@@ -59,7 +59,9 @@ def education_wide(df: DataFrame, key: str = "user_id", degree: str = "degree",
         m = blank_sentinel(m, cols=WIDE_COLUMNS)
     if order == "latest":
         m = m.withColumn("_d", parse_date(date))
-        k = sort_key(m, [("_d", "desc", "last"), (tie, "asc", "last")])
+        # the order key is built once per row, then shared by the 18 aggregates
+        m = m.withColumn("_k", sort_key(m, [("_d", "desc", "last"), (tie, "asc", "last")]))
+        k = F.col("_k")
         aggs = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), k)).alias(c) for c in WIDE_COLUMNS]
     elif order == "any":
         aggs = [F.first(c, ignorenulls=True).alias(c) for c in WIDE_COLUMNS]

@@ -8,6 +8,7 @@ is Spark's.  Known columns are checked, extra columns are carried through.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from workpanel.operators.places import union_parts
@@ -39,6 +40,16 @@ def require_columns(df: DataFrame, needed, what: str) -> DataFrame:
     return df
 
 
+SOURCE_FILE = "source_file"
+
+
+def with_source_file(df: DataFrame, name: str = SOURCE_FILE) -> DataFrame:
+    """Add the path of the file each row was read from (file sources only);
+    with ``partitionBy(name)`` on write, outputs keep one folder per input
+    file."""
+    return df.withColumn(name, F.col("_metadata.file_path"))
+
+
 def _parquet(spark: SparkSession, path: str | list[str], schema: T.StructType | None,
              rebase: bool) -> DataFrame:
     r = spark.read.option("pathGlobFilter", "*.parquet")

@@ -19,7 +19,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
                 max_records_per_file: int | None = None) -> str:
     """Write ``df`` to ``path``.  ``mode``: ``errorifexists`` (default),
     ``ignore`` (write only if absent), ``overwrite`` or ``append``.  CSV gets
-    a header row."""
+    a header row; ``text`` writes one value per line (one column only)."""
     if ordered:
         df = df.orderBy(*ordered)
     w = df.write.mode(mode)
@@ -31,8 +31,12 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
         w.option("header", True).csv(path)
     elif fmt == "parquet":
         w.parquet(path)
+    elif fmt == "text":
+        if len(df.columns) != 1 or partition_by:
+            raise ValueError("text output takes exactly one column and no partitioning")
+        df.select(df[df.columns[0]].cast("string")).write.mode(mode).text(path)
     else:
-        raise ValueError(f"fmt must be 'csv' or 'parquet', got {fmt!r}")
+        raise ValueError(f"fmt must be 'csv', 'parquet' or 'text', got {fmt!r}")
     return path
 
 
