@@ -71,3 +71,23 @@ def test_movers_are_a_semi_join_not_a_key_list(tables):
 def test_ansi_defaults_are_kept(spark):
     assert spark.conf.get("spark.sql.ansi.enabled") == "true"
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_mover_rows_are_not_reshuffled_after_the_fill(spark, tables):
+    """With sort-merge joins (what AQE picks when the movers do not fit the
+    broadcast threshold) the per-person place joins the rows while they are
+    still partitioned by person: no shuffle sits on top of the fill's union."""
+    P, E = tables
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = JOBS["L5"](P, E)
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    lines = [l for l in final.splitlines() if l.strip()]
+    for i, line in enumerate(lines):
+        if line.strip().startswith("+- Union") or line.strip().startswith(":- Union"):
+            assert "Exchange hashpartitioning(user_id" not in lines[i - 1], lines[i - 1]
+    assert "SortMergeJoin" in final

@@ -150,9 +150,13 @@ def mover_origin_year(positions: DataFrame, origin: str = "India",
     """L5 / L6: ``onet_code, <out>, year, mean_salary, n_individuals``; spells
     whose end year is before their start year are left out."""
     rows = mover_rows(positions, origin, destination, education, before, stage)
-    spells = clean_spells(rows, fallback="days:1095", as_of=as_of, key=KEY, tie=TIE)
     home = last_origin_place(rows, origin, place, out, as_of)
-    dest = positions_with_origin(spells, home, destination)
+    # Attach the per-person place before the fill: both sides are already
+    # partitioned by person after the movers' semi-join, so this join needs
+    # no shuffle of its own (after the fill the rows are no longer so).
+    spells = clean_spells(rows.join(home, KEY, "left"), fallback="days:1095", as_of=as_of,
+                          key=KEY, tie=TIE)
+    dest = spells.filter(F.col("country") == F.lit(destination))
     return year_cells(dest, ["onet_code", out], drop_reversed=True)
 
 
