@@ -44,6 +44,11 @@ def _movers(p: argparse.ArgumentParser) -> None:
                                                   "ended before this date")
     p.add_argument("--no-stage", action="store_true",
                    help="do not write the movers' rows to the checkpoint folder first")
+    p.add_argument("--ordered", action="store_true",
+                   help="movers only if the first origin job started before the last "
+                        "destination job")
+    p.add_argument("--years", choices=["as_coded", "forward"], default="as_coded")
+    p.add_argument("--distinct-people", action="store_true")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -62,6 +67,7 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("resident-month", help="L2: cells by major group, state, month")
     p.add_argument("--positions", required=True)
     p.add_argument("--country", default="India")
+    p.add_argument("--distinct-people", action="store_true")
     _common(p)
 
     p = sub.add_parser("mover-university-year", help="L3/L4: cells by university location")
@@ -121,18 +127,21 @@ def run(spark: SparkSession, a) -> None:
         _write(year_cells(spells, ["onet_code", "state"], mode=a.years,
                           distinct_people=a.distinct_people), a)
     elif a.job == "resident-month":
-        _write(L.resident_month(read_positions(spark, a.positions), a.country, a.as_of), a)
+        _write(L.resident_month(read_positions(spark, a.positions), a.country, a.as_of,
+                                distinct_people=a.distinct_people), a)
     elif a.job == "mover-university-year":
         if a.education is None:
             raise SystemExit("--education is required")
         _write(L.mover_university_year(
             read_positions(spark, a.positions), read_education(spark, a.education),
-            a.origin, a.destination, a.before, a.as_of, stage=_stage(spark, a)), a)
+            a.origin, a.destination, a.before, a.as_of, stage=_stage(spark, a),
+            ordered=a.ordered, mode=a.years, distinct_people=a.distinct_people), a)
     elif a.job == "mover-origin-year":
         edu = read_education(spark, a.education) if a.education else None
         _write(L.mover_origin_year(
             read_positions(spark, a.positions), a.origin, a.destination, edu, a.before,
-            a.as_of, a.place, a.place_name, stage=_stage(spark, a)), a)
+            a.as_of, a.place, a.place_name, stage=_stage(spark, a), ordered=a.ordered,
+            mode=a.years, distinct_people=a.distinct_people), a)
     elif a.job == "education-wide":
         _write(L.education_profile(read_education(spark, a.education), order=a.order,
                                    clean_first=a.clean_first), a)

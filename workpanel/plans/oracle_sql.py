@@ -150,16 +150,24 @@ def resident(fallback: str) -> list[tuple[str, str]]:
     return clean(f"SELECT * FROM positions WHERE country = '{ORIGIN}'", fallback)
 
 
-def movers_clean(fallback: str, src: str = MOVER_ROWS, pre: bool = False) -> list[tuple[str, str]]:
-    head = [("mv", MOVERS)]
+MOVERS_ORDERED = ("SELECT user_id FROM (SELECT *, TRY_CAST(startdate AS DATE) AS sd0 FROM positions) q "
+                  "WHERE user_id IS NOT NULL GROUP BY user_id "
+                  f"HAVING bool_or(country = '{ORIGIN}') AND bool_or(country = '{DESTINATION}') "
+                  f"AND MIN(CASE WHEN country = '{ORIGIN}' THEN sd0 END) < "
+                  f"MAX(CASE WHEN country = '{DESTINATION}' THEN sd0 END)")
+
+
+def movers_clean(fallback: str, src: str = MOVER_ROWS, pre: bool = False,
+                 ordered: bool = False) -> list[tuple[str, str]]:
+    head = [("mv", MOVERS_ORDERED if ordered else MOVERS)]
     if pre:
         head.append(("le", latest_edu(True)))
     return head + [("mp", src)] + clean("SELECT * FROM mp", fallback)
 
 
-def origin_rows(pre: bool) -> list[tuple[str, str]]:
+def origin_rows(pre: bool, ordered: bool = False) -> list[tuple[str, str]]:
     src = MOVER_ROWS + (" AND user_id IN (SELECT user_id FROM le)" if pre else "")
-    return movers_clean(DAYS1095, src, pre) + [
+    return movers_clean(DAYS1095, src, pre, ordered) + [
         ("lo", LAST_ORIGIN),
         ("dest", f"SELECT d.*, lo.last_origin_state FROM gy d LEFT JOIN lo ON d.user_id = lo.user_id "
                  f"WHERE d.country = '{DESTINATION}'"),
@@ -313,6 +321,15 @@ def build() -> dict[str, str]:
                                        cells("onet_code, university_location, year")),
         "cell_origin_year": cell_origin_year,
         "cell_origin_year_pre": _q(origin_rows(True), cells("onet_code, last_origin_state, year")),
+        "cell_origin_year_ordered": _q(origin_rows(False, ordered=True),
+                                       cells("onet_code, last_origin_state, year")),
+        "cell_state_month_people": _q(month_rows(),
+                                      "SELECT split_part(onet_code, '-', 1) AS onet_code_f2, state, "
+                                      "strftime(year_month, '%Y-%m') AS year_month, "
+                                      + MEAN.replace("COUNT(salary) AS n_individuals",
+                                                     "COUNT(DISTINCT CASE WHEN salary IS NOT NULL "
+                                                     "THEN user_id END) AS n_individuals")
+                                      + " FROM panel GROUP BY 1, 2, 3"),
         # cohorts
         "movers": _q([], MOVERS),
         "movers_ordered": _q([("p", "SELECT *, TRY_CAST(startdate AS DATE) AS sd FROM positions")],

@@ -61,11 +61,12 @@ def resident_year_panel(positions: DataFrame, country: str = "India", as_of=None
 
 
 def resident_month(positions: DataFrame, country: str = "India", as_of=None,
-                   exact_scale: int | None = 2) -> DataFrame:
+                   exact_scale: int | None = 2, distinct_people: bool = False) -> DataFrame:
     """L2: ``onet_code_f2, state, year_month, mean_salary, n_individuals``."""
     spells = resident_spells(positions, country, "days:1095", as_of)
     spells = spells.withColumn("onet_code_f2", occupation_major("onet_code"))
-    return month_cells(spells, ["onet_code_f2", "state"], exact_scale=exact_scale)
+    return month_cells(spells, ["onet_code_f2", "state"], exact_scale=exact_scale,
+                       distinct_people=distinct_people)
 
 
 def resident_month_panel(positions: DataFrame, country: str = "India", as_of=None) -> DataFrame:
@@ -88,34 +89,39 @@ def mover_positions(positions: DataFrame, origin: str, destination: str,
 
 def positions_with_education(positions: DataFrame, education: DataFrame, origin: str,
                              destination: str, before: str | None = None,
-                             stage: Stage | None = None) -> DataFrame:
+                             stage: Stage | None = None, ordered: bool = False) -> DataFrame:
     """Mover rows with ``college_enddate, university_location`` of the latest
     home education.  With ``before`` only people whose latest home degree
     ended before it remain (the join becomes inner)."""
-    pos = _staged(mover_positions(positions, origin, destination), stage)
+    pos = _staged(mover_positions(positions, origin, destination, ordered), stage)
     edu = latest_education(education, origin, before=before)
     return pos.join(edu, KEY, "left" if before is None else "inner")
 
 
 def mover_university_year(positions: DataFrame, education: DataFrame, origin: str = "India",
                           destination: str = "United States", before: str | None = None,
-                          as_of=None, stage: Stage | None = None) -> DataFrame:
+                          as_of=None, stage: Stage | None = None, ordered: bool = False,
+                          mode: str = "as_coded", distinct_people: bool = False) -> DataFrame:
     """L3 / L4: ``onet_code, university_location, year, mean_salary, n_individuals``
     over destination rows of movers.  A missing start falls back to the
-    college end date, else three years before the end."""
-    pos = positions_with_education(positions, education, origin, destination, before, stage)
+    college end date, else three years before the end.  ``ordered``: only
+    people whose first origin job started before their last destination
+    job."""
+    pos = positions_with_education(positions, education, origin, destination, before, stage,
+                                   ordered)
     spells = clean_spells(pos, fallback="years:3", prefer="college_enddate", as_of=as_of,
                           key=KEY, tie=TIE)
     dest = spells.filter(F.col("country") == F.lit(destination))
-    return year_cells(dest, ["onet_code", "university_location"])
+    return year_cells(dest, ["onet_code", "university_location"], mode=mode,
+                      distinct_people=distinct_people)
 
 
 def mover_rows(positions: DataFrame, origin: str, destination: str,
                education: DataFrame | None = None, before: str | None = None,
-               stage: Stage | None = None) -> DataFrame:
+               stage: Stage | None = None, ordered: bool = False) -> DataFrame:
     """Movers' rows; with ``before``, only people whose latest home degree
     ended before it."""
-    pos = mover_positions(positions, origin, destination)
+    pos = mover_positions(positions, origin, destination, ordered)
     if before is not None:
         if education is None:
             raise ValueError("a cut-off needs the education table")
@@ -146,10 +152,12 @@ def positions_with_origin(spells: DataFrame, home: DataFrame, destination: str)
 def mover_origin_year(positions: DataFrame, origin: str = "India",
                       destination: str = "United States", education: DataFrame | None = None,
                       before: str | None = None, as_of=None, place: str = "state",
-                      out: str = "last_origin_state", stage: Stage | None = None) -> DataFrame:
+                      out: str = "last_origin_state", stage: Stage | None = None,
+                      ordered: bool = False, mode: str = "as_coded",
+                      distinct_people: bool = False) -> DataFrame:
     """L5 / L6: ``onet_code, <out>, year, mean_salary, n_individuals``; spells
     whose end year is before their start year are left out."""
-    rows = mover_rows(positions, origin, destination, education, before, stage)
+    rows = mover_rows(positions, origin, destination, education, before, stage, ordered)
     home = last_origin_place(rows, origin, place, out, as_of)
     # Attach the per-person place before the fill: both sides are already
     # partitioned by person after the movers' semi-join, so this join needs
@@ -157,7 +165,8 @@ def mover_origin_year(positions: DataFrame, origin: str = "India",
     spells = clean_spells(rows.join(home, KEY, "left"), fallback="days:1095", as_of=as_of,
                           key=KEY, tie=TIE)
     dest = spells.filter(F.col("country") == F.lit(destination))
-    return year_cells(dest, ["onet_code", out], drop_reversed=True)
+    return year_cells(dest, ["onet_code", out], drop_reversed=True, mode=mode,
+                      distinct_people=distinct_people)
 
 
 # ---- education and places ---------------------------------------------------

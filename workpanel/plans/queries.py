@@ -226,6 +226,14 @@ def q_cell_origin_year(spark, d):
     return L.mover_origin_year(_pos(spark, d), ORIGIN, DESTINATION, as_of=AS_OF)
 
 
+def q_cell_origin_year_ordered(spark, d):
+    return L.mover_origin_year(_pos(spark, d), ORIGIN, DESTINATION, as_of=AS_OF, ordered=True)
+
+
+def q_cell_state_month_people(spark, d):
+    return L.resident_month(_pos(spark, d), ORIGIN, AS_OF, distinct_people=True)
+
+
 def q_cell_origin_year_pre(spark, d):
     return L.mover_origin_year(_pos(spark, d), ORIGIN, DESTINATION, education=_edu(spark, d),
                                before=CUTOFF, as_of=AS_OF)
