@@ -152,3 +152,22 @@ def test_same_result_at_any_shuffle_width(spark):
         assert rows(L.mover_origin_year(shuffled, as_of="2002-01-01")) == results[0]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_string_person_key_and_ansi_off(spark):
+    """user_id as text and a session with ANSI off."""
+    from workpanel.plans import pipelines as L
+    p = positions(spark, 8).withColumn("user_id", F.col("user_id").cast("string"))
+    base = rows(L.mover_origin_year(positions(spark, 8), as_of="2002-01-01"))
+    assert rows(L.mover_origin_year(p, as_of="2002-01-01")) == base
+    w = Window.partitionBy("user_id").orderBy(F.col(START).asc_nulls_first(),
+                                              F.col(END).asc_nulls_first(), "position_id")
+    q = parse_dates(p)
+    plain = q.withColumn(START, F.coalesce(START, F.lag(END).over(w)))
+    assert rows(fill_start(q), "position_id", START) == rows(plain, "position_id", START)
+    old = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        assert rows(L.mover_origin_year(positions(spark, 8), as_of="2002-01-01")) == base
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", old)

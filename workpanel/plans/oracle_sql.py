@@ -368,6 +368,7 @@ def build() -> dict[str, str]:
                                                  "HAVING COUNT(*) > 1"),
         "attach_city": _q(attach(), "SELECT * FROM att"),
         "located_rows": _q(attach(), f"SELECT * FROM att WHERE {LOCATED}"),
+        "stream_located_rows": _q(attach(), f"SELECT * FROM att WHERE {LOCATED}"),
         "unlocated_users": _q(attach(), f"SELECT user_id FROM att WHERE NOT COALESCE({LOCATED}, FALSE)"),
         "attach_city_plain_eq_located": _q(attach(False), f"SELECT * FROM att WHERE {LOCATED}"),
     }

@@ -252,6 +252,18 @@ def q_stream_cell_state_year(spark, d):
     return spark.read.parquet(out)
 
 
+def q_stream_located_rows(spark, d):
+    """Structured Streaming: position files arrive; each row is joined to the
+    static look-up and located rows are appended to Parquet."""
+    from workpanel.streaming.panel_stream import (read_positions_stream, stream_located,
+                                                  write_appends)
+    src = write_table(_pos(spark, d).repartition(4), scratch_path(spark, "stream_src"))
+    out = scratch_path(spark, "stream_located")
+    rows = read_positions_stream(spark, src, max_files_per_trigger=1)
+    write_appends(stream_located(rows, _mapper(spark, d)), out).awaitTermination()
+    return spark.read.parquet(out)
+
+
 # ---- cohorts --------------------------------------------------------------------
 
 def q_movers(spark, d):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from workpanel.operators.cells import cell_means
 from workpanel.operators.expand import expand_years
-from workpanel.operators.places import attach_city
+from workpanel.operators.places import attach_city, split_located
 from workpanel.operators.spells import backfill_start, close_open, parse_dates
 from workpanel.session import scratch_path
 from workpanel.sources.readers import POSITIONS_SCHEMA
@@ -64,3 +64,21 @@ def write_snapshots(cells: DataFrame, out: str, checkpoint: str | None = None,
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
+
+
+def stream_located(rows: DataFrame, mapper: DataFrame, null_safe: bool = True) -> DataFrame:
+    """L9 on a stream: each arriving position row joined to the static
+    look-up (stream-static left join, no state), located rows only."""
+    return split_located(attach_city(rows, mapper, null_safe=null_safe))[0]
+
+
+def write_appends(rows: DataFrame, out: str, checkpoint: str | None = None,
+                  available_now: bool = True):
+    """Append a stateless stream to Parquet files at ``out``; the file sink's
+    log plus the checkpoint make each input file count exactly once."""
+    spark = rows.sparkSession
+    checkpoint = checkpoint or scratch_path(spark, "stream_checkpoint")
+    w = (rows.writeStream.format("parquet").outputMode("append").option("path", out)
+         .option("checkpointLocation", checkpoint))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()
