@@ -171,3 +171,21 @@ def test_string_person_key_and_ansi_off(spark):
         assert rows(L.mover_origin_year(positions(spark, 8), as_of="2002-01-01")) == base
     finally:
         spark.conf.set("spark.sql.ansi.enabled", old)
+
+
+@pytest.mark.parametrize("hot_rows", [0, 25])
+def test_spread_joins_give_the_plain_join_results(spark, join_mode, hot_rows):
+    """Hot people's rows spread over buckets: same rows as no spreading."""
+    from conftest import SF0001
+    from workpanel.plans import pipelines as L
+    from workpanel.sources import fixtures as fx
+    P, E = fx.positions(spark, SF0001), fx.education(spark, SF0001)
+    for job in (lambda h: L.mover_origin_year(P, as_of="2002-01-01", hot_rows=h),
+                lambda h: L.mover_origin_year(P, education=E, before="1990-01-01",
+                                              as_of="2002-01-01", hot_rows=h),
+                lambda h: L.mover_university_year(P, E, as_of="2002-01-01", hot_rows=h),
+                lambda h: L.mover_university_year(P, E, before="1990-01-01",
+                                                  as_of="2002-01-01", hot_rows=h)):
+        assert rows(job(hot_rows)) == rows(job(None))
+    assert (L.mover_positions(P, "India", "United States", hot_rows=hot_rows).count()
+            == L.mover_positions(P, "India", "United States", hot_rows=None).count())

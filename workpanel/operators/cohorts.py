@@ -40,6 +40,27 @@ def movers(df: DataFrame, origin: str, destination: str, key: str = "user_id",
     return g.filter(cond).select(key)
 
 
+def mover_counts(df: DataFrame, origin: str, destination: str, key: str = "user_id",
+                 country: str = "country", ordered: bool = False,
+                 start: str | None = None) -> DataFrame:
+    """``key, n_rows``: the movers (as ``movers``) with how many rows each
+    has in the whole table, any country, from the same single grouped pass;
+    the counts name the people whose rows must be spread in later joins."""
+    c = F.col(country)
+    is_o, is_d = c == F.lit(origin), c == F.lit(destination)
+    aggs = [F.bool_or(is_o).alias("_o"), F.bool_or(is_d).alias("_d"),
+            F.count(F.lit(1)).alias("n_rows")]
+    cond = F.col("_o") & F.col("_d")
+    if ordered:
+        if start is None:
+            raise ValueError("ordered=True needs the parsed start column")
+        aggs += [F.min(F.when(is_o, F.col(start))).alias("_o0"),
+                 F.max(F.when(is_d, F.col(start))).alias("_d1")]
+        cond = cond & (F.col("_o0") < F.col("_d1"))
+    g = df.filter(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
+    return g.filter(F.coalesce(cond, F.lit(False))).select(key, "n_rows")
+
+
 def keep_keys(df: DataFrame, keys: DataFrame, key: str = "user_id") -> DataFrame:
     """Rows of ``df`` whose key is in ``keys`` (left semi join)."""
     return df.join(keys.select(key), on=key, how="left_semi")

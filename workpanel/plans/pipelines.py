@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from workpanel.functions.codes import occupation_major
 from workpanel.operators.cells import month_cells, year_cells
-from workpanel.operators.cohorts import keep_keys, last_place, latest_education, movers
+from workpanel.operators.cohorts import last_place, latest_education, mover_counts
+from workpanel.operators.skew import HOT_ROWS, SALT, hot_keys, salt_rows, spread_join
 from workpanel.operators.education import education_wide
 from workpanel.operators.expand import expand_months, expand_years
 from workpanel.operators.places import attach_city, merge_city_mapper, split_located
@@ -76,39 +77,66 @@ def resident_month_panel(positions: DataFrame, country: str = "India", as_of=Non
 
 # ---- movers ---------------------------------------------------------------
 
-def mover_positions(positions: DataFrame, origin: str, destination: str,
-                    ordered: bool = False) -> DataFrame:
-    """All rows (any country) of people with rows in both countries."""
+def mover_set(positions: DataFrame, origin: str, destination: str,
+              ordered: bool = False) -> DataFrame:
+    """``user_id, n_rows`` of the movers."""
     if ordered:
         from workpanel.operators.spells import START
-        keys = movers(parse_dates(positions), origin, destination, ordered=True, start=START)
-    else:
-        keys = movers(positions, origin, destination)
-    return keep_keys(positions, keys, KEY)
+        return mover_counts(parse_dates(positions), origin, destination, ordered=True,
+                            start=START)
+    return mover_counts(positions, origin, destination)
+
+
+def _hot(movers: DataFrame, hot_rows: int | None) -> DataFrame | None:
+    """Movers with more than ``hot_rows`` rows (``None``: never spread)."""
+    return None if hot_rows is None else hot_keys(movers, KEY, threshold=hot_rows)
+
+
+def _salted_movers(positions: DataFrame, origin: str, destination: str, ordered: bool,
+                   hot_rows: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Movers' rows, each with the bucket ``_salt`` (0 unless its person is
+    hot), and the hot people; per-person tables join on (person, bucket)."""
+    ms = mover_set(positions, origin, destination, ordered)
+    hot = _hot(ms, hot_rows)
+    rows = positions if hot is None else salt_rows(positions, KEY, hot, TIE)
+    return spread_join(rows, ms.select(KEY), KEY, "left_semi", hot), hot
+
+
+def _unsalt(df: DataFrame) -> DataFrame:
+    return df.drop(SALT)
+
+
+def mover_positions(positions: DataFrame, origin: str, destination: str,
+                    ordered: bool = False, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """All rows (any country) of people with rows in both countries."""
+    return _unsalt(_salted_movers(positions, origin, destination, ordered, hot_rows)[0])
 
 
 def positions_with_education(positions: DataFrame, education: DataFrame, origin: str,
                              destination: str, before: str | None = None,
-                             stage: Stage | None = None, ordered: bool = False) -> DataFrame:
+                             stage: Stage | None = None, ordered: bool = False,
+                             hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Mover rows with ``college_enddate, university_location`` of the latest
     home education.  With ``before`` only people whose latest home degree
     ended before it remain (the join becomes inner)."""
-    pos = _staged(mover_positions(positions, origin, destination, ordered), stage)
+    pos, hot = _salted_movers(positions, origin, destination, ordered, hot_rows)
+    pos = _staged(pos, stage)
     edu = latest_education(education, origin, before=before)
-    return pos.join(edu, KEY, "left" if before is None else "inner")
+    return _unsalt(spread_join(pos, edu, KEY, "left" if before is None else "inner", hot))
 
 
 def mover_university_year(positions: DataFrame, education: DataFrame, origin: str = "India",
                           destination: str = "United States", before: str | None = None,
                           as_of=None, stage: Stage | None = None, ordered: bool = False,
-                          mode: str = "as_coded", distinct_people: bool = False) -> DataFrame:
+                          mode: str = "as_coded", distinct_people: bool = False,
+                          hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """L3 / L4: ``onet_code, university_location, year, mean_salary, n_individuals``
     over destination rows of movers.  A missing start falls back to the
     college end date, else three years before the end.  ``ordered``: only
     people whose first origin job started before their last destination
     job."""
     pos = positions_with_education(positions, education, origin, destination, before, stage,
-                                   ordered)
+                                   ordered, hot_rows)
     spells = clean_spells(pos, fallback="years:3", prefer="college_enddate", as_of=as_of,
                           key=KEY, tie=TIE)
     dest = spells.filter(F.col("country") == F.lit(destination))
@@ -118,15 +146,23 @@ def mover_university_year(positions: DataFrame, education: DataFrame, origin: st
 
 def mover_rows(positions: DataFrame, origin: str, destination: str,
                education: DataFrame | None = None, before: str | None = None,
-               stage: Stage | None = None, ordered: bool = False) -> DataFrame:
+               stage: Stage | None = None, ordered: bool = False,
+               hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Movers' rows; with ``before``, only people whose latest home degree
     ended before it."""
-    pos = mover_positions(positions, origin, destination, ordered)
+    return _unsalt(_mover_rows_salted(positions, origin, destination, education, before,
+                                      stage, ordered, hot_rows)[0])
+
+
+def _mover_rows_salted(positions, origin, destination, education, before, stage, ordered,
+                       hot_rows):
+    pos, hot = _salted_movers(positions, origin, destination, ordered, hot_rows)
     if before is not None:
         if education is None:
             raise ValueError("a cut-off needs the education table")
-        pos = keep_keys(pos, latest_education(education, origin, before=before), KEY)
-    return _staged(pos, stage)
+        cut = latest_education(education, origin, before=before).select(KEY)
+        pos = spread_join(pos, cut, KEY, "left_semi", hot)
+    return _staged(pos, stage), hot
 
 
 def mover_spells(positions: DataFrame, origin: str, destination: str,
@@ -154,16 +190,18 @@ def mover_origin_year(positions: DataFrame, origin: str = "India",
                       before: str | None = None, as_of=None, place: str = "state",
                       out: str = "last_origin_state", stage: Stage | None = None,
                       ordered: bool = False, mode: str = "as_coded",
-                      distinct_people: bool = False) -> DataFrame:
+                      distinct_people: bool = False,
+                      hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """L5 / L6: ``onet_code, <out>, year, mean_salary, n_individuals``; spells
     whose end year is before their start year are left out."""
-    rows = mover_rows(positions, origin, destination, education, before, stage, ordered)
-    home = last_origin_place(rows, origin, place, out, as_of)
-    # Attach the per-person place before the fill: both sides are already
-    # partitioned by person after the movers' semi-join, so this join needs
-    # no shuffle of its own (after the fill the rows are no longer so).
-    spells = clean_spells(rows.join(home, KEY, "left"), fallback="days:1095", as_of=as_of,
-                          key=KEY, tie=TIE)
+    rows, hot = _mover_rows_salted(positions, origin, destination, education, before,
+                                   stage, ordered, hot_rows)
+    home = last_origin_place(_unsalt(rows), origin, place, out, as_of)
+    # Attach the per-person place before the fill: after the movers' join the
+    # rows are still partitioned by (person, bucket), so this join needs no
+    # shuffle of the rows (after the fill they are no longer so).
+    spells = clean_spells(_unsalt(spread_join(rows, home, KEY, "left", hot)),
+                          fallback="days:1095", as_of=as_of, key=KEY, tie=TIE)
     dest = spells.filter(F.col("country") == F.lit(destination))
     return year_cells(dest, ["onet_code", out], drop_reversed=True, mode=mode,
                       distinct_people=distinct_people)
