@@ -18,7 +18,8 @@ def test_cli_jobs_match_registered_queries(spark):
     base = ["--as-of", "2002-01-01"]
     jobs.main(["resident-year", "--positions", pos, "--out", out["ly"],
                "--panel-out", out["panel"]] + base)
-    jobs.main(["mover-origin-year", "--positions", pos, "--out", out["st"]] + base)
+    jobs.main(["mover-origin-year", "--positions", pos, "--out", out["st"], "--hot-rows", "20"]
+              + base)
     jobs.main(["mover-origin-year", "--positions", pos, "--education", edu, "--before",
                "1990-01-01", "--out", out["sp"], "--no-stage"] + base)
     jobs.main(["mover-university-year", "--positions", pos, "--education", edu,

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from workpanel.operators.cells import year_cells
 from workpanel.operators.expand import expand_years
 from workpanel.operators.places import mapper_conflicts
+from workpanel.operators.skew import HOT_ROWS
 from workpanel.plans import pipelines as L
 from workpanel.session import build_session
 from workpanel.sources.readers import (SOURCE_FILE, read_city_mapper, read_education,
@@ -49,6 +50,9 @@ def _movers(p: argparse.ArgumentParser) -> None:
                         "destination job")
     p.add_argument("--years", choices=["as_coded", "forward"], default="as_coded")
     p.add_argument("--distinct-people", action="store_true")
+    p.add_argument("--hot-rows", type=int, default=HOT_ROWS,
+                   help="people with more rows than this are spread over buckets in the "
+                        "per-person joins; -1 turns spreading off")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -116,6 +120,10 @@ def _stage(spark: SparkSession, a):
     return lambda df: materialize(spark, df, "mover_rows")
 
 
+def _hot_rows(a) -> int | None:
+    return None if a.hot_rows < 0 else a.hot_rows
+
+
 def run(spark: SparkSession, a) -> None:
     if a.job == "resident-year":
         pos = read_positions(spark, a.positions)
@@ -135,13 +143,14 @@ def run(spark: SparkSession, a) -> None:
         _write(L.mover_university_year(
             read_positions(spark, a.positions), read_education(spark, a.education),
             a.origin, a.destination, a.before, a.as_of, stage=_stage(spark, a),
-            ordered=a.ordered, mode=a.years, distinct_people=a.distinct_people), a)
+            ordered=a.ordered, mode=a.years, distinct_people=a.distinct_people,
+            hot_rows=_hot_rows(a)), a)
     elif a.job == "mover-origin-year":
         edu = read_education(spark, a.education) if a.education else None
         _write(L.mover_origin_year(
             read_positions(spark, a.positions), a.origin, a.destination, edu, a.before,
             a.as_of, a.place, a.place_name, stage=_stage(spark, a), ordered=a.ordered,
-            mode=a.years, distinct_people=a.distinct_people), a)
+            mode=a.years, distinct_people=a.distinct_people, hot_rows=_hot_rows(a)), a)
     elif a.job == "education-wide":
         _write(L.education_profile(read_education(spark, a.education), order=a.order,
                                    clean_first=a.clean_first), a)
