@@ -1,7 +1,7 @@
 """Run registered queries in Spark and their oracle SQL in DuckDB, compare.
 
 Mirrors the driver's gate: row count, column names, and an order-free hash
-of the values (columns sorted by name, floats rounded).  Usage:
+of the values (columns sorted by name, floats compared exactly).  Usage:
 
     python tests/oracle_check.py [sf_dir] [query ...]
 """
@@ -38,7 +38,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return f"{v:.6e}"
+        return repr(v)  # exact: means are computed the same way on both sides
     if hasattr(v, "isoformat"):
         return v.isoformat()[:10] if type(v).__name__ == "date" else v.isoformat()
     return str(v)
