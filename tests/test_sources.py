@@ -93,3 +93,29 @@ def test_materialize_cuts_lineage(spark):
     assert "Scan parquet" in m._jdf.queryExecution().executedPlan().toString()
     assert "orders" not in m._jdf.queryExecution().executedPlan().toString()
     assert m.count() == 1500
+
+
+def test_city_csv_folder_with_mismatched_headers_fails_loudly(spark):
+    import shutil
+    a = spark.createDataFrame([("L1", "M1", "C1")], "location string, metro_area string, city string")
+    b = spark.createDataFrame([("C2", "L2", "M2")], "city string, location string, metro_area string")
+    pa = local_path(write_table(a.coalesce(1), scratch_path(spark, "hdr_a"), fmt="csv"))
+    pb = local_path(write_table(b.coalesce(1), scratch_path(spark, "hdr_b"), fmt="csv"))
+    folder = local_path(scratch_path(spark, "hdr_mixed"))
+    os.makedirs(folder)
+    for i, src in enumerate((pa, pb)):
+        part = [f for f in os.listdir(src) if f.startswith("part-")][0]
+        shutil.copy(os.path.join(src, part), os.path.join(folder, f"part{i}.csv"))
+    with pytest.raises(Exception, match="(?i)header|schema"):
+        read_city_mapper(spark, folder).collect()
+    # the same files listed one by one line up by name
+    got = read_city_mapper(spark, [os.path.join(folder, "part0.csv"), os.path.join(folder, "part1.csv")])
+    assert rows(got, "location", "city") == [("L1", "C1"), ("L2", "C2")]
+
+
+def test_text_output_takes_one_column(spark):
+    df = spark.createDataFrame([(1, "a")], "id long, v string")
+    with pytest.raises(ValueError):
+        write_table(df, scratch_path(spark, "txt_bad"), fmt="text")
+    path = write_table(df.select("id"), scratch_path(spark, "txt_ok"), fmt="text")
+    assert [r.value for r in spark.read.text(path).collect()] == ["1"]
