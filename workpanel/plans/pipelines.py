@@ -21,7 +21,7 @@ from workpanel.operators.skew import HOT_ROWS, SALT, hot_keys, salt_rows, spread
 from workpanel.operators.education import education_wide
 from workpanel.operators.expand import expand_months, expand_years
 from workpanel.operators.places import attach_city, merge_city_mapper, split_located
-from workpanel.operators.spells import END, clean_spells, close_open, parse_dates
+from workpanel.operators.spells import END, START, clean_spells, close_open, parse_dates
 
 KEY, TIE = "user_id", "position_id"
 
@@ -81,7 +81,6 @@ def mover_set(positions: DataFrame, origin: str, destination: str,
               ordered: bool = False) -> DataFrame:
     """``user_id, n_rows`` of the movers."""
     if ordered:
-        from workpanel.operators.spells import START
         return mover_counts(parse_dates(positions), origin, destination, ordered=True,
                             start=START)
     return mover_counts(positions, origin, destination)
@@ -154,8 +153,11 @@ def mover_rows(positions: DataFrame, origin: str, destination: str,
                                       stage, ordered, hot_rows)[0])
 
 
-def _mover_rows_salted(positions, origin, destination, education, before, stage, ordered,
-                       hot_rows):
+def _mover_rows_salted(positions: DataFrame, origin: str, destination: str,
+                       education: DataFrame | None, before: str | None, stage: Stage | None,
+                       ordered: bool, hot_rows: int | None
+                       ) -> tuple[DataFrame, DataFrame | None]:
+    """``mover_rows`` still carrying the bucket column, plus the hot people."""
     pos, hot = _salted_movers(positions, origin, destination, ordered, hot_rows)
     if before is not None:
         if education is None:
