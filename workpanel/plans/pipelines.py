@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from workpanel.functions.codes import occupation_major
 from workpanel.operators.cells import month_cells, year_cells
-from workpanel.operators.cohorts import last_place, latest_education, mover_counts
+from workpanel.operators.cohorts import last_place, latest_education, mover_counts, movers
 from workpanel.operators.skew import HOT_ROWS, SALT, hot_keys, salt_rows, spread_join
 from workpanel.operators.education import education_wide
 from workpanel.operators.expand import expand_months, expand_years
@@ -95,10 +95,16 @@ def _salted_movers(positions: DataFrame, origin: str, destination: str, ordered:
                    hot_rows: int | None) -> tuple[DataFrame, DataFrame | None]:
     """Movers' rows, each with the bucket ``_salt`` (0 unless its person is
     hot), and the hot people; per-person tables join on (person, bucket)."""
+    if hot_rows is None:
+        # no row counts needed: the movers aggregate reads origin and
+        # destination rows only (filter pushed to the scan)
+        src = parse_dates(positions) if ordered else positions
+        keys = movers(src, origin, destination, ordered=ordered, start=START if ordered else None)
+        return positions.join(keys, KEY, "left_semi"), None
     ms = mover_set(positions, origin, destination, ordered)
     hot = _hot(ms, hot_rows)
-    rows = positions if hot is None else salt_rows(positions, KEY, hot, TIE)
-    return spread_join(rows, ms.select(KEY), KEY, "left_semi", hot), hot
+    return spread_join(salt_rows(positions, KEY, hot, TIE), ms.select(KEY), KEY, "left_semi",
+                       hot), hot
 
 
 def _unsalt(df: DataFrame) -> DataFrame:
