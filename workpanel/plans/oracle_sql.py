@@ -90,10 +90,11 @@ LOCATED = ("location IS NOT NULL AND location <> 'empty' AND city IS NOT NULL "
            "AND city <> 'empty'")
 
 
-def clean(src: str, fallback: str, fill: bool = True) -> list[tuple[str, str]]:
+def clean(src: str, fallback: str, fill: bool = True,
+          order: str = "start") -> list[tuple[str, str]]:
     """The cleaning block: parse, LAG fill, close at as-of, flag, fallback."""
-    lag = ("LAG(ed) OVER (PARTITION BY user_id ORDER BY sd ASC NULLS FIRST, "
-           "ed ASC NULLS FIRST, position_id ASC)" if fill else "CAST(NULL AS DATE)")
+    by = ("sd ASC NULLS FIRST, " if order == "start" else "") + "ed ASC NULLS FIRST, position_id ASC"
+    lag = f"LAG(ed) OVER (PARTITION BY user_id ORDER BY {by})" if fill else "CAST(NULL AS DATE)"
     return [
         ("src", src),
         ("p", "SELECT *, TRY_CAST(startdate AS DATE) AS sd, TRY_CAST(enddate AS DATE) AS ed FROM src"),
@@ -312,6 +313,12 @@ def build() -> dict[str, str]:
                                      cells("onet_code, state, year", people=True)),
         "sql_cell_means": cell_state_year,
         "cell_state_month": cell_state_month,
+        "cell_state_year_end_order": _q(
+            clean(f"SELECT * FROM positions WHERE country = '{ORIGIN}'", YEARS3, order="end")
+            + [year_panel("gy")], cells("onet_code, state, year")),
+        "cell_origin_year_spread": cell_origin_year,
+        "cell_university_year_pre_spread": _q(university_rows(True),
+                                              cells("onet_code, university_location, year")),
         "stream_cell_state_year": _q(
             clean(f"SELECT * FROM positions WHERE country = '{ORIGIN}'", YEARS3, fill=False)
             + [year_panel("gy")], cells("onet_code, state, year")),

@@ -234,6 +234,22 @@ def q_cell_state_month_people(spark, d):
     return L.resident_month(_pos(spark, d), ORIGIN, AS_OF, distinct_people=True)
 
 
+def q_cell_origin_year_spread(spark, d):
+    """L5 with every mover treated as hot: all rows spread over buckets."""
+    return L.mover_origin_year(_pos(spark, d), ORIGIN, DESTINATION, as_of=AS_OF, hot_rows=0)
+
+
+def q_cell_university_year_pre_spread(spark, d):
+    """L4 with every mover treated as hot."""
+    return L.mover_university_year(_pos(spark, d), _edu(spark, d), ORIGIN, DESTINATION,
+                                   before=CUTOFF, as_of=AS_OF, hot_rows=0)
+
+
+def q_cell_state_year_end_order(spark, d):
+    """L1 with the fill ordered by end date (the previous job donates)."""
+    return L.resident_year(_pos(spark, d), ORIGIN, AS_OF, order="end")
+
+
 def q_cell_origin_year_pre(spark, d):
     return L.mover_origin_year(_pos(spark, d), ORIGIN, DESTINATION, education=_edu(spark, d),
                                before=CUTOFF, as_of=AS_OF)
