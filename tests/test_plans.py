@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from conftest import SF0001
+from conftest import SF0001, SF001
 from workpanel.plans import pipelines as L
 from workpanel.session import scratch_path
 from workpanel.sources import fixtures as fx
@@ -91,3 +91,41 @@ def test_mover_rows_are_not_reshuffled_after_the_fill(spark, tables):
         if line.strip().startswith("+- Union") or line.strip().startswith(":- Union"):
             assert "Exchange hashpartitioning(user_id" not in lines[i - 1], lines[i - 1]
     assert "SortMergeJoin" in final
+
+
+def test_aqe_splits_hot_keys_in_the_fill_and_city_joins(spark):
+    """A hot location / hot person: both joins keep their own shuffles on
+    both sides, so AQE's skew-join rule can split the hot partition."""
+    from pyspark.sql import functions as F
+    from workpanel.operators.places import attach_city, merge_city_mapper
+    from workpanel.operators.spells import fill_start, parse_dates
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        hot = F.xxhash64("position_id") % 3 == 0
+        p = (fx.positions(spark, SF001)
+             .withColumn("location_raw", F.when(hot, F.lit("Loc_1")).otherwise(F.col("location_raw")))
+             .withColumn("metro_area", F.when(hot, F.lit("Metro_1")).otherwise(F.col("metro_area")))
+             .withColumn("user_id", F.when(hot, F.lit(0)).otherwise(F.col("user_id")))
+             .withColumn("startdate", F.when(hot & (F.xxhash64("enddate") % 2 == 0), F.lit(None))
+                         .otherwise(F.col("startdate"))))
+        P = read_positions(spark, write_table(p, scratch_path(spark, "plan_hot")))
+        mapper = merge_city_mapper(fx.city_mapper_parts(spark, SF001))
+        for df in (attach_city(P, mapper), fill_start(parse_dates(P))):
+            df.collect()
+            final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert "SortMergeJoin(skew=true)" in final
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
