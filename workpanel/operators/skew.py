@@ -44,7 +44,8 @@ def salt_rows(rows: DataFrame, key: str, hot: DataFrame, spread: str,
     """Add the bucket ``_salt``: a hash of ``spread`` for rows of hot keys,
     0 for all others.  ``hot`` holds distinct keys (``hot_keys`` output)."""
     return (rows.join(_flag(hot, key), key, "left")
-            .withColumn(SALT, F.when(F.col(_HOT), F.pmod(F.xxhash64(spread), F.lit(salts)))
+            .withColumn(SALT, F.when(F.col(_HOT),
+                                     F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
                         .otherwise(F.lit(0)))
             .drop(_HOT))
 
