@@ -275,3 +275,16 @@ def test_attach_city_suffixes_other_shared_columns(spark):
     att = attach_city(pos, m)
     assert set(att.columns) == {"user_id", "location_raw", "metro_area", "extra_pos",
                                 "location", "city", "extra_map"}
+
+
+def test_person_counts_cover_non_movers(spark):
+    from workpanel.operators.cohorts import person_counts
+    from workpanel.operators.skew import hot_keys
+    pos = spark.createDataFrame(
+        [(1, "India"), (1, "United States"), (2, "Kenya"), (2, "Kenya"), (2, "Kenya"),
+         (3, "India"), (None, "India")], "user_id long, country string")
+    got = rows(person_counts(pos, "India", "United States"), "user_id", "n_rows", "mover")
+    assert got == [(1, 2, True), (2, 3, False), (3, 1, False)]
+    # a person with many rows is hot whether or not they moved
+    assert rows(hot_keys(person_counts(pos, "India", "United States"), "user_id",
+                         threshold=2)) == [(2,)]

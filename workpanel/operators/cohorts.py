@@ -40,12 +40,13 @@ def movers(df: DataFrame, origin: str, destination: str, key: str = "user_id",
     return g.filter(cond).select(key)
 
 
-def mover_counts(df: DataFrame, origin: str, destination: str, key: str = "user_id",
-                 country: str = "country", ordered: bool = False,
-                 start: str | None = None) -> DataFrame:
-    """``key, n_rows``: the movers (as ``movers``) with how many rows each
-    has in the whole table, any country, from the same single grouped pass;
-    the counts name the people whose rows must be spread in later joins."""
+def person_counts(df: DataFrame, origin: str, destination: str, key: str = "user_id",
+                  country: str = "country", ordered: bool = False,
+                  start: str | None = None) -> DataFrame:
+    """``key, n_rows, mover`` for every person, in one grouped pass: how many
+    rows they have (any country) and whether they are a mover (as
+    ``movers``).  The counts name the people whose rows must be spread in
+    later joins, movers or not."""
     c = F.col(country)
     is_o, is_d = c == F.lit(origin), c == F.lit(destination)
     aggs = [F.bool_or(is_o).alias("_o"), F.bool_or(is_d).alias("_d"),
@@ -58,7 +59,15 @@ def mover_counts(df: DataFrame, origin: str, destination: str, key: str = "user_
                  F.max(F.when(is_d, F.col(start))).alias("_d1")]
         cond = cond & (F.col("_o0") < F.col("_d1"))
     g = df.filter(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
-    return g.filter(F.coalesce(cond, F.lit(False))).select(key, "n_rows")
+    return g.select(key, "n_rows", F.coalesce(cond, F.lit(False)).alias("mover"))
+
+
+def mover_counts(df: DataFrame, origin: str, destination: str, key: str = "user_id",
+                 country: str = "country", ordered: bool = False,
+                 start: str | None = None) -> DataFrame:
+    """``key, n_rows`` of the movers only."""
+    return (person_counts(df, origin, destination, key, country, ordered, start)
+            .filter(F.col("mover")).select(key, "n_rows"))
 
 
 def keep_keys(df: DataFrame, keys: DataFrame, key: str = "user_id") -> DataFrame:

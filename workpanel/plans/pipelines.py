@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from workpanel.functions.codes import occupation_major
 from workpanel.operators.cells import month_cells, year_cells
-from workpanel.operators.cohorts import last_place, latest_education, mover_counts, movers
+from workpanel.operators.cohorts import last_place, latest_education, movers, person_counts
 from workpanel.operators.skew import HOT_ROWS, SALT, hot_keys, salt_rows, spread_join
 from workpanel.operators.education import education_wide
 from workpanel.operators.expand import expand_months, expand_years
@@ -79,16 +79,18 @@ def resident_month_panel(positions: DataFrame, country: str = "India", as_of=Non
 
 def mover_set(positions: DataFrame, origin: str, destination: str,
               ordered: bool = False) -> DataFrame:
-    """``user_id, n_rows`` of the movers."""
+    """``user_id, n_rows, mover`` for every person (one grouped pass)."""
     if ordered:
-        return mover_counts(parse_dates(positions), origin, destination, ordered=True,
-                            start=START)
-    return mover_counts(positions, origin, destination)
+        return person_counts(parse_dates(positions), origin, destination, ordered=True,
+                             start=START)
+    return person_counts(positions, origin, destination)
 
 
-def _hot(movers: DataFrame, hot_rows: int | None) -> DataFrame | None:
-    """Movers with more than ``hot_rows`` rows (``None``: never spread)."""
-    return None if hot_rows is None else hot_keys(movers, KEY, threshold=hot_rows)
+def _hot(people: DataFrame, hot_rows: int | None) -> DataFrame | None:
+    """People (movers or not) with more than ``hot_rows`` rows (``None``:
+    never spread).  Non-movers count too: their rows also pass through the
+    movers' join before it drops them."""
+    return None if hot_rows is None else hot_keys(people, KEY, threshold=hot_rows)
 
 
 def _salted_movers(positions: DataFrame, origin: str, destination: str, ordered: bool,
@@ -101,10 +103,10 @@ def _salted_movers(positions: DataFrame, origin: str, destination: str, ordered:
         src = parse_dates(positions) if ordered else positions
         keys = movers(src, origin, destination, ordered=ordered, start=START if ordered else None)
         return positions.join(keys, KEY, "left_semi"), None
-    ms = mover_set(positions, origin, destination, ordered)
-    hot = _hot(ms, hot_rows)
-    return spread_join(salt_rows(positions, KEY, hot, TIE), ms.select(KEY), KEY, "left_semi",
-                       hot), hot
+    people = mover_set(positions, origin, destination, ordered)
+    hot = _hot(people, hot_rows)
+    keys = people.filter(F.col("mover")).select(KEY)
+    return spread_join(salt_rows(positions, KEY, hot, TIE), keys, KEY, "left_semi", hot), hot
 
 
 def _unsalt(df: DataFrame) -> DataFrame:
