@@ -287,4 +287,4 @@ def test_person_counts_cover_non_movers(spark):
     assert got == [(1, 2, True), (2, 3, False), (3, 1, False)]
     # a person with many rows is hot whether or not they moved
     assert rows(hot_keys(person_counts(pos, "India", "United States"), "user_id",
-                         threshold=2)) == [(2,)]
+                         threshold=2)) == [(2, 2)]  # 3 rows -> ceil(3 / 2) buckets

@@ -5,14 +5,16 @@ AQE splits a skewed sort-merge join only when both sides arrive through
 their own shuffle.  A per-person table produced by an aggregate is already
 partitioned by person, so it has none, and AQE cannot split the join; all
 of a hot person's rows would meet in one task.  Here the hot keys are named
-explicitly instead: a key with more than ``threshold`` rows is hot, its rows
-are spread over ``salts`` buckets by a hash of a row column, and its table
-row is repeated once per bucket.  Other keys keep bucket 0, so for them the
-join is the plain equi-join.
-
-Size bound of the hot list: every hot key has more than ``threshold`` rows,
-so there are at most ``total rows / threshold`` of them (10^5 keys for 10^12
-rows at the default threshold); it is broadcast on that bound.
+explicitly instead: a key with ``n`` rows, ``n > threshold``, is hot; its
+rows are spread over ``ceil(n / threshold)`` buckets by a hash of a row
+column (so a bucket holds about ``threshold`` rows, however large the key),
+and its table row is repeated once per bucket.  Other keys keep bucket 0,
+so for them the join is the plain equi-join.
+
+Size bounds: every hot key has more than ``threshold`` rows, so the hot list
+has at most ``total rows / threshold`` entries (10^5 for 10^12 rows at the
+default), and the repeated table rows number at most ``2 * total rows /
+threshold``; the hot list is broadcast on that bound.
 """
 
 from __future__ import annotations
@@ -20,50 +22,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed defaults: a key with more rows than this is spread over SALTS tasks.
+# Fixed default: a key with more rows than this is hot; its rows are spread
+# so that each bucket holds about this many.
 HOT_ROWS = 10_000_000
-SALTS = 64
 
-_HOT = "_hot_key"
+BUCKETS = "_buckets"
 SALT = "_salt"
 
 
 def hot_keys(counts: DataFrame, key: str, n_rows: str = "n_rows",
              threshold: int = HOT_ROWS) -> DataFrame:
-    """Keys whose row count ``n_rows`` exceeds ``threshold``."""
-    return counts.filter(F.col(n_rows) > threshold).select(key)
+    """``key, _buckets`` for keys whose row count ``n_rows`` exceeds
+    ``threshold``: ``ceil(n_rows / threshold)`` buckets, at least 2."""
+    per = max(int(threshold), 1)
+    n = F.col(n_rows)
+    return (counts.filter(n > threshold)
+            .select(key, F.greatest(F.ceil(n / F.lit(per)), F.lit(2)).cast("int").alias(BUCKETS)))
 
 
 def _flag(hot: DataFrame, key: str) -> DataFrame:
     # size bound: see the module docstring
-    return F.broadcast(hot.select(key).withColumn(_HOT, F.lit(True)))
+    return F.broadcast(hot.select(key, BUCKETS))
 
 
-def salt_rows(rows: DataFrame, key: str, hot: DataFrame, spread: str,
-              salts: int = SALTS) -> DataFrame:
-    """Add the bucket ``_salt``: a hash of ``spread`` for rows of hot keys,
-    0 for all others.  ``hot`` holds distinct keys (``hot_keys`` output)."""
+def salt_rows(rows: DataFrame, key: str, hot: DataFrame, spread: str) -> DataFrame:
+    """Add the bucket ``_salt``: a hash of ``spread`` modulo the key's bucket
+    count for rows of hot keys, 0 for all others.  ``hot``: ``hot_keys``."""
+    b = F.col(BUCKETS)
     return (rows.join(_flag(hot, key), key, "left")
-            .withColumn(SALT, F.when(F.col(_HOT),
-                                     F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+            .withColumn(SALT, F.when(b.isNotNull(), F.pmod(F.xxhash64(spread), b).cast("int"))
                         .otherwise(F.lit(0)))
-            .drop(_HOT))
+            .drop(BUCKETS))
 
 
-def salt_table(table: DataFrame, key: str, hot: DataFrame, salts: int = SALTS) -> DataFrame:
+def salt_table(table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
     """Repeat the row of each hot key once per bucket; others get bucket 0."""
+    b = F.col(BUCKETS)
     return (table.join(_flag(hot, key), key, "left")
-            .withColumn(SALT, F.explode(F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(salts - 1)))
+            .withColumn(SALT, F.explode(F.when(b.isNotNull(), F.sequence(F.lit(0), b - 1))
                                         .otherwise(F.array(F.lit(0)))))
-            .drop(_HOT))
+            .drop(BUCKETS))
 
 
 def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str,
-                hot: DataFrame | None, salts: int = SALTS) -> DataFrame:
+                hot: DataFrame | None) -> DataFrame:
     """``rows.join(table, key, how)`` for ``rows`` already carrying ``_salt``
     (``salt_rows``; kept in the output) and ``table`` with at most one row
     per key.  ``how``: ``left``, ``inner`` or ``left_semi``; null keys never
     match, as in the plain join.  Without ``hot`` it is the plain join."""
     if hot is None:
         return rows.join(table, key, how)
-    return rows.join(salt_table(table, key, hot, salts), [key, SALT], how)
+    return rows.join(salt_table(table, key, hot), [key, SALT], how)
