@@ -14,7 +14,10 @@ so for them the join is the plain equi-join.
 Size bounds: every hot key has more than ``threshold`` rows, so the hot list
 has at most ``total rows / threshold`` entries (10^5 for 10^12 rows at the
 default), and the repeated table rows number at most ``2 * total rows /
-threshold``; the hot list is broadcast on that bound.
+threshold``; the hot list is broadcast on that bound.  The bound grows with
+the data, so keep ``threshold >= total rows / 10^6`` (at most a million hot
+keys, a few MB): the default 10^7 covers tables up to 10^13 rows; raise it
+(``--hot-rows``) beyond that.
 """
 
 from __future__ import annotations
