@@ -1,0 +1,42 @@
+"""Streaming: restart from the checkpoint picks up only new files."""
+
+from pyspark.sql import functions as F
+
+from conftest import SF0001, rows
+from workpanel.operators.cells import cell_means
+from workpanel.operators.expand import expand_years
+from workpanel.operators.places import merge_city_mapper
+from workpanel.plans import pipelines as L
+from workpanel.session import scratch_path
+from workpanel.sources import fixtures as fx
+from workpanel.streaming.panel_stream import (read_positions_stream, stream_located,
+                                              stream_spells, stream_year_cells, write_appends,
+                                              write_snapshots)
+
+
+def test_restart_counts_each_file_once(spark):
+    pos = fx.positions(spark, SF0001)
+    first, second = pos.filter(F.col("user_id") % 2 == 0), pos.filter(F.col("user_id") % 2 == 1)
+    src = scratch_path(spark, "stream_restart_src")
+    out_rows, out_cells = scratch_path(spark, "stream_restart_rows"), scratch_path(spark, "stream_restart_cells")
+    ck_rows, ck_cells = scratch_path(spark, "ck_rows"), scratch_path(spark, "ck_cells")
+    mapper = merge_city_mapper(fx.city_mapper_parts(spark, SF0001))
+
+    def run():
+        s = read_positions_stream(spark, src)
+        write_appends(stream_located(s, mapper), out_rows, ck_rows).awaitTermination()
+        s = read_positions_stream(spark, src)
+        write_snapshots(stream_year_cells(s, "India", as_of="2002-01-01"), out_cells,
+                        ck_cells).awaitTermination()
+
+    first.repartition(2).write.parquet(src)
+    run()
+    assert spark.read.parquet(out_rows).count() == \
+        L.positions_with_city(first, mapper)[0].count()
+    second.repartition(2).write.mode("append").parquet(src)
+    run()   # restart: only the new files are read
+    assert rows(spark.read.parquet(out_rows)) == rows(L.positions_with_city(pos, mapper)[0])
+    batch = cell_means(expand_years(stream_spells(pos.filter(F.col("country") == "India"),
+                                                  as_of="2002-01-01")),
+                       ["onet_code", "state", "year"])
+    assert rows(spark.read.parquet(out_cells)) == rows(batch)
