@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from workpanel.functions.codes import education_level
 from workpanel.functions.dates import parse_date
 from workpanel.operators.clean import blank_sentinel
-from workpanel.operators.topk import sort_key
+from workpanel.operators.topk import order_key
 
 LEVEL = "Educ_Level"
 
@@ -60,9 +60,10 @@ def education_wide(df: DataFrame, key: str = "user_id", degree: str = "degree",
     if order == "latest":
         m = m.withColumn("_d", parse_date(date))
         # the order key is built once per row, then shared by the 18 aggregates
-        m = m.withColumn("_k", sort_key(m, [("_d", "desc", "last"), (tie, "asc", "last")]))
+        pick, key_expr = order_key(m, [("_d", "desc", "last"), (tie, "asc", "last")])
+        m = m.withColumn("_k", key_expr)
         k = F.col("_k")
-        aggs = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), k)).alias(c) for c in WIDE_COLUMNS]
+        aggs = [pick(F.col(c), F.when(F.col(c).isNotNull(), k)).alias(c) for c in WIDE_COLUMNS]
     elif order == "any":
         aggs = [F.first(c, ignorenulls=True).alias(c) for c in WIDE_COLUMNS]
     else:

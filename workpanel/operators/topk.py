@@ -2,10 +2,11 @@
 
 ``row_number() == 1`` over ``partitionBy(key)`` sorts each key's whole group
 in one task; a key holding a third of the rows would then sit in one task.
-``min_by(payload, sort_key)`` is an ordinary grouped aggregate instead: it is
-combined map-side before the shuffle, so each key ships at most one row per
-map partition, and the order (with its tie-breaker) is total, so the answer
-is deterministic.
+``min_by(payload, sort_key)`` (or ``max_by`` with a shorter key, see
+``order_key``) is an ordinary grouped aggregate instead: it is combined
+map-side before the shuffle, so each key ships at most one row per map
+partition, and the order (with its tie-breaker) is total, so the answer is
+deterministic.
 """
 
 from __future__ import annotations
@@ -39,10 +40,34 @@ def sort_key(df: DataFrame, order: list[OrderTerm]) -> Column:
     return F.struct(*fields)
 
 
+def _max_form(df: DataFrame, order: list[OrderTerm]) -> Column | None:
+    """A shorter key for ``max_by`` when every term puts nulls last and is
+    descending, or ascending on a number / date (negated): nulls compare
+    lowest, so no null-rank fields are needed."""
+    fields = []
+    for i, (name, direction, nulls) in enumerate(order):
+        if nulls != "last":
+            return None
+        dtype = df.schema[name].dataType
+        if direction == "desc":
+            fields.append(F.col(name).alias(f"v{i}"))
+        elif isinstance(dtype, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+            fields.append(_descending(F.col(name), dtype).alias(f"v{i}"))
+        else:
+            return None
+    return F.struct(*fields)
+
+
+def order_key(df: DataFrame, order: list[OrderTerm]):
+    """``(min_by | max_by, key)`` whose pick is the first row in ``order``."""
+    k = _max_form(df, order)
+    return (F.max_by, k) if k is not None else (F.min_by, sort_key(df, order))
+
+
 def first_by(df: DataFrame, key: str | list[str], order: list[OrderTerm],
              cols: list[str]) -> DataFrame:
     """One row per ``key``: the ``cols`` of the first row in ``order``."""
     keys = [key] if isinstance(key, str) else list(key)
-    top = df.groupBy(*keys).agg(
-        F.min_by(F.struct(*[F.col(c) for c in cols]), sort_key(df, order)).alias("_top"))
+    pick, k = order_key(df, order)
+    top = df.groupBy(*keys).agg(pick(F.struct(*[F.col(c) for c in cols]), k).alias("_top"))
     return top.select(*keys, *[F.col(f"_top.{c}").alias(c) for c in cols])
