@@ -33,10 +33,10 @@ def sort_key(df: DataFrame, order: list[OrderTerm]) -> Column:
     """A struct whose ascending order is ``order``; its minimum is the first row."""
     fields = []
     for i, (name, direction, nulls) in enumerate(order):
-        c = F.col(name)
-        null_rank = c.isNotNull() if nulls == "first" else c.isNull()
-        value = c if direction == "asc" else _descending(c, df.schema[name].dataType)
-        fields += [null_rank.alias(f"n{i}"), value.alias(f"v{i}")]
+        c, f = F.col(name), df.schema[name]
+        if f.nullable:  # a column that cannot be null needs no null rank
+            fields.append((c.isNotNull() if nulls == "first" else c.isNull()).alias(f"n{i}"))
+        fields.append((c if direction == "asc" else _descending(c, f.dataType)).alias(f"v{i}"))
     return F.struct(*fields)
 
 
