@@ -288,3 +288,22 @@ def test_person_counts_cover_non_movers(spark):
     # a person with many rows is hot whether or not they moved
     assert rows(hot_keys(person_counts(pos, "India", "United States"), "user_id",
                          threshold=2)) == [(2, 2)]  # 3 rows -> ceil(3 / 2) buckets
+
+
+def test_top1_with_null_dates_and_null_ties_matches_row_number(spark):
+    from pyspark.sql import Window
+    from workpanel.operators.topk import first_by
+    df = spark.createDataFrame([
+        (1, None, D("2000-01-01"), "a"), (1, 5, D("2000-01-01"), "b"), (1, 7, None, "c"),
+        (2, None, None, "d"), (2, 3, None, "e"), (3, None, None, "f")],
+        "k long, id long, d date, v string")
+    order = [("d", "desc", "last"), ("id", "asc", "last")]
+    got = rows(first_by(df, "k", order, ["v"]))
+    w = Window.partitionBy("k").orderBy(F.col("d").desc_nulls_last(), F.col("id").asc_nulls_last())
+    plain = rows(df.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("k", "v"))
+    assert got == plain == [(1, "b"), (2, "e"), (3, "f")]
+    # the min_by form (string tie) agrees too
+    order_s = [("d", "desc", "last"), ("v", "asc", "last")]
+    w2 = Window.partitionBy("k").orderBy(F.col("d").desc_nulls_last(), F.col("v").asc_nulls_last())
+    assert rows(first_by(df, "k", order_s, ["id"])) == rows(
+        df.withColumn("rn", F.row_number().over(w2)).filter("rn = 1").select("k", "id"))
