@@ -40,6 +40,9 @@ def fill_start(df: DataFrame, key: str = "user_id", start: str = START, end: str
     over those pairs (bounded by the calendar, not by a person's row count),
     and a join back on (person, end date) for the rows that need a start.
     Rows that already have a start are not shuffled.
+
+    ``tie`` must identify rows uniquely (trap T2: without it the order of
+    spells sharing dates, and so the donor, is undetermined).
     """
     if order not in ("start", "end"):
         raise ValueError(f"order must be 'start' or 'end', got {order!r}")
