@@ -164,7 +164,9 @@ def run(spark: SparkSession, a) -> None:
         if a.mapper:
             mapper = spark.read.parquet(a.mapper)
         elif a.city_csv:
-            mapper = L.city_mapper([read_city_mapper(spark, p) for p in a.city_csv])
+            # two outputs read the look-up: merge the CSV parts once
+            mapper = materialize(spark, L.city_mapper([read_city_mapper(spark, p)
+                                                       for p in a.city_csv]), "city_mapper")
         else:
             raise SystemExit("give --mapper or --city-csv")
         pos = read_positions(spark, a.positions)
