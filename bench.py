@@ -121,16 +121,15 @@ def main() -> None:
     t0 = time.time()
     paths = prepare(spark, sf_dir)
     prep = time.time() - t0
-    todo = jobs(spark, *paths)
-    for make in todo.values():
+    times = {}
+    for name, make in jobs(spark, *paths).items():
         run(make())  # warm-up
-    runs = {name: [] for name in todo}
-    for _ in range(repeat):  # round-robin: a slow moment of the host hits all jobs alike
-        for name, make in todo.items():
+        runs = []
+        for _ in range(repeat):
             t = time.time()
             run(make())
-            runs[name].append(time.time() - t)
-    times = {name: round(statistics.median(r), 3) for name, r in runs.items()}
+            runs.append(time.time() - t)
+        times[name] = round(statistics.median(runs), 3)
     plain = {}
     which = os.environ.get("BENCH_PLAIN", "1")  # "0": none, "1": fast ones, "all"
     if which != "0":
