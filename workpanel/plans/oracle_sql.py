@@ -312,6 +312,7 @@ def build() -> dict[str, str]:
         "cell_state_year_people": _q(resident(YEARS3) + [year_panel("gy")],
                                      cells("onet_code, state, year", people=True)),
         "sql_cell_means": cell_state_year,
+        "sql_cell_origin_year": cell_origin_year,
         "cell_state_month": cell_state_month,
         "cell_state_year_end_order": _q(
             clean(f"SELECT * FROM positions WHERE country = '{ORIGIN}'", YEARS3, order="end")

@@ -208,6 +208,24 @@ def q_sql_cell_means(spark, d):
         GROUP BY onet_code, state, year""")
 
 
+def q_sql_cell_origin_year(spark, d):
+    """L5 written as SQL over the registered views (``plans.views``)."""
+    from workpanel.plans.views import register_views
+    register_views(spark, _pos(spark, d), as_of=AS_OF, prefix="wp_")
+    return spark.sql(f"""
+        SELECT onet_code, last_origin_state, year,
+               CASE WHEN COUNT(salary) > 0
+                    THEN CAST(SUM(CAST(salary AS DECIMAL(18,2))) AS DOUBLE) / COUNT(salary)
+               END AS mean_salary,
+               COUNT(salary) AS n_individuals
+        FROM (SELECT s.onet_code, s.salary, p.last_origin_state,
+                     explode(sequence(year(s.start_date_dt), year(s.end_date_dt) - 1)) AS year
+              FROM wp_mover_spells s LEFT JOIN wp_last_origin_place p ON s.user_id = p.user_id
+              WHERE s.country = '{DESTINATION}'
+                AND year(s.end_date_dt) >= year(s.start_date_dt)) t
+        GROUP BY onet_code, last_origin_state, year""")
+
+
 def q_cell_state_month(spark, d):
     return L.resident_month(_pos(spark, d), ORIGIN, AS_OF)
 
