@@ -35,3 +35,29 @@ def test_fill_start_leaves_dated_rows_alone(spark):
                                            "user_id long, position_id string, "
                                            "startdate string, enddate string"))
     assert fill_start(df).first()[START] == date(2000, 1, 1)
+
+
+row = st.tuples(st.sampled_from([None, 0, 1]), st.sampled_from([None, "2000-01-01", "2000-01-02",
+                                                                 "1999-05-05"]),
+                st.sampled_from([None, "S1", "S2"]))
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(row, min_size=1, max_size=12))
+def test_top1_and_running_last_match_windows(spark, data):
+    from workpanel.operators.cohorts import running_last
+    from workpanel.operators.topk import first_by
+    df = spark.createDataFrame(
+        [(u, f"p{i:02d}", d, s) for i, (u, d, s) in enumerate(data)],
+        "user_id long, position_id string, d string, state string").withColumn(
+        "end_date_dt", F.col("d").try_cast("date"))
+    w = Window.partitionBy("user_id").orderBy(F.col("end_date_dt").desc_nulls_last(),
+                                              "position_id")
+    plain = (df.withColumn("rn", F.row_number().over(w)).filter("rn = 1")
+             .select("user_id", "state"))
+    order = [("end_date_dt", "desc", "last"), ("position_id", "asc", "last")]
+    assert rows(first_by(df, "user_id", order, ["state"])) == rows(plain)
+    peers = Window.partitionBy("user_id", "end_date_dt").orderBy(F.col("position_id").desc())
+    want = df.withColumn("running_last_state", F.first("state").over(peers))
+    assert rows(running_last(df), "position_id", "running_last_state") == \
+        rows(want, "position_id", "running_last_state")
