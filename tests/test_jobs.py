@@ -54,3 +54,18 @@ def test_cli_keeps_one_folder_per_positions_file(spark):
     got = spark.read.parquet(loc)
     assert got.select("source_file").distinct().count() == 3
     assert got.count() == QUERIES["located_rows"](spark, SF0001).count()
+
+
+def test_cli_month_cells_to_csv_and_order_any(spark):
+    pos = write_table(fx.positions(spark, SF0001), scratch_path(spark, "cli_pos_m"))
+    edu = write_table(fx.education(spark, SF0001), scratch_path(spark, "cli_edu_m"))
+    out, wide = scratch_path(spark, "cli_month_csv"), scratch_path(spark, "cli_wide_any")
+    jobs.main(["resident-month", "--positions", pos, "--out", out, "--format", "csv",
+               "--as-of", "2002-01-01"])
+    expected = QUERIES["cell_state_month"](spark, SF0001)
+    got = spark.read.schema(expected.schema).option("header", True).csv(out)
+    assert rows(got) == rows(expected)
+    jobs.main(["education-wide", "--education", edu, "--out", wide, "--order", "any"])
+    # order-free first(): one row per person, same people as the default
+    assert rows(spark.read.parquet(wide).select("user_id")) == \
+        rows(QUERIES["education_wide"](spark, SF0001).select("user_id"))
