@@ -28,14 +28,14 @@ MASKS = ("111011010111", "110101111011")
 SPAN = 12
 #: Tokens compared on either side of the span; the fewest compared in all.
 FLANK, LEAST = 6, 16
-#: Seeds that one broadcast holds, at about 400 bytes each.
+#: Seeds that one broadcast holds, at about 300 bytes each.
 BLOCK_SEEDS = 150_000
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits; null gives an empty array."""
+    """Hashes of the lower-cased runs of letters and digits; null gives an empty array."""
     parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.filter(parts, lambda t: t != "")
+    return F.transform(F.filter(parts, lambda t: t != ""), lambda t: F.xxhash64(t))
 
 
 def seeds(df: DataFrame, at: str) -> DataFrame:
@@ -49,14 +49,17 @@ def seeds(df: DataFrame, at: str) -> DataFrame:
 
 
 def context(at: str) -> Column:
-    """The tokens from ``FLANK`` before the span to ``FLANK`` behind it; null outside the text."""
-    return F.array(*[F.when(F.col(at) + o >= 0, F.get("toks", F.col(at) + o)) for o in range(-FLANK, SPAN + FLANK)])
+    """The tokens from ``FLANK`` before the span, or the text's start, to ``FLANK`` behind it."""
+    before = F.least(F.col(at), F.lit(FLANK))
+    return F.slice("toks", F.col(at) - before + 1, before + SPAN + FLANK)
 
 
-def equal_and_compared() -> tuple[Column, Column]:
-    pairs = [(F.col("own")[k], F.col("other")[k]) for k in range(SPAN + 2 * FLANK)]
-    one = lambda c: F.when(c, 1).otherwise(0)
-    return sum((one(a == b) for a, b in pairs), F.lit(0)), sum((one(a.isNotNull() & b.isNotNull()) for a, b in pairs), F.lit(0))
+def agreement() -> Column:
+    """Around a hit, of the tokens that both texts have: how many are equal, and how many they are."""
+    shift = F.least(F.col("q"), F.lit(FLANK)) - F.least(F.col("p"), F.lit(FLANK))
+    same = F.transform("own", lambda x, i: x == F.get("other", i + shift))
+    return F.struct(F.size(F.filter(same, lambda x: x)).alias("equal"),
+                    F.size(F.filter(same, lambda x: x.isNotNull())).alias("compared"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -73,13 +76,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for k in range(blocks):
         part = index if blocks == 1 else index.filter(F.pmod(F.xxhash64("item_id", "q"), F.lit(blocks)) == k)
         hits = (seeds(own, "p").join(F.broadcast(part), "seed")
-                .select("doc_id", "item_id", "p", "other", context("p").alias("own")))
-        equal, compared = equal_and_compared()
-        hits = (hits.select("doc_id", "item_id", "p", equal.alias("equal"), compared.alias("compared"))
-                .filter((F.col("compared") >= LEAST) & (100 * F.col("equal") >= round(100 * min_share) * F.col("compared"))))
+                .select("doc_id", "item_id", "p", "q", "other", context("p").alias("own")))
+        # the explode keeps the check out of the join's condition, which stays a plain look-up
+        hits = (hits.select("doc_id", "item_id", "p", F.explode(F.array(agreement())).alias("a"))
+                .filter((F.col("a.compared") >= LEAST)
+                        & (100 * F.col("a.equal") >= round(100 * min_share) * F.col("a.compared"))))
         found = hits if found is None else found.unionAll(hits)
     return found.groupBy("doc_id", "item_id").agg(
-        F.count(F.lit(1)).alias("n_hits"), F.max("equal").cast("long").alias("most_equal"),
+        F.count(F.lit(1)).alias("n_hits"), F.max("a.equal").cast("long").alias("most_equal"),
         F.min("p").cast("long").alias("first_at"))
 
 

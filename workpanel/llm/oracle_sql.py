@@ -51,7 +51,7 @@ judged AS (SELECT r, line, own,
     ({_n('[|»›·•>]')} >= 3 AND {_n('[|»›·•>]')} * 8 >= own)
     OR {_n('[#*$%&|<>~^={}\\\\_]')} * 12 >= length(line)
     OR ({_n('[!?]{2,}')} > 0 AND {_n('[!?]{2,}')} * 4 >= own)
-    OR (own >= 5 AND {_n('\\p{Lu}')} * 10 >= {_n('\\p{L}')} * 7)
+    OR (own >= 5 AND {_n('\\p{Lu}')} * 2 >= length(line))
     OR (own >= 10 AND kinds * 5 <= own)
     OR (own <= 4 AND NOT regexp_matches(line, '[.!?…:;,"''”»)\\]。！？][\\x20\\x09-\\x0D]*$'))
     OR (own < 20 AND regexp_matches(lower(line), '{_PHRASES}')) AS bad FROM ln),

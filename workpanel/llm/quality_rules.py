@@ -34,19 +34,19 @@ def words_of(text: Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, BLANKS))
 
 
-def bad_line(line: Column) -> Column:
+def bad_line(line: Column, own_words: Column) -> Column:
     """True for a line with words that is navigation, boilerplate or not prose."""
-    own = F.size(words_of(line))
-    letters = F.regexp_count(line, F.lit(r"\p{L}"))
+    own = F.size(own_words)
+    n = F.length(line)
     marks = F.regexp_count(line, F.lit(r"[#*$%&|<>~^={}\\_]"))
     separators = F.regexp_count(line, F.lit(r"[|»›·•>]"))
     return (
-        (separators >= 3) & (separators * 8 >= own)                                     # navigation
-        | (marks * 12 >= F.length(line))                                                # symbols
-        | (F.regexp_count(line, F.lit(r"[!?]{2,}")) * 4 >= own) & line.rlike(r"[!?]{2,}")  # shouting marks
-        | (own >= 5) & (F.regexp_count(line, F.lit(r"\p{Lu}")) * 10 >= letters * 7)     # capitals
-        | (own >= 10) & (F.size(F.array_distinct(words_of(line))) * 5 <= own)           # one word over and over
-        | (own <= 4) & ~line.rlike(r"[.!?…:;,\"'”»)\]。！？]\s*$")                        # a stray label
+        (marks * 12 >= n)                                                                  # symbols
+        | (separators >= 3) & (separators * 8 >= own)                                      # navigation
+        | line.rlike(r"[!?]{2,}") & (F.regexp_count(line, F.lit(r"[!?]{2,}")) * 4 >= own)   # shouting marks
+        | (own >= 5) & (F.regexp_count(line, F.lit(r"\p{Lu}")) * 2 >= n)                    # capitals
+        | (own >= 10) & (F.size(F.array_distinct(own_words)) * 5 <= own)                   # one word over and over
+        | (own <= 4) & ~line.rlike(r"[.!?…:;,\"'”»)\]。！？]\s*$")                          # a stray label
         | (own < BOILERPLATE_WORDS) & F.lower(line).rlike(BOILERPLATE))
 
 
@@ -59,9 +59,11 @@ def repeat_words(df: DataFrame, w: str, out: str) -> DataFrame:
     work is n log n for any text.
     """
     n = F.size(w)
-    grams = F.when(n >= 4, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(
-        F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
-    df = df.withColumn("_g", grams)
+    df = df.withColumn("_h", F.when(n >= 4, F.transform(w, lambda x: F.xxhash64(x))))
+    two = F.zip_with("_h", F.slice("_h", 2, n - 1), lambda a, b: F.xxhash64(a, b))
+    df = df.withColumn("_h", F.slice(two, 1, n - 1)).withColumn("_t", F.slice("_h", 2, n - 2))
+    # windows from words 1 and 2 hashed with those from words 2 and 3
+    df = df.withColumn("_g", F.zip_with(F.slice("_h", 1, n - 2), "_t", lambda a, b: F.xxhash64(a, b)))
     pairs = F.transform(F.col("_g"), lambda g, i: F.struct(g.alias("g"), i.alias("i")))
     df = df.withColumn("_s", F.when(F.size(F.array_distinct("_g")) < F.size("_g"), F.sort_array(pairs)))
 
@@ -74,7 +76,7 @@ def repeat_words(df: DataFrame, w: str, out: str) -> DataFrame:
         starts, F.struct(F.lit(-9).alias("last"), F.lit(0).alias("total")),
         lambda acc, i: F.struct(i.alias("last"), (acc["total"] + F.least(F.lit(3), i - acc["last"])).alias("total")),
         lambda acc: acc["total"])
-    return df.withColumn(out, F.coalesce(covered, F.lit(0)).cast("long")).drop("_g", "_s")
+    return df.withColumn(out, F.coalesce(covered, F.lit(0)).cast("long")).drop("_g", "_s", "_h", "_t")
 
 
 def clean_lines(docs: DataFrame, text_col: str = "text", min_words: int = 50, min_left: float = 0.5,
@@ -95,13 +97,16 @@ def clean_lines(docs: DataFrame, text_col: str = "text", min_words: int = 50, mi
           .withColumn("n_symbols", F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"))
           .withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).drop("_w"))
     df = (df.withColumn("_once", F.array_distinct("_lines"))
-          .withColumn("_good", F.filter("_once", lambda x: ~bad_line(x))))
+          .withColumn("_cut", F.transform("_once", lambda x: F.struct(x.alias("line"), words_of(x).alias("w"))))
+          .withColumn("_good", F.filter("_cut", lambda x: ~bad_line(x["line"], x["w"])))
+          .withColumn("_left", F.transform("_good", lambda x: x["line"])).drop("_cut"))
     chars = lambda c: F.length(F.array_join(c, ""))
+    n_left = F.aggregate("_good", F.lit(0), lambda n, x: n + F.size(x["w"]))
     df = (df.withColumn("n_lines", F.size("_lines").cast("long"))
           .withColumn("n_dup_lines", (F.size("_lines") - F.size("_once")).cast("long"))
           .withColumn("n_bad_lines", (F.size("_once") - F.size("_good")).cast("long"))
-          .withColumn("clean_text", F.array_join("_good", "\n")))
+          .withColumn("clean_text", F.array_join("_left", "\n")))
     df = df.withColumn("base_failed", (F.col("n_words") < min_words)
                        | (100 * F.col("n_repeat_words") > round(100 * max_repeat) * F.col("n_words")))
-    left = (100 * chars("_good") >= round(100 * min_left) * chars("_lines")) & (F.size(words_of(F.col("clean_text"))) >= min_words)
-    return df.withColumn("kept", ~F.col("base_failed") & left).drop("_lines", "_once", "_good")
+    enough = (100 * chars("_left") >= round(100 * min_left) * chars("_lines")) & (n_left >= min_words)
+    return df.withColumn("kept", ~F.col("base_failed") & enough).drop("_lines", "_once", "_good", "_left")
