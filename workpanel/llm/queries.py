@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from workpanel.llm.common import table
 from workpanel.llm.decontamination import contaminated
+from workpanel.llm.ngram_join import ngram_components
 from workpanel.llm.oracle_sql import DECONTAMINATION, LINE_RULES
 from workpanel.llm.packing import pack_documents
 from workpanel.llm.pii import pseudonymise
@@ -44,6 +45,10 @@ def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_universe_partition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -64,7 +69,8 @@ def op7_two_tier_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_feistel_pseudonyms, op2_spaced_seed_decontamination, op4_line_first_rules, op6_shortest_pack_first,
+    op1_feistel_pseudonyms, op2_spaced_seed_decontamination,
+    op3_universe_partition_join, op4_line_first_rules, op6_shortest_pack_first,
     op7_two_tier_token_counts)}
 
 ORACLES = {
