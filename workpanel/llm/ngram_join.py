@@ -168,7 +168,7 @@ def keys_of(n: int, percent: int, text_col: str):
         for i in np.flatnonzero(spare == 0):
             own = value[doc == i]
             k = np.arange(len(own))
-            yield (mix(own + mix(U(scheme + SCHEMES))), np.repeat(ids[i], len(own)),
+            yield (mix(own + mix(np.array([scheme + SCHEMES], "u8"))), np.repeat(ids[i], len(own)),
                    ((scheme + SCHEMES) << 52) | (max(0, len(own) - h) << 26) | (k << 1) | 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,8 +261,7 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     keys = docs.select(text_col).mapInPandas(keys_of(n, percent, text_col), "key long, cls long, part long").repartition("key")
     keys = staged(shared(keys), "ngram-keys")
     keys = staged(thinned(keys).distinct(), "ngram-index")  # copies from different tasks are one row from here on
-    for _ in range(2):  # what left the index no longer shares keys
-        keys = staged(thinned(shared(keys.drop("df"))), "ngram-index")
+    keys = staged(thinned(shared(keys.drop("df"))), "ngram-index")  # what left no longer shares keys
 
     members = keys.select("cls").distinct()
     info = staged(members.join(classes, "cls"), "ngram-classes")
@@ -283,14 +282,20 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     # who is higher need not look for who is lower; weak sets are the highest
     place = (info.join(found, "cls", "left").join(sizes, "component", "left").join(weak, "cls", "left")
              .select("cls", "n", *PARITY, F.coalesce("component", "cls").alias("comp"),
-                     F.coalesce("weak", F.lit(0)).alias("weak"),
+                     F.coalesce("weak", F.lit(0)).alias("weak"), F.coalesce("size", F.lit(1)).alias("size"),
                      F.struct(F.coalesce("weak", F.lit(0)), F.coalesce("size", F.lit(1)),
                               F.coalesce("component", "cls"), F.col("cls")).alias("order")))
     place = staged(place, "ngram-order")
-    low = probes(keys).distinct().join(place, "cls").alias("x")
-    high = keys.select("key", "cls").distinct().join(place, "cls").alias("y")
-    rest = (low.join(high, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
-                     & ((F.col("x.order") < F.col("y.order")) | (F.col("x.weak") + F.col("y.weak") == 2)) & can_link(percent, "x", "y"))
+    # keys of one component need no more work, nor does a key's highest component look for others
+    by_key, rank = Window.partitionBy("key"), F.struct("weak", "size", "comp")
+    index = staged(keys.select("key", "cls").distinct().join(place, "cls")
+                   .withColumn("top", F.max(rank).over(by_key)).withColumn("_low", F.min(rank).over(by_key))
+                   .filter("_low.comp <> top.comp or _low.weak = 1").drop("_low"), "ngram-open")
+    low = (probes(keys).distinct().join(index, ["key", "cls"])
+           .filter("comp <> top.comp or weak = 1").alias("x"))
+    rest = (low.join(index.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
+                     & ((F.col("x.order") < F.col("y.order")) | (F.col("x.weak") + F.col("y.weak") == 2))
+                     & can_link(percent, "x", "y"))
             .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct())
     links = first.unionAll(verified(rest, grams, percent, "ngram-links"))
 
