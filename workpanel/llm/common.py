@@ -14,7 +14,7 @@ from workpanel.session import scratch_path
 #: Words are runs of anything but blank, tab, newline, vertical tab, form feed and return.
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Rows that one ranking window sorts, on average.
-ROWS_PER_BUCKET = 200_000
+ROWS_PER_BUCKET = 20_000
 #: Rounds of components(); labels of a chain of 2^40 nodes have met by then.
 LINK_LIMIT = 40
 

@@ -17,6 +17,8 @@ from workpanel.llm.oracle_sql import DECONTAMINATION, LINE_RULES
 from workpanel.llm.packing import pack_documents
 from workpanel.llm.pii import pseudonymise
 from workpanel.llm.quality_rules import clean_lines
+from workpanel.llm.quotations import chat_messages
+from workpanel.llm.sharding import shard_documents
 from workpanel.llm.token_counts import token_counts
 
 TOKEN_LIMIT = 1024
@@ -68,10 +70,20 @@ def op7_two_tier_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                           "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_messages(table(spark, sf_dir, "conversations"))
+
+
+def op9_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_documents(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_feistel_pseudonyms, op2_spaced_seed_decontamination,
     op3_universe_partition_join, op4_line_first_rules, op6_shortest_pack_first,
-    op7_two_tier_token_counts)}
+    op7_two_tier_token_counts, op8_quotation_linking, op9_balanced_label_propagation)}
 
 ORACLES = {
     "op2_spaced_seed_decontamination": DECONTAMINATION,
