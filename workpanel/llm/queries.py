@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from workpanel.llm.common import table
@@ -16,10 +16,12 @@ from workpanel.llm.ngram_join import ngram_components
 from workpanel.llm.oracle_sql import DECONTAMINATION, LINE_RULES
 from workpanel.llm.packing import pack_documents
 from workpanel.llm.pii import pseudonymise
+from workpanel.llm.quality_classifier import quality_scores
 from workpanel.llm.quality_rules import clean_lines
 from workpanel.llm.quotations import chat_messages
 from workpanel.llm.sharding import shard_documents
 from workpanel.llm.token_counts import token_counts
+from workpanel.llm.toxicity import toxicity_scores
 
 TOKEN_LIMIT = 1024
 
@@ -57,6 +59,18 @@ def op4_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                           "base_failed", "kept", "n_lines", "n_bad_lines")
 
 
+def fold(n: int) -> Column:
+    """The row's fold: crc32 of its id as text, modulo ``n``."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op5_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held = F.coalesce(fold(4) == 2, F.lit(False))
+    scored = quality_scores(docs, labels.filter(fold(4) != 2), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
     return packed.select("doc_id", "start", F.col("length").cast("long").alias("length"),
@@ -80,10 +94,19 @@ def op9_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFram
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held = F.coalesce(fold(5) == 0, F.lit(False))
+    scored = toxicity_scores(docs, ~held, labels.filter(fold(5) != 0).select("doc_id", "toxic"))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_feistel_pseudonyms, op2_spaced_seed_decontamination,
-    op3_universe_partition_join, op4_line_first_rules, op6_shortest_pack_first,
-    op7_two_tier_token_counts, op8_quotation_linking, op9_balanced_label_propagation)}
+    op3_universe_partition_join, op4_line_first_rules,
+    op5_positive_unlabelled_quality, op6_shortest_pack_first,
+    op7_two_tier_token_counts, op8_quotation_linking, op9_balanced_label_propagation,
+    op10_weak_supervision_toxicity)}
 
 ORACLES = {
     "op2_spaced_seed_decontamination": DECONTAMINATION,

@@ -67,7 +67,8 @@ def quotation_links(lines: DataFrame) -> DataFrame:
 
 def reply_threads(messages: DataFrame, answers: DataFrame) -> DataFrame:
     """``conv_id, turn, thread, depth`` from the links ``conv_id, turn, parent``
-    of earlier turns: the thread's first turn, and the steps to it."""
+    of earlier turns: the turn that
+    opens the thread, and the steps to the start of the conversation."""
     nodes = messages.select("conv_id", "turn").filter("conv_id is not null and turn is not null").distinct()
     before = nodes.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("last"))
     own = staged(nodes.join(before, ["conv_id", "turn"], "left").join(answers, ["conv_id", "turn"], "left")
