@@ -1,6 +1,8 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier.
 
 1. *Voters* look at a text's words and patterns; each votes "toxic" or abstains.
+   Two of them have a lexicon mined from a bounded number of labelled rows
+   (``LABELLED``): words that few clean documents have.
 2. Their votes over all documents are counted by pattern (at most 2^voters
    rows).  The *label model* is a two-class mixture fitted to these counts by
    expectation maximisation: each voter's rates in either class are its
@@ -22,10 +24,10 @@ or one without a single vote, scores 0 everywhere.
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -36,6 +38,10 @@ from pyspark.sql import functions as F
 
 #: Documents that train the classifier, at most; words are hashed to this many weights.
 SAMPLE, WEIGHTS = 12_000, 1 << 18
+#: Labelled rows that words are mined from, at most; toxic rows a word must be in; words, at most.
+LABELLED, SUPPORT, MINED = 20_000, 6, 5_000
+#: The share of toxic rows among a word's that puts it into either mined lexicon.
+SHARES = {"mined": 0.75, "mined_sure": 0.9}
 #: Voters that vote together this many times as often as the model says form cliques of at most CLIQUE.
 LIFT, CLIQUE = 1.5, 4
 
@@ -46,7 +52,8 @@ LEXICONS = {
     "worth": "worthless useless pathetic miserable hopeless",
     "loser": "loser losers failure nobody weakling coward",
     "filth": "scum scumbag vermin filth filthy trash garbage rubbish dirtbag",
-    "disgust": "disgusting disgust gross vile revolting repulsive nasty ugly",
+    "disgust": "disgusting disgust revolting repulsive",
+    "ugly": "gross vile nasty ugly",
     "mock": "clown clowns buffoon freak weirdo creep jackass crybaby",
     "swear": "damn crap shit bullshit fuck fucking fucked bastard bastards bitch bitches asshole arse dick prick",
     "romance": "imbécile crétin connard connards salaud ordure minable idiota idiotas estúpido estúpida imbécil escoria patético asqueroso payaso basura",
@@ -58,39 +65,42 @@ PATTERNS = {
     "masked": r"\b(?:id[1!]ot|m[0o]r[0o]n(?<!moron)|st[u*]p[1!*]d|f[*@#u]ck(?<!fuck)|sh[1!*]t|b[1!*]tch|l[0]ser|tr[@4]sh|[@4]ssh[o0]le)\b",
 }
 WORDS = re.compile(r"[^\W\d_]+")
-NAMES = (*LEXICONS, *PATTERNS, "several")
-
-
-@functools.lru_cache(maxsize=1)
-def voters() -> tuple[dict[str, int], list[re.Pattern]]:
-    of = {w: 1 << k for k, words in enumerate(LEXICONS.values()) for w in words.split()}
-    return of, [re.compile(p) for p in PATTERNS.values()]
-
-
-def votes(text: str, own: set[str]) -> int:
-    """The voters that call the text toxic, as bits in the order of ``NAMES``."""
-    of, patterns = voters()
-    hits = own & of.keys()
-    found = 0
-    for w in hits:
-        found |= of[w]
-    if "you" in own or "shut" in own or "hell" in own or any(c in text for c in "*@#!0"):
-        low = text.lower()
-        for k, p in enumerate(patterns):
-            if p.search(low):
-                found |= 1 << (len(LEXICONS) + k)
-    return found | (1 << (len(NAMES) - 1) if len(hits) >= 2 else 0)
+NAMES = (*LEXICONS, *PATTERNS, *SHARES, "several")
 
 
 def words_of(text) -> set[str]:
     return set(WORDS.findall(text.lower())) if isinstance(text, str) else set()
 
 
-def vote_column(text_col: str) -> Column:
-    def count(texts: pd.Series) -> pd.Series:
-        return pd.Series([votes(t, words_of(t)) if isinstance(t, str) else 0 for t in texts], dtype="int64")
-
-    return F.pandas_udf(count, "long")(F.col(text_col))
+class Voters:
+    """All voters; ``mined``: words to their share of toxic rows."""
+
+    def __init__(self, mined: dict[str, float]):
+        self.bits = {w: 1 << k for k, words in enumerate(LEXICONS.values()) for w in words.split()}
+        for w, share in mined.items():
+            for name, least in SHARES.items():
+                if share >= least:
+                    self.bits[w] = self.bits.get(w, 0) | 1 << NAMES.index(name)
+        self.patterns = [(1 << NAMES.index(name), re.compile(p)) for name, p in PATTERNS.items()]
+
+    def votes(self, text: str, own: set[str]) -> int:
+        """The voters that call the text toxic, as bits in the order of ``NAMES``."""
+        hits, found = own & self.bits.keys(), 0
+        for w in hits:
+            found |= self.bits[w]
+        if "you" in own or "shut" in own or "hell" in own or any(c in text for c in "*@#!0"):
+            low = text.lower()
+            for bit, p in self.patterns:
+                if p.search(low):
+                    found |= bit
+        return found | (1 << (len(NAMES) - 1) if len(hits) >= 2 else 0)
+
+    def features(self, text) -> list[int]:
+        """Hashed words, and a place for each vote behind them."""
+        own = words_of(text)
+        found = self.votes(text, own) if own else 0
+        return [*{zlib.crc32(w.encode("utf-8", "replace")) & (WEIGHTS - 1) for w in own},
+                *(WEIGHTS + k for k in range(len(NAMES)) if found >> k & 1)]
 
 
 class LabelModel:
@@ -159,11 +169,27 @@ class LabelModel:
                 for k, name in enumerate(NAMES)}
 
 
-def features(text, own: set[str]) -> list[int]:
-    """Hashed words, and a place for each vote behind them."""
-    found = votes(text, own) if own else 0
-    return [*{zlib.crc32(w.encode("utf-8", "replace")) & (WEIGHTS - 1) for w in own},
-            *(WEIGHTS + k for k in range(len(NAMES)) if found >> k & 1)]
+def mined_words(rows: DataFrame, known: DataFrame) -> dict[str, float]:
+    """Words of toxic rows that few clean rows have, with their share of toxic ones.
+    ``rows``: ``_id, _text``; ``known``: ``_id, toxic``, at most ``LABELLED`` of them."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, toxic = Counter(), Counter()
+        for f in batches:
+            for text, label in zip(f["_text"], f["toxic"]):
+                own = words_of(text)
+                n.update(own)
+                if label == 1:
+                    toxic.update(own)
+        every = list(n)
+        for at in range(0, len(every), 10_000):
+            part = every[at:at + 10_000]
+            yield pd.DataFrame({"word": part, "n": [n[w] for w in part], "t": [toxic[w] for w in part]})
+
+    found = (rows.join(F.broadcast(known), "_id").mapInPandas(count, "word string, n long, t long")
+             .groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).filter(F.col("t") >= SUPPORT)
+             .withColumn("share", (F.col("t") + 0.2) / (F.col("n") + 1)).filter(F.col("share") >= min(SHARES.values()))
+             .orderBy(F.desc("t"), "word").limit(MINED))
+    return {r["word"]: r["share"] for r in found.collect()}
 
 
 def train(rows: list[list[int]], soft: np.ndarray, rounds: int = 120, l2: float = 2e-3) -> np.ndarray:
@@ -190,37 +216,50 @@ def train(rows: list[list[int]], soft: np.ndarray, rounds: int = 120, l2: float
     return out
 
 
+def chosen(rows: DataFrame, hashed: Column, total: int, most: int) -> DataFrame:
+    """At most ``most`` of ``total`` rows, those with the smallest hashes: the same at every run."""
+    if total <= most:
+        return rows
+    return rows.filter(F.pmod(hashed, F.lit(1 << 30)) < int((1 << 30) * 0.97 * most / total)).limit(most)
+
+
 def toxicity_scores(docs: DataFrame, learn: Column, known: DataFrame | None = None, id_col: str = "doc_id",
                     text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with ``out``, 0 to 1.  ``learn``: the rows to learn from.
     ``known``: ``id_col, toxic`` of labelled rows, for the share of toxic ones."""
     spark = docs.sparkSession
     rows = docs.filter(learn).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    counts = {r["v"]: r["count"] for r in rows.select(vote_column("_text").alias("v")).groupBy("v").count().collect()}
+    prior, mined = 0.1, {}
+    if known is not None:
+        marked = known.select(F.col(id_col).alias("_id"), "toxic").filter("_id is not null and toxic is not null").distinct()
+        total, share = marked.join(rows.select("_id").distinct(), "_id", "left_semi").agg(F.count("*"), F.avg("toxic")).first()
+        if total:
+            prior = min(0.5, max(0.001, share))
+            mined = mined_words(rows, chosen(marked, F.xxhash64("_id"), total, LABELLED))
+    voters = spark.sparkContext.broadcast(Voters(mined))
+
+    def vote(texts: pd.Series) -> pd.Series:
+        v = voters.value
+        return pd.Series([v.votes(t, words_of(t)) if isinstance(t, str) else 0 for t in texts], dtype="int64")
+
+    counts = {r["v"]: r["count"] for r in rows.select(F.pandas_udf(vote, "long")("_text").alias("v")).groupBy("v").count().collect()}
     if not any(counts):
         return docs.withColumn(out, F.lit(0.0))
-    prior = 0.1
-    if known is not None:
-        share = known.join(rows.select(F.col("_id").alias(id_col)).distinct(), id_col, "left_semi").agg(F.avg("toxic")).first()[0]
-        prior = min(0.5, max(0.001, share)) if share is not None else prior
     model = LabelModel(counts, prior)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
-            own = [words_of(t) for t in f["_text"]]
-            yield pd.DataFrame({"x": [features(t, w) for t, w in zip(f["_text"], own)]})
+            yield pd.DataFrame({"x": [voters.value.features(t) for t in f["_text"]]})
 
     total = sum(counts.values())
-    # the same rows at every run: those with the smallest hashes, a little more than asked for
-    part = rows if total <= SAMPLE else rows.filter(
-        F.pmod(F.xxhash64("_id", "_text"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / total))
-    sample = [r["x"] for r in part.mapInPandas(encode, "x array<int>").limit(SAMPLE + SAMPLE // 4).collect()]
+    part = chosen(rows, F.xxhash64("_id", "_text"), total, SAMPLE)
+    sample = sorted(r["x"] for r in part.mapInPandas(encode, "x array<int>").collect())
     seen = np.array([[WEIGHTS + k in set(x[-len(NAMES):]) for k in range(len(NAMES))] for x in sample], "int64").reshape(-1, len(NAMES))
     weights = spark.sparkContext.broadcast(train(sample, model.posterior(seen)))
 
     def score(texts: pd.Series) -> pd.Series:
         w = weights.value
-        z = np.array([w[-1] + w[features(t, words_of(t))].sum() if isinstance(t, str) else w[-1] for t in texts], float)
+        z = np.array([w[-1] + w[voters.value.features(t)].sum() if isinstance(t, str) else w[-1] for t in texts], float)
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     return docs.withColumn(out, F.pandas_udf(score, "double")(F.col(text_col)))
