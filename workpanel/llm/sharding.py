@@ -29,43 +29,50 @@ def _lookup(values: list[int], at: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), at)
 
 
-def admitted(wish: DataFrame, quota: list[int]) -> DataFrame:
-    """The units of ``unit, target, moving, gain`` that fit into the targets' quotas, largest gains first."""
-    level = F.floor(F.log2(F.greatest(F.col("gain"), F.lit(1)))).cast("int")
-    wish = wish.withColumn("level", level)
+def admitted(wish: DataFrame, quota: list[int], turn: int) -> tuple[DataFrame, set[int]]:
+    """The units of ``unit, target, all, gain`` that fit into the targets' quotas,
+    largest gains first, and the targets that had to turn units away."""
+    wish = wish.withColumn("level", F.floor(F.log2("gain")).cast("int"))
     # at most shards * 64 rows
     table = {(r["target"], r["level"]): r["n"] for r in
-             wish.groupBy("target", "level").agg(F.sum("moving").alias("n")).collect()}
-    rows = []
+             wish.groupBy("target", "level").agg(F.sum("all").alias("n")).collect()}
+    rows, full = [], set()
     for shard, left in enumerate(quota):
         for k in sorted((k for s, k in table if s == shard), reverse=True):
             n = table[shard, k]
             rows.append((shard, k, min(1.0, max(0.0, left / n))))
             left -= n
-    if not rows:
-        return wish.drop("level")
+        if left < 0:
+            full.add(shard)
     shares = wish.sparkSession.createDataFrame(rows, "target int, level int, share double")
-    luck = F.pmod(F.xxhash64("unit"), F.lit(1_000_000)) / 1_000_000
-    return wish.join(F.broadcast(shares), ["target", "level"]).filter(luck < F.col("share")).drop("level", "share")
+    luck = F.pmod(F.xxhash64("unit", F.lit(turn)), F.lit(1_000_000)) / 1_000_000
+    return wish.join(F.broadcast(shares), ["target", "level"]).filter(luck < F.col("share")).select("unit", "target"), full
 
 
 def propagate(linked: DataFrame, capacity: list[int]) -> DataFrame:
-    """``uid, unit, shard`` after rounds of moves; ``linked`` has the same columns."""
-    for _ in range(ROUNDS):
+    """``uid, unit, shard`` after rounds of moves; ``linked`` has the same columns.
+    Units that lie in one shard stay; the others want the shard most of their
+    documents are in, of those that have not turned units away yet."""
+    full: set[int] = set()
+    for turn in range(ROUNDS):
         tally = linked.groupBy("unit", "shard").agg(F.count(F.lit(1)).alias("n"))
-        best = tally.groupBy("unit").agg(F.max(F.struct("n", F.xxhash64("unit", "shard").alias("tie"), "shard")).alias("top"),
-                                         F.sum("n").alias("all"))
-        wish = staged(best.select("unit", F.col("top.shard").alias("target"), (F.col("all") - F.col("top.n")).alias("moving"),
-                                  F.col("top.n").alias("gain"), "all"), "shard-wishes")
-        stay = {r["target"]: r["n"] for r in wish.groupBy("target").agg(F.sum(F.col("all") - F.col("moving")).alias("n")).collect()}
-        moving = wish.filter("moving > 0")
-        if moving.isEmpty():
+        free = (~F.col("shard").isin(sorted(full))).cast("int") if full else F.lit(1)
+        best = tally.groupBy("unit").agg(
+            F.max(F.struct(free.alias("free"), "n", F.xxhash64("unit", "shard").alias("tie"), "shard")).alias("top"),
+            F.sum("n").alias("all"), F.count(F.lit(1)).alias("pieces"))
+        others = [s for s in range(len(capacity)) if s not in full] or list(range(len(capacity)))
+        any_free = _lookup(others, F.pmod(F.xxhash64("unit", F.lit(turn)), F.lit(len(others))).cast("int"))
+        wish = staged(best.select(
+            "unit", "all", "pieces", F.col("top.n").alias("gain"),
+            F.when((F.col("pieces") == 1) | (F.col("top.free") == 1), F.col("top.shard")).otherwise(any_free).alias("target")), "shard-wishes")
+        stay = {r["target"]: r["n"] for r in wish.filter("pieces = 1").groupBy("target").agg(F.sum("all").alias("n")).collect()}
+        split = wish.filter("pieces > 1")
+        if split.isEmpty():
             break
-        moves = admitted(moving, [c - stay.get(s, 0) for s, c in enumerate(capacity)]).select("unit", "target")
+        moves, refused = admitted(split, [c - stay.get(s, 0) for s, c in enumerate(capacity)], turn)
         linked = staged(linked.join(moves, "unit", "left")
                         .select("uid", "unit", F.coalesce("target", "shard").alias("shard")), "shard-linked")
-        if moves.isEmpty():
-            break
+        full |= refused
     return linked
 
 
