@@ -192,11 +192,11 @@ def mined_words(rows: DataFrame, known: DataFrame) -> dict[str, float]:
     return {r["word"]: r["share"] for r in found.collect()}
 
 
-def train(rows: list[list[int]], soft: np.ndarray, rounds: int = 120, l2: float = 2e-3) -> np.ndarray:
+def train(rows: list[np.ndarray], soft: np.ndarray, rounds: int = 120, l2: float = 2e-3) -> np.ndarray:
     """Weights and, last, the base of a logistic regression on posteriors (Adam on the whole sample)."""
     size = WEIGHTS + len(NAMES)
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    at = np.concatenate([np.asarray(r, "int64") for r in rows]) if rows else np.zeros(0, "int64")
+    at = np.concatenate(rows) if rows else np.zeros(0, "int32")
     used, at = np.unique(at, return_inverse=True)
     scale = np.where(used >= WEIGHTS, 2.0, 0.5)  # votes are few and strong, words many and weak
     w, base = np.zeros(len(used)), 0.0
@@ -249,12 +249,13 @@ def toxicity_scores(docs: DataFrame, learn: Column, known: DataFrame | None = No
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
-            yield pd.DataFrame({"x": [voters.value.features(t) for t in f["_text"]]})
+            yield pd.DataFrame({"x": [np.sort(np.array(voters.value.features(t), "int32")).tobytes() for t in f["_text"]]})
 
     total = sum(counts.values())
     part = chosen(rows, F.xxhash64("_id", "_text"), total, SAMPLE)
-    sample = sorted(r["x"] for r in part.mapInPandas(encode, "x array<int>").collect())
-    seen = np.array([[WEIGHTS + k in set(x[-len(NAMES):]) for k in range(len(NAMES))] for x in sample], "int64").reshape(-1, len(NAMES))
+    sample = sorted(bytes(r["x"]) for r in part.mapInPandas(encode, "x binary").collect())
+    sample = [np.frombuffer(x, "int32") for x in sample]
+    seen = np.array([np.isin(np.arange(WEIGHTS, WEIGHTS + len(NAMES)), x) for x in sample], "int64").reshape(-1, len(NAMES))
     weights = spark.sparkContext.broadcast(train(sample, model.posterior(seen)))
 
     def score(texts: pd.Series) -> pd.Series:
