@@ -15,6 +15,8 @@ from workpanel.session import scratch_path
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Rows that one ranking window sorts, on average.
 ROWS_PER_BUCKET = 20_000
+#: Rows of ids that a join may broadcast, about 10 MB.
+BROADCAST_ROWS = 250_000
 #: Rounds of components(); labels of a chain of 2^40 nodes have met by then.
 LINK_LIMIT = 40
 
@@ -39,6 +41,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a written table of a few numbers a row, to be broadcast if it has at
+    most ``rows`` rows; beyond that Spark joins it by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def words(text: Column | str) -> Column:
     """The text's words as an array; null and blank texts give an empty one."""
     t = F.col(text) if isinstance(text, str) else text

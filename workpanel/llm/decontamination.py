@@ -23,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from workpanel.llm.common import broadcast_if_small, staged
+
 # The masks, one character for each token of the span.
 MASKS = ("111011010111", "110101111011")
 SPAN = 12
@@ -91,5 +93,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """``docs`` without the rows whose text shares a verified stretch with the benchmark.
     Rows are told apart by content where ids repeat or are null: by id and a hash of the text."""
     key = F.xxhash64(F.col(id_col), F.col(kw.get("text_col", "text")))
-    leaks = contaminated(docs.withColumn("_row", key), benchmark, id_col="_row", **kw).select(F.col("doc_id").alias("_row")).distinct()
+    leaks = contaminated(docs.withColumn("_row", key), benchmark, id_col="_row", **kw).select(F.col("doc_id").alias("_row"))
+    leaks = broadcast_if_small(staged(leaks.distinct(), "leaks"))
     return docs.withColumn("_row", key).join(leaks, "_row", "left_anti").drop("_row")
