@@ -21,17 +21,22 @@ from workpanel.operators.spells import END, START
 MEAN, COUNT = "mean_salary", "n_individuals"
 
 
-def _sum(value: str, exact_scale: int | None) -> Column:
+def _sums(value: str, exact_scale: int | None) -> tuple[Column, Column]:
+    """Two sums that together keep every value: of those that a decimal of
+    ``exact_scale`` places holds exactly (so their sum does not depend on the
+    order rows are added in), and of all others as doubles (finer fractions,
+    large values, NaN, infinities).  Without a scale all are doubles."""
     v = F.col(value)
     if exact_scale is None:
-        return F.sum(v)
-    # Exact: decimal sum of the (cent-valued) amounts, so the mean does not
-    # depend on the order rows are added in.
-    return F.sum(v.cast(f"decimal(18,{exact_scale})"))
+        return F.lit(None).cast("decimal(28,2)"), F.sum(v.cast("double"))
+    d = v.try_cast(f"decimal(18,{exact_scale})")
+    fits = F.coalesce(d.cast("double") == v, F.lit(False))
+    return F.sum(F.when(fits, d)), F.sum(F.when(~fits, v.cast("double")))
 
 
-def _mean(total: Column, n: Column) -> Column:
-    return F.when(n > 0, total.cast("double") / n)
+def _mean(exact: Column, rest: Column, n: Column) -> Column:
+    total = F.coalesce(exact.cast("double") + rest, exact.cast("double"), rest)
+    return F.when(n > 0, total / n)
 
 
 def cell_means(df: DataFrame, keys: list[str], value: str = "salary",
@@ -45,9 +50,9 @@ def cell_means(df: DataFrame, keys: list[str], value: str = "salary",
     """
     n = (F.count_distinct(F.when(F.col(value).isNotNull(), F.col(key))) if distinct_people
          else F.count(value))
-    s = _sum(value, exact_scale)
+    exact, rest = _sums(value, exact_scale)
     return df.groupBy(*keys).agg(
-        _mean(s, F.count(value)).alias(mean), n.alias(count))
+        _mean(exact, rest, F.count(value)).alias(mean), n.alias(count))
 
 
 def _spans_then_cells(df: DataFrame, keys: list[str], lo: str, hi: str, span: Column,
@@ -57,11 +62,12 @@ def _spans_then_cells(df: DataFrame, keys: list[str], lo: str, hi: str, span: Co
         panel = df.withColumn(period, F.explode(span))
         out = cell_means(panel, keys + [period], value, exact_scale, True, key, mean, count)
     else:
-        pre = df.groupBy(*keys, lo, hi).agg(_sum(value, exact_scale).alias("_s"),
+        exact, rest = _sums(value, exact_scale)
+        pre = df.groupBy(*keys, lo, hi).agg(exact.alias("_s"), rest.alias("_r"),
                                            F.count(value).alias("_n"))
         panel = pre.withColumn(period, F.explode(span))
         n = F.sum("_n")
-        out = panel.groupBy(*keys, period).agg(_mean(F.sum("_s"), n).alias(mean),
+        out = panel.groupBy(*keys, period).agg(_mean(F.sum("_s"), F.sum("_r"), n).alias(mean),
                                               n.alias(count))
     if label is not None:
         out = out.withColumn(period, label(F.col(period)))
