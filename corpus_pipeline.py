@@ -4,8 +4,8 @@ toxicity -> near duplicates -> benchmark decontamination -> pseudonyms -> packin
 
 Every stage works on all rows its predecessor kept and returns the columns of
 ``documents``; the last returns the packed pieces.  SQL cannot express the
-first stage (a trained classifier), so there is no oracle; ``tests/llm`` holds
-the stages against brute force.
+first stage (a trained classifier), so there is no oracle; ``tests/llm`` holds the
+operators against brute force and the stages on small tables.
 """
 
 from __future__ import annotations
