@@ -129,3 +129,37 @@ def test_aqe_splits_hot_keys_in_the_fill_and_city_joins(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("job", ["L3", "L4", "L5", "L6"])
+def test_mover_jobs_scan_positions_twice(tables, monkeypatch, job):
+    """Once for the counts per person, once for the movers' rows; the final
+    plan reads staged tables only."""
+    scans, stage = [], L.stage_table
+
+    def positions_scans(df):  # only the raw table has location_raw
+        text = df._jdf.queryExecution().analyzed().toString()
+        return sum("location_raw" in l for l in text.splitlines() if "Relation [" in l)
+
+    def counted(df):
+        scans.append(positions_scans(df))
+        return stage(df)
+
+    P, E = tables
+    kw = {"stage": counted, "as_of": "2002-01-01"}
+    cut = {"before": "1990-01-01"} if job in ("L4", "L6") else {}
+    df = (L.mover_university_year(P, E, **cut, **kw) if job in ("L3", "L4")
+          else L.mover_origin_year(P, education=E, **cut, **kw))
+    assert positions_scans(df) == 0
+    assert sum(scans) == 2
+
+
+def test_forced_buckets_need_no_broadcast(spark, tables):
+    P, E = tables
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(L.mover_origin_year(P, as_of="2002-01-01", hot_rows=0))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastExchange" not in text and "_salt" in text

@@ -10,7 +10,7 @@ Typical use::
 
 from workpanel.operators.cells import cell_means, month_cells, year_cells
 from workpanel.operators.clean import blank_sentinel
-from workpanel.operators.cohorts import (keep_keys, last_place, latest_education, mover_counts,
+from workpanel.operators.cohorts import (keep_keys, last_place, latest_education,
                                          movers, person_counts, running_last)
 from workpanel.operators.education import education_marked, education_wide
 from workpanel.operators.expand import expand_months, expand_years
@@ -29,7 +29,7 @@ __all__ = [
     "clean_spells", "close_open", "education_marked", "education_profile", "education_wide",
     "expand_months", "expand_years", "fill_start", "keep_keys", "last_place",
     "latest_education", "mapper_conflicts", "materialize", "merge_city_mapper", "month_cells",
-    "mover_counts", "mover_origin_year", "mover_positions", "mover_university_year", "movers",
+    "mover_origin_year", "mover_positions", "mover_university_year", "movers",
     "parse_dates", "person_counts", "positions_with_city", "read_city_mapper", "read_education",
     "read_positions", "resident_month", "resident_year", "running_last", "split_located",
     "unlocated_users", "write_table", "year_cells",

@@ -26,6 +26,18 @@ from workpanel.sources.readers import (SOURCE_FILE, read_city_mapper, read_educa
 from workpanel.sources.writers import materialize, write_table
 
 
+def _cells(p: argparse.ArgumentParser) -> None:
+    p.add_argument("--fill-order", choices=["start", "end"], default="start",
+                   help="order of spells in the fill of missing starts")
+    p.add_argument("--plain-mean", action="store_true",
+                   help="sum salaries as doubles only (default: cents exactly, others as doubles)")
+
+
+def _cell_options(a) -> dict:
+    return {"order": a.fill_order, "exact_scale": None if a.plain_mean else 2,
+            "distinct_people": a.distinct_people}
+
+
 def _common(p: argparse.ArgumentParser) -> None:
     p.add_argument("--out", required=True, help="output folder")
     p.add_argument("--format", choices=["csv", "parquet", "text"], default="parquet")
@@ -50,6 +62,7 @@ def _movers(p: argparse.ArgumentParser) -> None:
                         "destination job")
     p.add_argument("--years", choices=["as_coded", "forward"], default="as_coded")
     p.add_argument("--distinct-people", action="store_true")
+    _cells(p)
     p.add_argument("--hot-rows", type=int, default=HOT_ROWS,
                    help="people with more rows than this are spread over buckets in the "
                         "per-person joins; -1 turns spreading off")
@@ -64,6 +77,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--country", default="India")
     p.add_argument("--years", choices=["as_coded", "forward"], default="as_coded")
     p.add_argument("--distinct-people", action="store_true")
+    _cells(p)
     p.add_argument("--panel-out", default=None,
                    help="also write the year panel here (skipped if it exists)")
     _common(p)
@@ -72,6 +86,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--positions", required=True)
     p.add_argument("--country", default="India")
     p.add_argument("--distinct-people", action="store_true")
+    _cells(p)
     _common(p)
 
     p = sub.add_parser("mover-university-year", help="L3/L4: cells by university location")
@@ -127,30 +142,31 @@ def _hot_rows(a) -> int | None:
 def run(spark: SparkSession, a) -> None:
     if a.job == "resident-year":
         pos = read_positions(spark, a.positions)
-        spells = L.resident_spells(pos, a.country, "years:3", a.as_of)
+        spells = L.resident_spells(pos, a.country, "years:3", a.as_of, a.fill_order)
         if a.panel_out:
             # Two outputs from one cleaning pass: stage the spells once.
             spells = materialize(spark, spells, "resident_spells")
             _write(expand_years(spells, mode=a.years), a, a.panel_out, mode="ignore")
         _write(year_cells(spells, ["onet_code", "state"], mode=a.years,
-                          distinct_people=a.distinct_people), a)
+                          distinct_people=a.distinct_people,
+                          exact_scale=None if a.plain_mean else 2), a)
     elif a.job == "resident-month":
         _write(L.resident_month(read_positions(spark, a.positions), a.country, a.as_of,
-                                distinct_people=a.distinct_people), a)
+                                **_cell_options(a)), a)
     elif a.job == "mover-university-year":
         if a.education is None:
             raise SystemExit("--education is required")
         _write(L.mover_university_year(
             read_positions(spark, a.positions), read_education(spark, a.education),
             a.origin, a.destination, a.before, a.as_of, stage=_stage(spark, a),
-            ordered=a.ordered, mode=a.years, distinct_people=a.distinct_people,
-            hot_rows=_hot_rows(a)), a)
+            ordered=a.ordered, mode=a.years, hot_rows=_hot_rows(a),
+            **_cell_options(a)), a)
     elif a.job == "mover-origin-year":
         edu = read_education(spark, a.education) if a.education else None
         _write(L.mover_origin_year(
             read_positions(spark, a.positions), a.origin, a.destination, edu, a.before,
             a.as_of, a.place, a.place_name, stage=_stage(spark, a), ordered=a.ordered,
-            mode=a.years, distinct_people=a.distinct_people, hot_rows=_hot_rows(a)), a)
+            mode=a.years, hot_rows=_hot_rows(a), **_cell_options(a)), a)
     elif a.job == "education-wide":
         _write(L.education_profile(read_education(spark, a.education), order=a.order,
                                    clean_first=a.clean_first), a)

@@ -62,14 +62,6 @@ def person_counts(df: DataFrame, origin: str, destination: str, key: str = "user
     return g.select(key, "n_rows", F.coalesce(cond, F.lit(False)).alias("mover"))
 
 
-def mover_counts(df: DataFrame, origin: str, destination: str, key: str = "user_id",
-                 country: str = "country", ordered: bool = False,
-                 start: str | None = None) -> DataFrame:
-    """``key, n_rows`` of the movers only."""
-    return (person_counts(df, origin, destination, key, country, ordered, start)
-            .filter(F.col("mover")).select(key, "n_rows"))
-
-
 def keep_keys(df: DataFrame, keys: DataFrame, key: str = "user_id") -> DataFrame:
     """Rows of ``df`` whose key is in ``keys`` (left semi join)."""
     return df.join(keys.select(key), on=key, how="left_semi")

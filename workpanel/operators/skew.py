@@ -14,10 +14,9 @@ so for them the join is the plain equi-join.
 Size bounds: every hot key has more than ``threshold`` rows, so the hot list
 has at most ``total rows / threshold`` entries (10^5 for 10^12 rows at the
 default), and the repeated table rows number at most ``2 * total rows /
-threshold``; the hot list is broadcast on that bound.  The bound grows with
-the data, so keep ``threshold >= total rows / 10^6`` (at most a million hot
-keys, a few MB): the default 10^7 covers tables up to 10^13 rows; raise it
-(``--hot-rows``) beyond that.
+threshold``.  The joins to the hot list carry no hint: Spark broadcasts it only
+when its size (known once the list is written, as the jobs do) is under the
+session's threshold, so a low ``threshold`` cannot overload anything.
 """
 
 from __future__ import annotations
@@ -44,8 +43,7 @@ def hot_keys(counts: DataFrame, key: str, n_rows: str = "n_rows",
 
 
 def _flag(hot: DataFrame, key: str) -> DataFrame:
-    # size bound: see the module docstring
-    return F.broadcast(hot.select(key, BUCKETS))
+    return hot.select(key, BUCKETS)
 
 
 def salt_rows(rows: DataFrame, key: str, hot: DataFrame, spread: str) -> DataFrame:

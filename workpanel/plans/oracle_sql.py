@@ -126,8 +126,8 @@ def cells(keys: str, frm: str = "panel", people: bool = False) -> str:
     return f"SELECT {keys}, {mean} FROM {frm} GROUP BY {keys}"
 
 
-MOVERS = ("SELECT DISTINCT a.user_id FROM positions a JOIN positions b ON a.user_id = b.user_id "
-          f"WHERE a.country = '{ORIGIN}' AND b.country = '{DESTINATION}'")
+MOVERS = ("SELECT user_id FROM positions WHERE user_id IS NOT NULL GROUP BY user_id "
+          f"HAVING bool_or(country = '{ORIGIN}') AND bool_or(country = '{DESTINATION}')")
 MOVER_ROWS = "SELECT * FROM positions WHERE user_id IN (SELECT user_id FROM mv)"
 
 
@@ -241,6 +241,11 @@ def _q(ctes, body):
     return with_ctes(ctes, body)
 
 
+# columns of a cell job by name, nulls first
+NO_ID_TIE = ", ".join(f"{c} ASC NULLS FIRST" for c in
+                      ["country", "enddate", "onet_code", "salary", "startdate", "state", "user_id"])
+
+
 def build() -> dict[str, str]:
     panel_year = _q(resident(YEARS3) + [year_panel("gy")], "SELECT * FROM panel")
     cell_state_year = _q(resident(YEARS3) + [year_panel("gy")], cells("onet_code, state, year"))
@@ -359,9 +364,17 @@ def build() -> dict[str, str]:
                                     f"WHERE g.country = '{DESTINATION}') t"),
         "running_last_state": _q(movers_clean(DAYS1095),
                                  "SELECT position_id, user_id, e0 AS end_date_dt, state, "
-                                 "FIRST_VALUE(state) OVER (PARTITION BY user_id, e0 "
-                                 "ORDER BY position_id DESC) AS running_last_state "
+                                 "LAST_VALUE(state ORDER BY e0 DESC, position_id) OVER ("
+                                 "PARTITION BY user_id ORDER BY e0 DESC RANGE BETWEEN UNBOUNDED "
+                                 "PRECEDING AND CURRENT ROW) AS running_last_state "
                                  f"FROM g WHERE country = '{ORIGIN}'"),
+        # tables without row ids: ties in the order of the other columns
+        "cell_state_year_no_ids": _q(
+            [(n, s.replace("position_id ASC", NO_ID_TIE) if n == "l" else s) for n, s in resident(YEARS3)]
+            + [year_panel("gy")], cells("onet_code, state, year")),
+        "cell_origin_year_no_ids": _q(
+            [(n, s.replace("position_id ASC", NO_ID_TIE)) for n, s in origin_rows(False)],
+            cells("onet_code, last_origin_state, year")),
         # education
         "education_level": _q([], f"SELECT education_id, degree, {LEVEL_SQL} AS Educ_Level FROM education"),
         "education_marked": _q([], MARKED),

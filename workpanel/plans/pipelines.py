@@ -22,19 +22,50 @@ from workpanel.operators.education import education_wide
 from workpanel.operators.expand import expand_months, expand_years
 from workpanel.operators.places import attach_city, merge_city_mapper, split_located
 from workpanel.operators.spells import END, START, clean_spells, close_open, parse_dates
+from workpanel.sources.writers import materialize
 
-KEY, TIE = "user_id", "position_id"
+KEY, TIE, EDU_TIE = "user_id", "position_id", "education_id"
 
-# A hook applied to the movers' rows, e.g. ``lambda df: materialize(spark,
-# df, "movers")``: movers are a small part of all rows, and each later branch
-# (fill donors, rows to fill, origin place, destination rows) reads them.
+# A hook that writes a table once and reads it back.  The mover jobs apply it
+# to the per-person counts and to the movers' rows: each later branch (fill
+# donors, rows to fill, origin place, destination rows) reads those, so
+# positions are scanned twice in all, once for each.
 Stage = Callable[[DataFrame], DataFrame]
 
 
+def stage_table(df: DataFrame) -> DataFrame:
+    """The default ``Stage``: Parquet under the shared checkpoint folder."""
+    return materialize(df.sparkSession, df, "mover_rows")
+
+
 def _staged(df: DataFrame, stage: Stage | None) -> DataFrame:
     return df if stage is None else stage(df)
 
 
+def with_tie(df: DataFrame, tie: str, cols: list[str]) -> DataFrame:
+    """``df`` with a column ``tie`` that names its rows and orders ties.
+
+    A table without row ids gets one: the values of ``cols`` by column name
+    (nulls first), then a number that only tells equal rows apart.  The numbers
+    depend on task order, so the table is written once and read back.
+    """
+    if tie in df.columns:
+        return df
+    own = [c for c in sorted(cols) if c in df.columns]
+    rows = df.select(*own, F.monotonically_increasing_id().alias("_row"))
+    return materialize(df.sparkSession, rows.select(*own, F.struct(*own, "_row").alias(tie)), "with_ids")
+
+
+def _job_positions(positions: DataFrame, *more: str) -> DataFrame:
+    """The columns a cell job reads, with row ids."""
+    cols = [KEY, "startdate", "enddate", "country", "onet_code", "salary", *more]
+    return with_tie(positions, TIE, cols).select(*dict.fromkeys([*cols, TIE]))
+
+
+def _job_education(education: DataFrame) -> DataFrame:
+    return with_tie(education, EDU_TIE, [KEY, "enddate", "university_location", "university_country"])
+
+
 # ---- residents ------------------------------------------------------------
 
 def resident_spells(positions: DataFrame, country: str, fallback: str, as_of=None,
@@ -42,6 +73,7 @@ def resident_spells(positions: DataFrame, country: str, fallback: str, as_of=Non
     """Rows in ``country`` (filtered before the fill, so only they donate),
     cleaned."""
     rows = positions.filter(F.col("country") == F.lit(country))
+    rows = with_tie(rows, TIE, rows.columns)
     return clean_spells(rows, fallback=fallback, as_of=as_of, key=KEY, tie=TIE, order=order)
 
 
@@ -49,7 +81,8 @@ def resident_year(positions: DataFrame, country: str = "India", as_of=None,
                   mode: str = "as_coded", distinct_people: bool = False,
                   exact_scale: int | None = 2, order: str = "start") -> DataFrame:
     """L1: ``onet_code, state, year, mean_salary, n_individuals``."""
-    spells = resident_spells(positions, country, "years:3", as_of, order)
+    spells = resident_spells(_job_positions(positions.filter(F.col("country") == F.lit(country)), "state"),
+                             country, "years:3", as_of, order)
     return year_cells(spells, ["onet_code", "state"], mode=mode,
                       distinct_people=distinct_people, exact_scale=exact_scale)
 
@@ -62,9 +95,11 @@ def resident_year_panel(positions: DataFrame, country: str = "India", as_of=None
 
 
 def resident_month(positions: DataFrame, country: str = "India", as_of=None,
-                   exact_scale: int | None = 2, distinct_people: bool = False) -> DataFrame:
+                   exact_scale: int | None = 2, distinct_people: bool = False,
+                   order: str = "start") -> DataFrame:
     """L2: ``onet_code_f2, state, year_month, mean_salary, n_individuals``."""
-    spells = resident_spells(positions, country, "days:1095", as_of)
+    spells = resident_spells(_job_positions(positions.filter(F.col("country") == F.lit(country)), "state"),
+                             country, "days:1095", as_of, order)
     spells = spells.withColumn("onet_code_f2", occupation_major("onet_code"))
     return month_cells(spells, ["onet_code_f2", "state"], exact_scale=exact_scale,
                        distinct_people=distinct_people)
@@ -94,19 +129,25 @@ def _hot(people: DataFrame, hot_rows: int | None) -> DataFrame | None:
 
 
 def _salted_movers(positions: DataFrame, origin: str, destination: str, ordered: bool,
-                   hot_rows: int | None) -> tuple[DataFrame, DataFrame | None]:
+                   hot_rows: int | None, stage: Stage | None = None
+                   ) -> tuple[DataFrame, DataFrame | None]:
     """Movers' rows, each with the bucket ``_salt`` (0 unless its person is
-    hot), and the hot people; per-person tables join on (person, bucket)."""
+    hot), and the hot people; per-person tables join on (person, bucket).
+    With ``stage`` the counts are written once, and nobody hot means no
+    buckets at all."""
     if hot_rows is None:
         # no row counts needed: the movers aggregate reads origin and
         # destination rows only (filter pushed to the scan)
         src = parse_dates(positions) if ordered else positions
         keys = movers(src, origin, destination, ordered=ordered, start=START if ordered else None)
         return positions.join(keys, KEY, "left_semi"), None
-    people = mover_set(positions, origin, destination, ordered)
+    people = _staged(mover_set(positions, origin, destination, ordered), stage)
     hot = _hot(people, hot_rows)
+    if stage is not None:
+        hot = None if hot.isEmpty() else stage(hot)
     keys = people.filter(F.col("mover")).select(KEY)
-    return spread_join(salt_rows(positions, KEY, hot, TIE), keys, KEY, "left_semi", hot), hot
+    rows = positions if hot is None else salt_rows(positions, KEY, hot, TIE)
+    return spread_join(rows, keys, KEY, "left_semi", hot), hot
 
 
 def _unsalt(df: DataFrame) -> DataFrame:
@@ -126,7 +167,7 @@ def positions_with_education(positions: DataFrame, education: DataFrame, origin:
     """Mover rows with ``college_enddate, university_location`` of the latest
     home education.  With ``before`` only people whose latest home degree
     ended before it remain (the join becomes inner)."""
-    pos, hot = _salted_movers(positions, origin, destination, ordered, hot_rows)
+    pos, hot = _salted_movers(positions, origin, destination, ordered, hot_rows, stage)
     pos = _staged(pos, stage)
     edu = latest_education(education, origin, before=before)
     return _unsalt(spread_join(pos, edu, KEY, "left" if before is None else "inner", hot))
@@ -134,21 +175,22 @@ def positions_with_education(positions: DataFrame, education: DataFrame, origin:
 
 def mover_university_year(positions: DataFrame, education: DataFrame, origin: str = "India",
                           destination: str = "United States", before: str | None = None,
-                          as_of=None, stage: Stage | None = None, ordered: bool = False,
+                          as_of=None, stage: Stage | None = stage_table, ordered: bool = False,
                           mode: str = "as_coded", distinct_people: bool = False,
-                          hot_rows: int | None = HOT_ROWS) -> DataFrame:
+                          hot_rows: int | None = HOT_ROWS, exact_scale: int | None = 2,
+                          order: str = "start") -> DataFrame:
     """L3 / L4: ``onet_code, university_location, year, mean_salary, n_individuals``
     over destination rows of movers.  A missing start falls back to the
     college end date, else three years before the end.  ``ordered``: only
     people whose first origin job started before their last destination
     job."""
-    pos = positions_with_education(positions, education, origin, destination, before, stage,
-                                   ordered, hot_rows)
+    pos = positions_with_education(_job_positions(positions), _job_education(education), origin,
+                                   destination, before, stage, ordered, hot_rows)
     spells = clean_spells(pos, fallback="years:3", prefer="college_enddate", as_of=as_of,
-                          key=KEY, tie=TIE)
+                          key=KEY, tie=TIE, order=order)
     dest = spells.filter(F.col("country") == F.lit(destination))
     return year_cells(dest, ["onet_code", "university_location"], mode=mode,
-                      distinct_people=distinct_people)
+                      distinct_people=distinct_people, exact_scale=exact_scale)
 
 
 def mover_rows(positions: DataFrame, origin: str, destination: str,
@@ -166,7 +208,7 @@ def _mover_rows_salted(positions: DataFrame, origin: str, destination: str,
                        ordered: bool, hot_rows: int | None
                        ) -> tuple[DataFrame, DataFrame | None]:
     """``mover_rows`` still carrying the bucket column, plus the hot people."""
-    pos, hot = _salted_movers(positions, origin, destination, ordered, hot_rows)
+    pos, hot = _salted_movers(positions, origin, destination, ordered, hot_rows, stage)
     if before is not None:
         if education is None:
             raise ValueError("a cut-off needs the education table")
@@ -198,30 +240,32 @@ def positions_with_origin(spells: DataFrame, home: DataFrame, destination: str)
 def mover_origin_year(positions: DataFrame, origin: str = "India",
                       destination: str = "United States", education: DataFrame | None = None,
                       before: str | None = None, as_of=None, place: str = "state",
-                      out: str = "last_origin_state", stage: Stage | None = None,
+                      out: str = "last_origin_state", stage: Stage | None = stage_table,
                       ordered: bool = False, mode: str = "as_coded",
-                      distinct_people: bool = False,
-                      hot_rows: int | None = HOT_ROWS) -> DataFrame:
+                      distinct_people: bool = False, hot_rows: int | None = HOT_ROWS,
+                      exact_scale: int | None = 2, order: str = "start") -> DataFrame:
     """L5 / L6: ``onet_code, <out>, year, mean_salary, n_individuals``; spells
     whose end year is before their start year are left out."""
-    rows, hot = _mover_rows_salted(positions, origin, destination, education, before,
-                                   stage, ordered, hot_rows)
+    education = None if education is None else _job_education(education)
+    rows, hot = _mover_rows_salted(_job_positions(positions, place), origin, destination,
+                                   education, before, stage, ordered, hot_rows)
     home = last_origin_place(_unsalt(rows), origin, place, out, as_of)
     # Attach the per-person place before the fill: after the movers' join the
     # rows are still partitioned by (person, bucket), so this join needs no
     # shuffle of the rows (after the fill they are no longer so).
     spells = clean_spells(_unsalt(spread_join(rows, home, KEY, "left", hot)),
-                          fallback="days:1095", as_of=as_of, key=KEY, tie=TIE)
+                          fallback="days:1095", as_of=as_of, key=KEY, tie=TIE, order=order)
     dest = spells.filter(F.col("country") == F.lit(destination))
     return year_cells(dest, ["onet_code", out], drop_reversed=True, mode=mode,
-                      distinct_people=distinct_people)
+                      distinct_people=distinct_people, exact_scale=exact_scale)
 
 
 # ---- education and places ---------------------------------------------------
 
 def education_profile(education: DataFrame, **kw) -> DataFrame:
     """L7: one row per person, 18 columns."""
-    return education_wide(education, **kw)
+    tied = with_tie(education, EDU_TIE, education.columns) if kw.get("order") != "any" else education
+    return education_wide(tied, **kw)
 
 
 def city_mapper(parts: list[DataFrame]) -> DataFrame:

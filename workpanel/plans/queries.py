@@ -248,6 +248,16 @@ def q_cell_origin_year_ordered(spark, d):
     return L.mover_origin_year(_pos(spark, d), ORIGIN, DESTINATION, as_of=AS_OF, ordered=True)
 
 
+def q_cell_state_year_no_ids(spark, d):
+    """L1 on positions without a row id."""
+    return L.resident_year(_pos(spark, d).drop("position_id"), ORIGIN, AS_OF)
+
+
+def q_cell_origin_year_no_ids(spark, d):
+    """L5 on positions without a row id."""
+    return L.mover_origin_year(_pos(spark, d).drop("position_id"), ORIGIN, DESTINATION, as_of=AS_OF)
+
+
 def q_cell_state_month_people(spark, d):
     return L.resident_month(_pos(spark, d), ORIGIN, AS_OF, distinct_people=True)
 
@@ -276,14 +286,14 @@ def q_cell_origin_year_pre(spark, d):
 def q_stream_cell_state_year(spark, d):
     """Structured Streaming: the positions arrive as Parquet files; the
     stateless cleaning and the cell aggregate run as a streaming query."""
-    from workpanel.streaming.panel_stream import (read_positions_stream, stream_year_cells,
-                                                  write_snapshots)
-    src = write_table(_pos(spark, d).repartition(4), scratch_path(spark, "stream_src"))
+    from workpanel.streaming.panel_stream import (latest_snapshot, read_positions_stream,
+                                                  stream_year_cells, write_snapshots)
+    src = write_table(_pos(spark, d), scratch_path(spark, "stream_src"))
     out = scratch_path(spark, "stream_cells")
     cells = stream_year_cells(read_positions_stream(spark, src, max_files_per_trigger=1),
                               ORIGIN, as_of=AS_OF)
     write_snapshots(cells, out).awaitTermination()
-    return spark.read.parquet(out)
+    return latest_snapshot(spark, out)
 
 
 def q_stream_located_rows(spark, d):
@@ -291,7 +301,7 @@ def q_stream_located_rows(spark, d):
     static look-up and located rows are appended to Parquet."""
     from workpanel.streaming.panel_stream import (read_positions_stream, stream_located,
                                                   write_appends)
-    src = write_table(_pos(spark, d).repartition(4), scratch_path(spark, "stream_src"))
+    src = write_table(_pos(spark, d), scratch_path(spark, "stream_src"))
     out = scratch_path(spark, "stream_located")
     rows = read_positions_stream(spark, src, max_files_per_trigger=1)
     write_appends(stream_located(rows, _mapper(spark, d)), out).awaitTermination()
@@ -407,8 +417,3 @@ QUERIES: dict[str, Query] = {
     name[2:]: fn for name, fn in sorted(globals().items())
     if name.startswith("q_") and callable(fn)
 }
-
-# Queries whose inputs are written to and read from the shared scratch folder.
-WRITES = {"scan_positions", "scan_education", "scan_city_csv", "scan_old_dates",
-          "sink_csv_roundtrip", "sink_ignore_roundtrip", "sink_parquet_roundtrip",
-          "sink_single_csv"}

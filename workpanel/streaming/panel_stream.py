@@ -9,7 +9,8 @@ resulting cells equal the batch job run with the fill switched off.
 
 The cell table is bounded (occupation x place x year), so it is kept as
 streaming aggregate state and emitted in ``complete`` mode; each trigger
-replaces the output snapshot.
+writes a snapshot of its own.  Open spells close at a fixed ``as_of``: a
+default of today would close rows of different batches on different days.
 """
 
 from __future__ import annotations
@@ -33,13 +34,13 @@ def read_positions_stream(spark: SparkSession, path: str, schema=POSITIONS_SCHEM
     return r.parquet(path)
 
 
-def stream_spells(rows: DataFrame, fallback: str = "years:3", as_of=None) -> DataFrame:
+def stream_spells(rows: DataFrame, as_of, fallback: str = "years:3") -> DataFrame:
     """parse -> close open ends -> flag + fallback (no fill, see module doc)."""
     return backfill_start(close_open(parse_dates(rows), as_of=as_of), fallback=fallback)
 
 
-def stream_year_cells(rows: DataFrame, country: str, keys=("onet_code", "state"),
-                      as_of=None, mapper: DataFrame | None = None) -> DataFrame:
+def stream_year_cells(rows: DataFrame, country: str, as_of, keys=("onet_code", "state"),
+                      mapper: DataFrame | None = None) -> DataFrame:
     """Streaming L1 without the fill; ``mapper`` (static) attaches cities
     first when the keys need them."""
     rows = rows.filter(F.col("country") == F.lit(country))
@@ -51,14 +52,16 @@ def stream_year_cells(rows: DataFrame, country: str, keys=("onet_code", "state")
 
 def write_snapshots(cells: DataFrame, out: str, checkpoint: str | None = None,
                     available_now: bool = True):
-    """Run the stream; every micro-batch overwrites ``out`` (Parquet) with
-    the complete cell table.  The checkpoint lives under the shared
-    checkpoint folder so a restarted driver resumes where it stopped."""
+    """Run the stream; every micro-batch writes the complete cell table to a
+    folder of its own, ``out/batch=<id>`` (a repeated batch writes its own
+    again), so readers of earlier batches are not disturbed; see
+    ``latest_snapshot``.  The checkpoint lives under the shared checkpoint
+    folder so a restarted driver resumes where it stopped."""
     spark = cells.sparkSession
     checkpoint = checkpoint or scratch_path(spark, "stream_checkpoint")
 
-    def snapshot(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def snapshot(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
 
     w = (cells.writeStream.outputMode("complete").foreachBatch(snapshot)
          .option("checkpointLocation", checkpoint))
@@ -66,6 +69,13 @@ def write_snapshots(cells: DataFrame, out: str, checkpoint: str | None = None,
     return w.start()
 
 
+def latest_snapshot(spark: SparkSession, out: str) -> DataFrame:
+    """The newest batch under ``out``."""
+    cells = spark.read.parquet(out)
+    newest = cells.agg(F.max("batch").alias("batch"))
+    return cells.join(newest, "batch", "left_semi").drop("batch")
+
+
 def stream_located(rows: DataFrame, mapper: DataFrame, null_safe: bool = True) -> DataFrame:
     """L9 on a stream: each arriving position row joined to the static
     look-up (stream-static left join, no state), located rows only."""
