@@ -119,3 +119,27 @@ def test_text_output_takes_one_column(spark):
         write_table(df, scratch_path(spark, "txt_bad"), fmt="text")
     path = write_table(df.select("id"), scratch_path(spark, "txt_ok"), fmt="text")
     assert [r.value for r in spark.read.text(path).collect()] == ["1"]
+
+
+def test_unusable_types_are_refused_at_read(spark):
+    import pytest
+    path = scratch_path(spark, "text_salary")
+    spark.createDataFrame([(1, "2000-01-01", None, "India", "12")],
+                          "user_id long, startdate string, enddate string, country string, salary string"
+                          ).write.parquet(path)
+    with pytest.raises(ValueError, match="salary: string"):
+        read_positions(spark, path)
+
+
+def test_staged_tables_are_removed(spark):
+    import os
+    from workpanel.session import local_path
+    from workpanel.sources import writers
+    kept = list(writers._STAGED)
+    writers._STAGED.clear()
+    materialize(spark, spark.range(3), "to_remove")
+    path = local_path(writers._STAGED[0])
+    assert os.path.isdir(path)
+    writers.discard_staged(spark)
+    assert not os.path.exists(path)
+    writers._STAGED.extend(kept)

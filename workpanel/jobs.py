@@ -23,7 +23,7 @@ from workpanel.plans import pipelines as L
 from workpanel.session import build_session
 from workpanel.sources.readers import (SOURCE_FILE, read_city_mapper, read_education,
                                        read_positions, with_source_file)
-from workpanel.sources.writers import materialize, write_table
+from workpanel.sources.writers import discard_staged, materialize, write_table
 
 
 def _cells(p: argparse.ArgumentParser) -> None:
@@ -123,8 +123,9 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _write(df: DataFrame, a, path: str | None = None, mode: str | None = None) -> None:
+    # a side output may lack the columns that the main one is partitioned by
     write_table(df, path or a.out, fmt=a.format, mode=mode or a.mode,
-                partition_by=a.partition_by)
+                partition_by=None if path else a.partition_by)
 
 
 def _stage(spark: SparkSession, a):
@@ -198,7 +199,10 @@ def run(spark: SparkSession, a) -> None:
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = build_session(app=f"workpanel-{a.job}")
-    run(spark, a)
+    try:
+        run(spark, a)
+    finally:
+        discard_staged(spark)
     return 0
 
 

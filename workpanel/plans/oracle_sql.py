@@ -262,8 +262,11 @@ def build() -> dict[str, str]:
         "scan_positions": _q([], "SELECT * FROM positions"),
         "scan_education": _q([], "SELECT * FROM education"),
         "scan_city_csv": _q([], UNION),
-        "scan_old_dates": _q([], "SELECT education_id, user_id, TRY_CAST(enddate AS DATE) AS enddate_dt "
-                                 "FROM education"),
+        "scan_old_dates": _q([], "SELECT education_id, user_id, CAST(TRY_CAST(enddate AS DATE) "
+                                 "- INTERVAL 500 YEAR AS DATE) AS enddate_dt FROM education"),
+        "sink_city_mapper_parquet": _q([], MERGED),
+        "sink_located_by_file": _q(attach(), f"SELECT * FROM att WHERE {LOCATED}"),
+        "sink_unlocated_text": _q(attach(), f"SELECT user_id FROM att WHERE NOT COALESCE({LOCATED}, FALSE)"),
         "sink_csv_roundtrip": cell_state_year,
         "sink_ignore_roundtrip": panel_year,
         "sink_parquet_roundtrip": cell_state_month,
@@ -316,6 +319,10 @@ def build() -> dict[str, str]:
                                       cells("onet_code, state, year")),
         "cell_state_year_people": _q(resident(YEARS3) + [year_panel("gy")],
                                      cells("onet_code, state, year", people=True)),
+        "cell_state_year_fractions": _q(
+            resident(YEARS3) + [year_panel("gy")],
+            "SELECT onet_code, state, year, AVG(FLOOR(salary) / 8) AS mean_salary, "
+            "COUNT(salary) AS n_individuals FROM panel GROUP BY onet_code, state, year"),
         "sql_cell_means": cell_state_year,
         "sql_cell_origin_year": cell_origin_year,
         "cell_state_month": cell_state_month,

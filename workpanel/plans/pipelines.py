@@ -73,8 +73,9 @@ def resident_spells(positions: DataFrame, country: str, fallback: str, as_of=Non
     """Rows in ``country`` (filtered before the fill, so only they donate),
     cleaned."""
     rows = positions.filter(F.col("country") == F.lit(country))
-    rows = with_tie(rows, TIE, rows.columns)
-    return clean_spells(rows, fallback=fallback, as_of=as_of, key=KEY, tie=TIE, order=order)
+    tied = with_tie(rows, TIE, rows.columns)
+    spells = clean_spells(tied, fallback=fallback, as_of=as_of, key=KEY, tie=TIE, order=order)
+    return spells if TIE in positions.columns else spells.drop(TIE)
 
 
 def resident_year(positions: DataFrame, country: str = "India", as_of=None,
@@ -232,9 +233,22 @@ def last_origin_place(rows: DataFrame, origin: str, place: str = "state",
     return last_place(ended, origin, place=place, out=out, key=KEY, tie=TIE)
 
 
-def positions_with_origin(spells: DataFrame, home: DataFrame, destination: str) -> DataFrame:
-    """Destination rows with the place of the person's latest origin job."""
-    return spells.filter(F.col("country") == F.lit(destination)).join(home, KEY, "left")
+def positions_with_origin(positions: DataFrame, origin: str = "India",
+                          destination: str = "United States", education: DataFrame | None = None,
+                          before: str | None = None, as_of=None, place: str = "state",
+                          out: str = "last_origin_state", stage: Stage | None = stage_table,
+                          ordered: bool = False, hot_rows: int | None = HOT_ROWS,
+                          order: str = "start") -> DataFrame:
+    """Movers' cleaned destination rows with the place of their latest origin job."""
+    rows, hot = _mover_rows_salted(positions, origin, destination, education, before,
+                                   stage, ordered, hot_rows)
+    home = last_origin_place(_unsalt(rows), origin, place, out, as_of)
+    # Attach the per-person place before the fill: after the movers' join the
+    # rows are still partitioned by (person, bucket), so this join needs no
+    # shuffle of the rows (after the fill they are no longer so).
+    spells = clean_spells(_unsalt(spread_join(rows, home, KEY, "left", hot)),
+                          fallback="days:1095", as_of=as_of, key=KEY, tie=TIE, order=order)
+    return spells.filter(F.col("country") == F.lit(destination))
 
 
 def mover_origin_year(positions: DataFrame, origin: str = "India",
@@ -247,15 +261,8 @@ def mover_origin_year(positions: DataFrame, origin: str = "India",
     """L5 / L6: ``onet_code, <out>, year, mean_salary, n_individuals``; spells
     whose end year is before their start year are left out."""
     education = None if education is None else _job_education(education)
-    rows, hot = _mover_rows_salted(_job_positions(positions, place), origin, destination,
-                                   education, before, stage, ordered, hot_rows)
-    home = last_origin_place(_unsalt(rows), origin, place, out, as_of)
-    # Attach the per-person place before the fill: after the movers' join the
-    # rows are still partitioned by (person, bucket), so this join needs no
-    # shuffle of the rows (after the fill they are no longer so).
-    spells = clean_spells(_unsalt(spread_join(rows, home, KEY, "left", hot)),
-                          fallback="days:1095", as_of=as_of, key=KEY, tie=TIE, order=order)
-    dest = spells.filter(F.col("country") == F.lit(destination))
+    dest = positions_with_origin(_job_positions(positions, place), origin, destination, education,
+                                 before, as_of, place, out, stage, ordered, hot_rows, order)
     return year_cells(dest, ["onet_code", out], drop_reversed=True, mode=mode,
                       distinct_people=distinct_people, exact_scale=exact_scale)
 

@@ -26,7 +26,8 @@ from workpanel.plans import pipelines as L
 from workpanel.plans.oracle_sql import AS_OF, CUTOFF, DESTINATION, ORIGIN
 from workpanel.session import scratch_path
 from workpanel.sources import fixtures as fx
-from workpanel.sources.readers import read_city_mapper, read_education, read_positions
+from workpanel.sources.readers import (SOURCE_FILE, read_city_mapper, read_education,
+                                       read_positions, with_source_file)
 from workpanel.sources.writers import read_back, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,9 +64,11 @@ def q_scan_city_csv(spark, d):
 
 
 def q_scan_old_dates(spark, d):
-    path = write_table(_edu(spark, d), scratch_path(spark, "education_dates"))
+    """Dates five centuries earlier, written and read as dates before 1582."""
+    old = _edu(spark, d).withColumn("enddate", F.add_months(F.col("enddate").try_cast("date"), -6000))
+    path = write_table(old, scratch_path(spark, "education_dates"))
     e = read_education(spark, path, rebase=True)
-    return e.select("education_id", "user_id", F.col("enddate").try_cast("date").alias("enddate_dt"))
+    return e.select("education_id", "user_id", F.col("enddate").alias("enddate_dt"))
 
 
 def q_sink_csv_roundtrip(spark, d):
@@ -95,6 +98,28 @@ def q_sink_single_csv(spark, d):
     return read_back(spark, path, "csv", cells.schema)
 
 
+def q_sink_city_mapper_parquet(spark, d):
+    """The merged look-up, written and read back."""
+    mapper = _mapper(spark, d)
+    return read_back(spark, write_table(mapper, scratch_path(spark, "city_mapper")), "parquet", mapper.schema)
+
+
+def q_sink_located_by_file(spark, d):
+    """Located rows, one output folder per input file."""
+    src = write_table(_pos(spark, d), scratch_path(spark, "positions"))
+    rows = with_source_file(read_positions(spark, src))
+    located, _ = L.positions_with_city(rows, _mapper(spark, d))
+    path = write_table(located, scratch_path(spark, "located"), partition_by=[SOURCE_FILE])
+    return spark.read.parquet(path).drop(SOURCE_FILE)
+
+
+def q_sink_unlocated_text(spark, d):
+    """Ids of unlocated rows as lines of text."""
+    _, users = L.positions_with_city(_pos(spark, d), _mapper(spark, d))
+    path = write_table(users, scratch_path(spark, "unlocated"), fmt="text")
+    return spark.read.text(path).select(F.col("value").cast("long").alias("user_id"))
+
+
 # ---- spell cleaning steps ---------------------------------------------------
 
 def q_parse_dates(spark, d):
@@ -194,6 +219,12 @@ def q_cell_state_year_people(spark, d):
     return L.resident_year(_pos(spark, d), ORIGIN, AS_OF, distinct_people=True)
 
 
+def q_cell_state_year_fractions(spark, d):
+    """L1 with salaries in eighths: values beyond two decimals count in full."""
+    pos = _pos(spark, d).withColumn("salary", F.floor("salary").cast("double") / 8)
+    return L.resident_year(pos, ORIGIN, AS_OF)
+
+
 def q_sql_cell_means(spark, d):
     """The reference's SQL surface: the panel as a temp view, then GROUP BY."""
     panel = q_panel_year(spark, d)
@@ -212,17 +243,16 @@ def q_sql_cell_origin_year(spark, d):
     """L5 written as SQL over the registered views (``plans.views``)."""
     from workpanel.plans.views import register_views
     register_views(spark, _pos(spark, d), as_of=AS_OF, prefix="wp_")
-    return spark.sql(f"""
+    return spark.sql("""
         SELECT onet_code, last_origin_state, year,
                CASE WHEN COUNT(salary) > 0
                     THEN CAST(SUM(CAST(salary AS DECIMAL(18,2))) AS DOUBLE) / COUNT(salary)
                END AS mean_salary,
                COUNT(salary) AS n_individuals
-        FROM (SELECT s.onet_code, s.salary, p.last_origin_state,
-                     explode(sequence(year(s.start_date_dt), year(s.end_date_dt) - 1)) AS year
-              FROM wp_mover_spells s LEFT JOIN wp_last_origin_place p ON s.user_id = p.user_id
-              WHERE s.country = '{DESTINATION}'
-                AND year(s.end_date_dt) >= year(s.start_date_dt)) t
+        FROM (SELECT onet_code, salary, last_origin_state,
+                     explode(sequence(year(start_date_dt), year(end_date_dt) - 1)) AS year
+              FROM wp_positions_with_origin
+              WHERE year(end_date_dt) >= year(start_date_dt)) t
         GROUP BY onet_code, last_origin_state, year""")
 
 
@@ -350,9 +380,7 @@ def q_last_origin_state_unfilled(spark, d):
 
 
 def q_positions_with_origin(spark, d):
-    rows = L.mover_rows(_pos(spark, d), ORIGIN, DESTINATION)
-    home = L.last_origin_place(rows, ORIGIN, as_of=AS_OF)
-    return L.positions_with_origin(_mover_spells(spark, d), home, DESTINATION)
+    return L.positions_with_origin(_pos(spark, d), ORIGIN, DESTINATION, as_of=AS_OF)
 
 
 def q_running_last_state(spark, d):

@@ -29,6 +29,8 @@ def register_views(spark: SparkSession, positions: DataFrame,
       ``country``, cleaned (3-year fallback for years, 1095 days for months),
       one row per spell, per spell-year, per spell-month (with ``onet_code_f2``);
     * ``mover_spells``: movers' rows, cleaned with the 1095-day fallback;
+    * ``positions_with_origin``: their destination rows with ``last_origin_state``,
+      joined by (person, bucket) so that a person with very many rows is spread;
     * ``last_origin_place``: ``user_id, last_origin_state``;
     * with ``education``: ``latest_education`` and ``education_wide``.
     """
@@ -42,6 +44,8 @@ def register_views(spark: SparkSession, positions: DataFrame,
                                                           occupation_major("onet_code")),
         "mover_spells": L.clean_spells(rows, fallback="days:1095", as_of=as_of,
                                        key=L.KEY, tie=L.TIE),
+        "positions_with_origin": L.positions_with_origin(positions, origin, destination,
+                                                         as_of=as_of, stage=None),
         "last_origin_place": L.last_origin_place(rows, origin, as_of=as_of),
     }
     if education is not None:

@@ -40,6 +40,29 @@ def require_columns(df: DataFrame, needed, what: str) -> DataFrame:
     return df
 
 
+def require_types(df: DataFrame, schema: T.StructType, what: str) -> DataFrame:
+    """Known columns must have a type their job can use: numbers for numbers
+    that are summed, text for text (dates may also be dates or timestamps);
+    ids may be any plain type."""
+    wrong = []
+    for f in schema:
+        if f.name not in df.columns:
+            continue
+        found = df.schema[f.name].dataType
+        if f.name.endswith("_id"):
+            ok = not isinstance(found, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))
+        elif isinstance(f.dataType, T.NumericType):
+            ok = isinstance(found, T.NumericType)
+        else:
+            dates = (T.DateType, T.TimestampType, T.TimestampNTZType) if f.name.endswith("date") else ()
+            ok = isinstance(found, (T.StringType, *dates))
+        if not ok:
+            wrong.append(f"{f.name}: {found.simpleString()}")
+    if wrong:
+        raise ValueError(f"{what} has columns of unusable types: {', '.join(wrong)}")
+    return df
+
+
 SOURCE_FILE = "source_file"
 
 
@@ -65,13 +88,15 @@ def _parquet(spark: SparkSession, path: str | list[str], schema: T.StructType |
 def read_positions(spark: SparkSession, path: str | list[str],
                    schema: T.StructType | None = None, rebase: bool = True,
                    needed=("user_id", "startdate", "enddate", "country")) -> DataFrame:
-    return require_columns(_parquet(spark, path, schema, rebase), needed, "positions")
+    df = require_columns(_parquet(spark, path, schema, rebase), needed, "positions")
+    return require_types(df, POSITIONS_SCHEMA, "positions")
 
 
 def read_education(spark: SparkSession, path: str | list[str],
                    schema: T.StructType | None = None, rebase: bool = True,
                    needed=("user_id", "degree", "enddate")) -> DataFrame:
-    return require_columns(_parquet(spark, path, schema, rebase), needed, "education")
+    df = require_columns(_parquet(spark, path, schema, rebase), needed, "education")
+    return require_types(df, EDUCATION_SCHEMA, "education")
 
 
 def read_city_mapper(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -46,10 +46,23 @@ def read_back(spark: SparkSession, path: str, fmt: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Folders that ``materialize`` wrote, for ``discard_staged``.
+_STAGED: list[str] = []
+
+
+def discard_staged(spark: SparkSession) -> None:
+    """Delete what ``materialize`` wrote; call when a job's outputs are written."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    while _STAGED:
+        path = fs_path(_STAGED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: cuts the lineage (a lost executor does not replay the upstream
     plan) and lets a result feed several outputs without recomputation."""
     path = scratch_path(spark, name)
+    _STAGED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
