@@ -30,10 +30,13 @@ def test_entry_runs_with_stable_schema(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    """Only text operators that SQL cannot express have none; ``tests/llm``
+    holds those against brute force."""
+    assert set(E.oracle_sql()) <= set(E.queries())
+    assert set(E.queries()) - set(E.oracle_sql()) <= set(E.LLM_QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     r = compare(spark, con, name, E.queries()[name], E.oracle_sql()[name], SF0001)
     assert r["match"], r
