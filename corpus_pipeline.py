@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from workpanel.llm.common import broadcast_if_small, staged, table
+from workpanel.llm.common import shuffled, staged, table
 from workpanel.llm.decontamination import decontaminate
 from workpanel.llm.ngram_join import ngram_components
 from workpanel.llm.packing import pack_documents
@@ -34,7 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     the smallest id.  Of repeated rows (equal id and text) one stays; rows without
     an id cannot be named and stay."""
     groups = staged(ngram_components(docs), "near-duplicates")
-    gone = broadcast_if_small(groups.filter("doc_id <> component_id").select("doc_id").distinct())
+    gone = shuffled(groups.filter("doc_id <> component_id").select("doc_id").distinct())
     kept = docs.join(gone, "doc_id", "left_anti")
     repeated = groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
     if repeated.isEmpty():

@@ -47,6 +47,12 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df``, a list of ids that grows with the corpus, to be joined by shuffle at
+    every size, so that figures of small tables hold for large ones."""
+    return df.hint("shuffle_merge")
+
+
 def words(text: Column | str) -> Column:
     """The text's words as an array; null and blank texts give an empty one."""
     t = F.col(text) if isinstance(text, str) else text

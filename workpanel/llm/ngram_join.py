@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from workpanel.llm.common import broadcast_if_small, components, staged
+from workpanel.llm.common import components, shuffled, staged
 
 #: Sets up to this size use one-deletion neighbourhoods: as many keys as n-grams, but longer ones.
 SMALL = 64
@@ -265,7 +265,7 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
 
     members = keys.select("cls").distinct()
     info = staged(members.join(classes, "cls"), "ngram-classes")
-    rows = docs.select(id_col, text_col).join(broadcast_if_small(info.select("cls", F.col("rep").alias(id_col))), id_col)
+    rows = docs.select(id_col, text_col).join(shuffled(info.select("cls", F.col("rep").alias(id_col))), id_col)
     grams = staged(rows.mapInPandas(sets_for(n, text_col), "cls long, grams array<long>").dropDuplicates(["cls"]), "ngram-grams")
 
     score = keys.groupBy("cls").agg(F.sum(F.log("df")).alias("score"))
