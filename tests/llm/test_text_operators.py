@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from workpanel.llm.common import components, numbered
-from workpanel.llm.decontamination import contaminated, decontaminate
+from workpanel.llm.decontamination import contaminated, decontaminate, leaks
 from workpanel.llm.ngram_join import ngram_components
 from workpanel.llm.packing import pack_documents, pack_lengths, text_words, word_ids
 from workpanel.llm.pii import pseudonymise
@@ -213,6 +213,19 @@ def test_decontamination(spark, empty):
     assert contaminated(empty, bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    items = {n: prose(n) for n in (1, 5, 11, 12, 15, 40)}
+    items[1] = "zyx"
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = [(n, f"{prose(20)} {t.upper()} {prose(20)}") for n, t in items.items()] + [(100 + n, t) for n, t in items.items()]
+    rows += [(200 + n, f"{prose(20)} {' '.join(t.split()[:-1])} q q {prose(20)}") for n, t in items.items() if n in (5, 11)]
+    rows += [(300, " ".join(items[40].split()[10:23])), (301, " ".join(items[40].split()[10:21])), (302, None), (303, prose(60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {(k + n, n) for n in items for k in (0, 100)} | {(300, 40)}
+    assert {(r["doc_id"], r["item_id"]) for r in leaks(docs, bench).collect()} == whole
+    assert {r["doc_id"] for r in decontaminate(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in whole}
+
+
 def brute_counts(t):
     t = t or ""
     w = re.findall("[^\x20\x09-\x0D]+", t)
