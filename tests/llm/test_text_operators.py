@@ -3,13 +3,14 @@
 import random
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from workpanel.llm.common import components, numbered
-from workpanel.llm.decontamination import contaminated, decontaminate, leaks
+from workpanel.llm.decontamination import STAGE_MASKS, contaminated, decontaminate, leaks
 from workpanel.llm.ngram_join import ngram_components
 from workpanel.llm.packing import pack_documents, pack_lengths, text_words, word_ids
 from workpanel.llm.pii import pseudonymise
@@ -226,6 +227,27 @@ def test_decontamination_of_short_items(spark):
     assert {r["doc_id"] for r in decontaminate(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in whole}
 
 
+def test_stage_masks_fit_every_placement_of_tolerated_changes():
+    for n in range(12, 25):
+        for changed in combinations(range(n), n - -(-80 * n // 100)):
+            same = "".join("0" if k in changed else "1" for k in range(n))
+            assert any(re.search(f"(?={m.replace('0', '.')})", same) for m in STAGE_MASKS), same
+
+
+def test_decontamination_with_spread_changes(spark):
+    items, rows = {}, []
+    for n, k in ((12, 2), (15, 3), (16, 3), (20, 4), (24, 4)):
+        for _ in range(40):
+            own = prose(n).split()
+            items[len(items)] = " ".join(own)
+            for c in R.sample(range(n), k):
+                own[c] = f"y{R.randrange(10 ** 6)}"
+            rows.append((len(rows), " ".join(own)))
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in leaks(docs, bench).collect()} == {(k, k) for k in items}
+
+
 def brute_counts(t):
     t = t or ""
     w = re.findall("[^\x20\x09-\x0D]+", t)
