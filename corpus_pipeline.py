@@ -30,10 +30,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of 4-word-shingle similarity 0.85: the one with
+    """One document of each group of 5-word-shingle similarity 0.8: the one with
     the smallest id.  Of repeated rows (equal id and text) one stays; rows without
     an id cannot be named and stay."""
-    groups = staged(ngram_components(docs), "near-duplicates")
+    groups = staged(ngram_components(docs, n=5, percent=80), "near-duplicates")
     gone = shuffled(groups.filter("doc_id <> component_id").select("doc_id").distinct())
     kept = docs.join(gone, "doc_id", "left_anti")
     repeated = groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")

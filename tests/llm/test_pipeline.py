@@ -15,6 +15,23 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert p.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
+def test_near_duplicates_at_five_words_and_four_fifths(spark):
+    rows, own = [], [f"c{k}" for k in range(94)]  # 90 shingles of five words, 91 of four
+    for group, places in enumerate(((40, 70), (30, 60))):
+        words = [f"{group}{w}" for w in own]
+        rows.append((10 * group, " ".join(words)))
+        rows.append((10 * group + 1, " ".join("x" if k in places else w for k, w in enumerate(words))))
+
+    def jaccard(a, b, n):
+        x, y = ({tuple(t.split()[k:k + n]) for k in range(95 - n)} for t in (a, b))
+        return len(x & y) / len(x | y)
+
+    near = [(jaccard(rows[k][1], rows[k + 1][1], 5), jaccard(rows[k][1], rows[k + 1][1], 4)) for k in (0, 2)]
+    assert [0.8 <= five <= 0.82 and four < 0.85 for five, four in near] == [True, True], near
+    docs = spark.createDataFrame([(k, t, len(t)) for k, t in rows], "doc_id long, text string, n_chars long")
+    assert sorted(r["doc_id"] for r in p.drop_near_duplicates(spark, docs, "").collect()) == [0, 10]
+
+
 def test_leaks_go_and_personal_data_is_hidden(spark, tmp_path):
     spark.createDataFrame([(1, B)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = spark.createDataFrame([(1, f"x {B} y", 1), (2, "ip 10.1.2.3", 11), (3, None, 0)], "doc_id long, text string, n_chars long")
