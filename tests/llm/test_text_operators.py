@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from workpanel.llm.common import components, numbered
 from workpanel.llm.decontamination import STAGE_MASKS, contaminated, decontaminate, leaks
-from workpanel.llm.ngram_join import ngram_components
+from workpanel.llm.ngram_join import ngram_components, open_keys
 from workpanel.llm.packing import pack_documents, pack_lengths, text_words, word_ids
 from workpanel.llm.pii import pseudonymise
 from workpanel.llm.quality_classifier import class_prior, quality_scores
@@ -97,6 +97,38 @@ def test_ngram_components_large_near_copy_group(spark):
     assert got == brute_components(rows)
 
 
+def test_open_keys_keep_every_pair_of_components(spark):
+    # a component has one size, and both weak and strong members
+    rows = {(k, R.randrange(60)) for k in range(400) for _ in range(R.randrange(1, 6))}
+    rows |= {(900, 90), (900, 91), (900, 92)}
+    comp, weak = {c: c % 9 for c in range(60)}, {c: int(c % 4 == 0) for c in range(60)}
+    comp |= {90: 5, 91: 7, 92: 5}  # C, D, C; the last is weak
+    weak |= {90: 0, 91: 0, 92: 1}
+    size = [3, 3, 8, 1, 1, 2, 5, 6, 2]
+    place = [(k, c, comp[c], weak[c], size[comp[c]]) for k, c in sorted(rows)]
+    out = open_keys(spark.createDataFrame(place, "key long, cls long, comp long, weak int, size long")).collect()
+    kept, looks = {(r["key"], r["cls"]) for r in out}, {(r["key"], r["cls"]) for r in out if r["looks"]}
+    order = {c: (weak[c], size[comp[c]], comp[c], c) for c in comp}
+    pairs = {(k, a, b) for k, a in rows for j, b in rows
+             if k == j and comp[a] != comp[b] and (order[a] < order[b] or weak[a] + weak[b] == 2)}
+    assert {(k, a) for k, a, _ in pairs} == looks and {(k, b) for k, _, b in pairs} <= kept
+    assert (900, 90, 91) in pairs
+
+
+def test_ngram_components_of_short_near_copies(spark):
+    rows = []
+    for group in range(60):
+        base = [f"g{group}w{k}" for k in range(R.randrange(12, 26))]
+        for _ in range(12):
+            w = list(base)
+            for _ in range(R.randrange(0, 2)):
+                w[R.choice((0, 1, -1, -2, R.randrange(len(w))))] = f"x{R.randrange(40)}"
+            rows.append((len(rows), " ".join(w[R.randrange(2):len(w) - R.randrange(2)])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"])
+           for r in ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(900, 901), (901, 900), (5, 5)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}

@@ -231,6 +231,23 @@ def probes(keys: DataFrame) -> DataFrame:
     return keys.join(chosen, ["cls", "part"], "left_semi").select("key", "cls")
 
 
+def open_keys(index: DataFrame) -> DataFrame:
+    """Of the rows ``key, cls, comp, weak, size``, those whose key more than one component
+    has, with ``looks``: whether the key has a class of another component that is
+    higher, or weak as the class itself; a key's highest component need not look
+    for others."""
+    by_key = Window.partitionBy("key")
+    over = F.when(F.col("weak") == 0, F.struct("size", "comp"))  # strong rows; every weak row is higher
+    vague = F.when(F.col("weak") == 1, F.col("comp"))
+    ends = {"_lo": F.min("comp"), "_hi": F.max("comp"), "_over": F.max(over), "_weak_lo": F.min(vague), "_weak_hi": F.max(vague)}
+    for name, end in ends.items():
+        index = index.withColumn(name, end.over(by_key))
+    above = F.col("_over") > F.struct("size", "comp")
+    beside = (F.col("_weak_lo") != F.col("comp")) | (F.col("_weak_hi") != F.col("comp"))
+    looks = F.coalesce(beside, F.lit(False)) | ((F.col("weak") == 0) & F.coalesce(above, F.lit(False)))
+    return index.filter("_lo < _hi").withColumn("looks", looks).drop(*ends)
+
+
 def can_link(percent: int, a: str, b: str) -> Column:
     """What sizes and parities allow; never false for a linked pair."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
@@ -286,13 +303,8 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
                      F.struct(F.coalesce("weak", F.lit(0)), F.coalesce("size", F.lit(1)),
                               F.coalesce("component", "cls"), F.col("cls")).alias("order")))
     place = staged(place, "ngram-order")
-    # keys of one component need no more work, nor does a key's highest component look for others
-    by_key, rank = Window.partitionBy("key"), F.struct("weak", "size", "comp")
-    index = staged(keys.select("key", "cls").distinct().join(place, "cls")
-                   .withColumn("top", F.max(rank).over(by_key)).withColumn("_low", F.min(rank).over(by_key))
-                   .filter("_low.comp <> top.comp or _low.weak = 1").drop("_low"), "ngram-open")
-    low = (probes(keys).distinct().join(index, ["key", "cls"])
-           .filter("comp <> top.comp or weak = 1").alias("x"))
+    index = staged(open_keys(keys.select("key", "cls").distinct().join(place, "cls")), "ngram-open")
+    low = probes(keys).distinct().join(index, ["key", "cls"]).filter("looks").alias("x")
     rest = (low.join(index.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
                      & ((F.col("x.order") < F.col("y.order")) | (F.col("x.weak") + F.col("y.weak") == 2))
                      & can_link(percent, "x", "y"))
