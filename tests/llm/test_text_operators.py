@@ -129,6 +129,18 @@ def test_ngram_components_of_short_near_copies(spark):
     assert got == brute_components(rows)
 
 
+def test_ngram_components_of_two_texts_under_one_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (5, a + " tail"), (6, b + " tail"), (None, c), (None, c + " tail"), (None, a + " other"), (1, c[:-4] + " end")]
+    got = {(r["doc_id"], r["n_shingles"], r["class_id"]): r["component_id"]
+           for r in ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert len(got) == len(rows) and set(got.values()) == {1}  # every row has a near copy under id 1
+    rows = [(9, a), (9, b), (2, a + " tail"), (3, b + " tail"), (None, c), (None, c + " tail"), (4, c + " end of it")]
+    got = sorted((r["doc_id"] or 0, r["component_id"])
+                 for r in ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == [(0, 4), (0, 4), (2, 2), (3, 3), (4, 4), (9, 2), (9, 3)]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(900, 901), (901, 900), (5, 5)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}

@@ -27,8 +27,10 @@ capped or sampled.
 
 Defined cases: null, empty and blank texts have the empty set, size 0, and
 link with nothing; texts with fewer words than n have one n-gram, the whole
-sequence; repeated rows and ids give one result row each (a repeated id is
-one node); extra columns are ignored; an empty table gives no rows.
+sequence; repeated rows and ids give one result row each; rows of different
+texts under one id each go by their own text, and so do rows without an id
+(a component of such rows only is named null); extra columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -125,7 +127,8 @@ def sets_of(n: int, id_col: str, text_col: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in by_parts(batches):
             flat, counts = shingle_sets(part[text_col].tolist(), n)
-            out = pd.DataFrame({"doc_id": part[id_col].to_numpy(), "n_shingles": counts, "cls": class_ids(flat, counts)})
+            out = pd.DataFrame({"doc_id": part[id_col].to_numpy(), "n_shingles": counts, "cls": class_ids(flat, counts),
+                                "mark": part["mark"].to_numpy()})
             for name, column in zip(PARITY, parities(flat, counts).T):
                 out[name] = column
             yield out
@@ -271,10 +274,12 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     smallest id it reaches by links of at least ``percent`` Jaccard similarity,
     and the hash of its set (equal for documents with equal sets)."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    sets = staged(docs.select(id_col, text_col).mapInPandas(
-        sets_of(n, id_col, text_col), f"doc_id {id_type}, n_shingles long, cls long, " + ", ".join(f"{p} long" for p in PARITY)), "ngram-sets")
+    # ids may repeat or be null; a row's mark is the hash of its id and text
+    marked = docs.select(id_col, text_col, F.xxhash64(id_col, F.lit(0), text_col).alias("mark"))
+    sets = staged(marked.mapInPandas(
+        sets_of(n, id_col, text_col), f"doc_id {id_type}, n_shingles long, cls long, mark long, " + ", ".join(f"{p} long" for p in PARITY)), "ngram-sets")
     classes = (sets.filter("n_shingles > 0").groupBy("cls")
-               .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *[F.first(p).alias(p) for p in PARITY]))
+               .agg(F.min("doc_id").alias("rep"), F.min("mark").alias("mark"), F.first("n_shingles").alias("n"), *[F.first(p).alias(p) for p in PARITY]))
     keys = docs.select(text_col).mapInPandas(keys_of(n, percent, text_col), "key long, cls long, part long").repartition("key")
     keys = staged(shared(keys), "ngram-keys")
     keys = staged(thinned(keys).distinct(), "ngram-index")  # copies from different tasks are one row from here on
@@ -282,7 +287,7 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
 
     members = keys.select("cls").distinct()
     info = staged(members.join(classes, "cls"), "ngram-classes")
-    rows = docs.select(id_col, text_col).join(shuffled(info.select("cls", F.col("rep").alias(id_col))), id_col)
+    rows = marked.select("mark", text_col).join(shuffled(info.select("cls", "mark")), "mark")
     grams = staged(rows.mapInPandas(sets_for(n, text_col), "cls long, grams array<long>").dropDuplicates(["cls"]), "ngram-grams")
 
     score = keys.groupBy("cls").agg(F.sum(F.log("df")).alias("score"))
