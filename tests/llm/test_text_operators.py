@@ -20,7 +20,7 @@ from workpanel.llm.queries import tokenizer_file
 from workpanel.llm.quotations import chat_messages
 from workpanel.llm.sharding import shard_documents
 from workpanel.llm.token_counts import Lengths, token_counts
-from workpanel.llm.toxicity import toxicity_scores
+from workpanel.llm.toxicity import NAMES, Voters, toxicity_scores, words_of
 
 R = random.Random(7)
 VOCAB = [f"w{k}" for k in range(400)] + "the of and to in that is for on with".split()
@@ -388,6 +388,19 @@ def test_toxicity(spark, labelled, empty):
     assert toxicity_scores(empty, F.lit(True), labelled.select("doc_id", "toxic")).count() == 0
 
 
+def test_every_pattern_is_tried():
+    voters = Voters({})
+    phrases = {"dismiss": ["shut up", "go to hell", "drop dead", "kill yourself", "get lost", "go die", "screw you", "piss off", "hate you",
+                           "nobody likes you"],
+               "masked": ["id1ot", "id!ot", "m0ron", "mor0n", "stup1d", "f*ck", "f@ck", "f#ck", "sh1t", "sh!t", "sh*t", "b1tch",
+                          "b!tch", "b*tch", "l0ser", "tr@sh", "tr4sh", "4sshole"],
+               "you_are": ["you are an idiot", "you're a complete fool", "you r trash"]}
+    for name, texts in phrases.items():
+        for t in texts:
+            for text in (t, t.upper(), f"Well, {t}."):
+                assert voters.votes(text, words_of(text)) >> NAMES.index(name) & 1, text
+
+
 def test_quality(spark, labelled, empty):
     mine = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 != 2, F.lit(True))
     out = quality_scores(labelled.select("doc_id", "text"), labelled.filter(mine).select("doc_id", "quality"), mine)

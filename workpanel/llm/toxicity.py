@@ -64,6 +64,9 @@ PATTERNS = {
     "dismiss": r"\b(?:shut up|go to hell|drop dead|kill yourself|get lost|go die|screw you|piss off|hate you|nobody likes you)\b",
     "masked": r"\b(?:id[1!]ot|m[0o]r[0o]n(?<!moron)|st[u*]p[1!*]d|f[*@#u]ck(?<!fuck)|sh[1!*]t|b[1!*]tch|l[0]ser|tr[@4]sh|[@4]ssh[o0]le)\b",
 }
+#: What a text must have for a pattern to match: one of the words or of the characters.
+NEEDED = {"you_are": ({"you"}, ""), "dismiss": ({"shut", "hell", "drop", "yourself", "lost", "die", "you", "piss"}, ""),
+          "masked": (set(), "10!*@#4")}
 WORDS = re.compile(r"[^\W\d_]+")
 NAMES = (*LEXICONS, *PATTERNS, *SHARES, "several")
 
@@ -81,16 +84,17 @@ class Voters:
             for name, least in SHARES.items():
                 if share >= least:
                     self.bits[w] = self.bits.get(w, 0) | 1 << NAMES.index(name)
-        self.patterns = [(1 << NAMES.index(name), re.compile(p)) for name, p in PATTERNS.items()]
+        self.patterns = [(1 << NAMES.index(name), re.compile(p), *NEEDED[name]) for name, p in PATTERNS.items()]
 
     def votes(self, text: str, own: set[str]) -> int:
         """The voters that call the text toxic, as bits in the order of ``NAMES``."""
         hits, found = own & self.bits.keys(), 0
         for w in hits:
             found |= self.bits[w]
-        if "you" in own or "shut" in own or "hell" in own or any(c in text for c in "*@#!0"):
-            low = text.lower()
-            for bit, p in self.patterns:
+        low = None
+        for bit, p, needed, marks in self.patterns:
+            if not own.isdisjoint(needed) or any(c in text for c in marks):
+                low = text.lower() if low is None else low
                 if p.search(low):
                     found |= bit
         return found | (1 << (len(NAMES) - 1) if len(hits) >= 2 else 0)
