@@ -358,6 +358,26 @@ def test_quotations(spark):
     assert len(out.collect()) == len(rows) and chat_messages(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_quotations_of_passages_sentences_and_other_conversations(spark):
+    rows = [(1, 0, "user", "> The key is lost.\nNo."), (1, 3, "user", "The key is lost."), (2, 4, "user", "The key is lost."),
+            (5, 0, "user", "First of all. Then the bell\nrang twice. At last nothing.\n\nAnother paragraph here"), (5, 2, "user", "so"),
+            (5, 5, "assistant", "> then the bell rang twice.\nyes"), (5, 2000, "assistant", "> Another\n> paragraph\n> here\nno"),
+            (5, 2001, "user", "> Another\n>\n> paragraph\nwhat"), (6, 0, "user", "a"), (6, 2, "user", "b"), (6, 5, "user", "c"), (6, 3000, "user", "d"),
+            (None, 1, "user", "rang twice."), (7, 1, "user", "> nothing like it. at last\n> nothing.")]
+    make = lambda x: spark.createDataFrame(x, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r for r in chat_messages(make(rows)).collect()}
+    source = lambda c, t: (got[c, t]["reply_to_conv"], got[c, t]["reply_to"], got[c, t]["n_quoted"], got[c, t]["n_linked"])
+    assert source(1, 0) == (2, 4, 1, 1)  # not its own later line
+    assert source(5, 5) == (5, 0, 1, 1) and source(5, 2000) == (5, 0, 3, 3) and source(5, 2001) == (None, None, 2, 0)
+    assert source(7, 1) == (5, 0, 2, 2)
+    place = lambda c, t: (got[c, t]["thread"], got[c, t]["depth"])
+    assert [place(6, t) for t in (0, 2, 5, 3000)] == [(0, 0), (0, 1), (0, 2), (0, 3)]
+    assert [place(5, t) for t in (0, 2, 5, 2000, 2001)] == [(0, 0), (0, 1), (5, 1), (2000, 1), (2000, 2)]
+    assert len(got) == len(rows)
+    alone = {r["turn"]: (r["thread"], r["depth"]) for r in chat_messages(make([r for r in rows if r[0] == 6])).collect()}
+    assert alone == {0: (0, 0), 2: (0, 1), 5: (0, 2), 3000: (0, 3)}
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rows = []

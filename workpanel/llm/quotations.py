@@ -1,11 +1,13 @@
 """Conversations without quotes: quoted passages are linked to the messages they come from.
 
 Lines that begin with one or more ``>`` are quotes; the number of marks is the
-level.  A run of lines of one level is a passage.  Passages are normalised
-(lower case, single blanks), hashed line by line, and joined to the lines that
-messages wrote themselves: in the same conversation first, else anywhere.  The
-message a reply answers is the source of its outermost quote, else the message
-before it; following these links gives each message's thread and depth, and
+level.  A run of lines of one level, without blank ones, is a passage.  Lines are
+normalised (lower case, single blanks); a quoted line's source is looked for by
+the line, by its passage as one text, however wrapped, and by the passage's
+sentences that the line is of, in this order, among the lines, passages and
+sentences that messages wrote themselves: in the same conversation first, else
+in another.  The message a reply answers is the source of its outermost quote,
+else the message before it, which need not have the turn before; following these links gives each message's thread and depth, and
 conversations are ordered thread by thread.
 
 The output has one row for each message, so no conversation is gathered in one
@@ -20,7 +22,7 @@ ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from workpanel.llm.common import staged
@@ -28,6 +30,9 @@ from workpanel.llm.common import staged
 MARKS = r"^\s{0,3}((?:>\s?)+)"
 #: Rounds of following replies; each doubles the distance, so threads of 2^40 messages end.
 ROUNDS = 40
+SENTENCE_END = r"(?<=[.!?…])\s+|(?<=[。！？])"
+#: Turns are ordered in blocks of 2^10.
+BLOCK_BITS = 10
 
 
 def normal(line: Column) -> Column:
@@ -45,24 +50,72 @@ def parsed_lines(messages: DataFrame, text_col: str = "text") -> DataFrame:
     return messages.withColumn("lines", F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), one))
 
 
+def passages(level: Column | int) -> Column:
+    """The message's passages of this level, each with its lines' normal forms, one a line."""
+    marked = F.array_join(F.transform("lines", lambda x: F.when(x["level"] == level, x["norm"]).otherwise("")), "\n")
+    runs = F.transform(F.split(marked, r"\n{2,}"), lambda p: F.regexp_replace(p, r"^\n+|\n+$", ""))
+    return F.filter(runs, lambda p: p != "")
+
+
+def sentences(text: Column) -> Column:
+    return F.filter(F.split(text, SENTENCE_END), lambda x: x != "")
+
+
+def joined(passage: Column) -> Column:
+    return F.replace(passage, F.lit("\n"), F.lit(" "))
+
+
+def previous(nodes: DataFrame) -> DataFrame:
+    """``conv_id, turn, last, place`` for distinct ``nodes``: the turn before it in the conversation,
+    if there is one, and how many there are.  Turns are ordered in blocks, so no task sorts a
+    whole conversation."""
+    blocks = nodes.withColumn("block", F.shiftright(F.col("turn").cast("long"), BLOCK_BITS))
+    before = Window.partitionBy("conv_id").orderBy("block")
+    ends = (blocks.groupBy("conv_id", "block").agg(F.max("turn").alias("end"), F.count(F.lit(1)).alias("n"))
+            .select("conv_id", "block", F.lag("end").over(before).alias("end"), (F.sum("n").over(before) - F.col("n")).alias("base")))
+    inner = Window.partitionBy("conv_id", "block").orderBy("turn")
+    ranked = blocks.withColumn("own", F.lag("turn").over(inner)).withColumn("k", F.row_number().over(inner) - 1)
+    return ranked.join(ends, ["conv_id", "block"]).select("conv_id", "turn", F.coalesce("own", "end").alias("last"),
+                                                          (F.col("base") + F.col("k")).alias("place"))
+
+
 def quotation_links(lines: DataFrame) -> DataFrame:
     """``conv_id, turn, level, norm, src_conv, src_turn``: each quoted line's source."""
-    own = (lines.select("conv_id", "turn", F.explode(F.filter("lines", lambda x: (x["level"] == 0) & (x["norm"] != ""))).alias("x"))
-           .select("conv_id", "turn", F.xxhash64("x.norm").alias("h"), "x.norm"))
-    quoted = (lines.select("conv_id", "turn", F.explode(F.filter("lines", lambda x: (x["level"] > 0) & (x["norm"] != ""))).alias("x"))
-              .select("conv_id", "turn", F.col("x.level").alias("level"), F.xxhash64("x.norm").alias("h"), "x.norm").distinct())
-    wanted = quoted.select("h", "norm").distinct()
-    # aggregated before the joins: one row for each line and conversation, and for each line
-    here = own.join(wanted, ["h", "norm"], "left_semi").groupBy("h", "norm", "conv_id").agg(F.min("turn").alias("turn"))
-    anywhere = (here.groupBy("h", "norm").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-                .select("h", "norm", F.col("first.conv_id").alias("any_conv"), F.col("first.turn").alias("any_turn")))
-    same = here.select("h", "norm", "conv_id", F.col("turn").alias("own_turn"))
-    found = quoted.join(same, ["h", "norm", "conv_id"], "left").join(anywhere, ["h", "norm"], "left")
+    known = lines.filter("conv_id is not null and turn is not null")
+    whole = F.transform(passages(0), joined)
+    units = F.array_distinct(F.flatten(F.array(F.flatten(F.transform(passages(0), lambda p: F.split(p, "\n"))), whole,
+                                               F.flatten(F.transform(whole, sentences)))))
+    own = known.select("conv_id", "turn", F.explode(units).alias("unit")).withColumn("h", F.xxhash64("unit"))
+    levels = F.array_distinct(F.transform(F.filter("lines", lambda x: (x["level"] > 0) & (x["norm"] != "")), lambda x: x["level"]))
+    runs = F.flatten(F.transform(levels, lambda k: F.transform(passages(k), lambda p: F.struct(k.alias("level"), p.alias("passage")))))
+    quoted = (lines.select("conv_id", "turn", F.explode(runs).alias("x")).select("conv_id", "turn", "x.*")
+              .withColumn("norm", F.explode(F.split("passage", "\n"))).distinct())
+
+    def stands_in(sentence: Column) -> Column:
+        """Whether a sentence that ends or begins in the line, or all of it, is of this sentence."""
+        return F.exists(sentences(F.col("norm")), lambda x: F.contains(F.concat(F.lit(" "), sentence, F.lit(" ")), F.concat(F.lit(" "), x, F.lit(" "))))
+
+    text = joined(F.col("passage"))
+    tries = F.flatten(F.array(F.array("norm", text), F.filter(sentences(text), stands_in)))
+    quoted = (quoted.select("conv_id", "turn", "level", "norm", F.posexplode(tries).alias("nth", "unit"))
+              .groupBy("conv_id", "turn", "level", "norm", "unit").agg(F.min("nth").alias("nth")).withColumn("h", F.xxhash64("unit")))
+    wanted = quoted.select("h", "unit").distinct()
+    # aggregated before the joins: one row for each unit and conversation, and for each unit
+    here = own.join(wanted, ["h", "unit"], "left_semi").groupBy("h", "unit", "conv_id").agg(F.min("turn").alias("turn"))
+    first = F.min(F.struct("conv_id", "turn")).alias("first")
+    lowest = here.groupBy("h", "unit").agg(first)
+    # the second conversation is for quotes in the first
+    second = (here.join(lowest, ["h", "unit"]).filter("conv_id <> first.conv_id").drop("first")
+              .groupBy("h", "unit").agg(first.alias("second")))
+    anywhere = lowest.join(second, ["h", "unit"], "left")
+    same = here.select("h", "unit", "conv_id", F.col("turn").alias("own_turn"))
+    found = quoted.join(same, ["h", "unit", "conv_id"], "left").join(anywhere, ["h", "unit"], "left")
     earlier = F.col("own_turn") < F.col("turn")
-    elsewhere = F.col("any_conv") != F.col("conv_id")
-    return found.select("conv_id", "turn", "level", "norm",
-                        F.when(earlier, F.col("conv_id")).when(elsewhere, F.col("any_conv")).alias("src_conv"),
-                        F.when(earlier, F.col("own_turn")).when(elsewhere, F.col("any_turn")).alias("src_turn"))
+    other = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).when(F.col("conv_id").isNotNull(), F.col("second"))
+    found = found.withColumn("src", F.when(earlier, F.struct("conv_id", F.col("own_turn").alias("turn"))).otherwise(other))
+    return (found.groupBy("conv_id", "turn", "level", "norm")
+            .agg(F.min(F.when(F.col("src.turn").isNotNull(), F.struct("nth", "src"))).alias("best"))
+            .select("conv_id", "turn", "level", "norm", F.col("best.src.conv_id").alias("src_conv"), F.col("best.src.turn").alias("src_turn")))
 
 
 def reply_threads(messages: DataFrame, answers: DataFrame) -> DataFrame:
@@ -70,18 +123,14 @@ def reply_threads(messages: DataFrame, answers: DataFrame) -> DataFrame:
     of earlier turns: the turn that
     opens the thread, and the steps to the start of the conversation."""
     nodes = messages.select("conv_id", "turn").filter("conv_id is not null and turn is not null").distinct()
-    before = nodes.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("last"))
-    own = staged(nodes.join(before, ["conv_id", "turn"], "left").join(answers, ["conv_id", "turn"], "left")
+    own = staged(previous(nodes).join(answers, ["conv_id", "turn"], "left")
                  .select("conv_id", "turn", F.coalesce("parent", "last", "turn").alias("at"),
-                         F.coalesce("parent", "last").isNotNull().cast("long").alias("depth"),
+                         F.coalesce("parent", "last").isNotNull().cast("long").alias("depth"), "place",
                          # a quote of an older message opens a thread of its own
-                         (F.col("parent").isNotNull() & (F.col("parent") < F.col("turn") - 1)).alias("opens")), "chat-links")
+                         F.coalesce(F.col("parent") < F.col("last"), F.lit(False)).alias("opens")), "chat-links")
     if own.filter("opens").isEmpty():  # every message answers the one before it
         first = nodes.groupBy("conv_id").agg(F.min("turn").alias("thread"))
-        gapless = own.groupBy("conv_id").agg(F.sum(1 - F.col("depth")).alias("starts"))
-        simple = gapless.filter("starts > 1").isEmpty()
-        if simple:
-            return own.join(first, "conv_id").select("conv_id", "turn", "thread", (F.col("turn") - F.col("thread")).alias("depth"))
+        return own.join(first, "conv_id").select("conv_id", "turn", "thread", F.col("place").cast("long").alias("depth"))
     root = staged(own.select("conv_id", "turn", F.when(F.col("opens"), F.col("turn")).otherwise(F.col("at")).alias("thread"),
                              "at", "depth"), "chat-threads")
     for _ in range(ROUNDS):
