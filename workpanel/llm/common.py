@@ -41,6 +41,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """A folder for the tables of one run, under the cluster's shared checkpoint folder."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.root, self.tables = spark, name, scratch_path(spark, name), 0
+
+    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """As ``staged``, into the run's folder; ``by``: a column to make folders of."""
+        self.tables += 1
+        path = f"{self.root}/{self.tables}-{name}"
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write the run's result beside its folder, and delete the folder."""
+        out = staged(df, f"{self.name}-result")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return out
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, a written table of a few numbers a row, to be broadcast if it has at
     most ``rows`` rows; beyond that Spark joins it by shuffle."""
