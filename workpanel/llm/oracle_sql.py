@@ -82,25 +82,27 @@ words AS (SELECT lang, d, p, unnest(range(len(w))) AS i, unnest(w) AS w FROM lis
 runs AS (SELECT lang, w AS x, lead(w) OVER piece AS y, lead(w, 2) OVER piece AS z FROM words
          WINDOW piece AS (PARTITION BY d, p ORDER BY i)),
 n AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
-f AS (
-  SELECT lang, [x] AS phrase, count(*) AS f FROM runs GROUP BY ALL
-  UNION ALL SELECT lang, [x, y], count(*) FROM runs WHERE y IS NOT NULL GROUP BY ALL
-  UNION ALL SELECT lang, [x, y, z], count(*) FROM runs WHERE z IS NOT NULL GROUP BY ALL),
-candidates AS (SELECT lang, phrase, f AS a FROM f WHERE len(phrase) >= 2 AND f >= 10),
+f AS MATERIALIZED (
+  SELECT lang, x AS phrase, count(*) AS f FROM runs GROUP BY ALL
+  UNION ALL SELECT lang, x || ' ' || y, count(*) FROM runs WHERE y IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, x || ' ' || y || ' ' || z, count(*) FROM runs WHERE z IS NOT NULL GROUP BY ALL),
+candidates AS MATERIALIZED (
+  SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE contains(phrase, ' ') AND f >= 10),
+parts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, len(w))) AS k FROM candidates)),
 cuts AS (
   SELECT c.lang, c.phrase, c.a, k, h.f AS l, t.f AS r,
     (1000000::HUGEINT * c.a * c.a) // (h.f::HUGEINT * t.f) AS score
-  FROM (SELECT *, unnest(range(1, len(phrase))) AS k FROM candidates) c
-  JOIN f h ON h.lang = c.lang AND h.phrase = c.phrase[1:k]
-  JOIN f t ON t.lang = c.lang AND t.phrase = c.phrase[k + 1:]),
+  FROM parts c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f t ON t.lang = c.lang AND t.phrase = c.tail),
 lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 inside AS (
   SELECT lang, phrase, max(a) AS longer FROM (
-    SELECT lang, phrase[1:2] AS phrase, a FROM candidates WHERE len(phrase) = 3
-    UNION ALL SELECT lang, phrase[2:3], a FROM candidates WHERE len(phrase) = 3) GROUP BY ALL),
+    SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM candidates WHERE len(w) = 3
+    UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM candidates WHERE len(w) = 3) GROUP BY ALL),
 ranked AS (
-  SELECT c.lang, array_to_string(c.phrase, ' ') AS phrase, a, l, r, score,
-    row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, encode(array_to_string(c.phrase, ' '))) AS rank
+  SELECT c.lang, c.phrase, a, l, r, score,
+    row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, encode(c.phrase)) AS rank
   FROM lowest c LEFT JOIN inside i ON i.lang = c.lang AND i.phrase = c.phrase
   WHERE longer IS NULL OR 100 * longer < 50 * a)
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
