@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from workpanel.llm.common import table
 from workpanel.llm.decontamination import contaminated
+from workpanel.llm.hard_negatives import hard_negatives
 from workpanel.llm.ngram_join import ngram_components
-from workpanel.llm.oracle_sql import COLLOCATIONS, DECONTAMINATION, LINE_RULES
+from workpanel.llm.oracle_sql import COLLOCATIONS, DECONTAMINATION, HARD_NEGATIVES, LINE_RULES
 from workpanel.llm.packing import pack_documents
 from workpanel.llm.phrases import collocations
 from workpanel.llm.pii import pseudonymise
@@ -102,6 +103,12 @@ def op10_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFram
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_four_russians_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors, F.col("vec_id") % 100 == 0, label)
+
+
 def op13_dynamic_itemset_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -111,10 +118,11 @@ QUERIES = {f.__name__: f for f in (
     op3_universe_partition_join, op4_line_first_rules,
     op5_positive_unlabelled_quality, op6_shortest_pack_first,
     op7_two_tier_token_counts, op8_quotation_linking, op9_balanced_label_propagation,
-    op10_weak_supervision_toxicity, op13_dynamic_itemset_collocations)}
+    op10_weak_supervision_toxicity, op11_four_russians_hard_negatives, op13_dynamic_itemset_collocations)}
 
 ORACLES = {
     "op2_spaced_seed_decontamination": DECONTAMINATION,
     "op4_line_first_rules": LINE_RULES,
+    "op11_four_russians_hard_negatives": HARD_NEGATIVES,
     "op13_dynamic_itemset_collocations": COLLOCATIONS,
 }
