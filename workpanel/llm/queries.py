@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from workpanel.llm.common import table
 from workpanel.llm.decontamination import contaminated
 from workpanel.llm.hard_negatives import hard_negatives
+from workpanel.llm.language import languages
 from workpanel.llm.ngram_join import ngram_components
 from workpanel.llm.oracle_sql import COLLOCATIONS, DECONTAMINATION, HARD_NEGATIVES, LINE_RULES
 from workpanel.llm.packing import pack_documents
@@ -109,6 +110,13 @@ def op11_four_russians_hard_negatives(spark: SparkSession, sf_dir: str) -> DataF
     return hard_negatives(vectors, F.col("vec_id") % 100 == 0, label)
 
 
+def op12_byte_convolution_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(fold(4) == 2, F.lit(False))
+    learn = F.coalesce(fold(4) != 2, F.lit(False))
+    return languages(docs, learn).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op13_dynamic_itemset_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -118,7 +126,8 @@ QUERIES = {f.__name__: f for f in (
     op3_universe_partition_join, op4_line_first_rules,
     op5_positive_unlabelled_quality, op6_shortest_pack_first,
     op7_two_tier_token_counts, op8_quotation_linking, op9_balanced_label_propagation,
-    op10_weak_supervision_toxicity, op11_four_russians_hard_negatives, op13_dynamic_itemset_collocations)}
+    op10_weak_supervision_toxicity, op11_four_russians_hard_negatives,
+    op12_byte_convolution_language, op13_dynamic_itemset_collocations)}
 
 ORACLES = {
     "op2_spaced_seed_decontamination": DECONTAMINATION,
