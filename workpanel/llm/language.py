@@ -21,6 +21,7 @@ replace columns of their names; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 import numpy as np
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 WINDOW, BATCH = 256, 128
 #: Numbers that stand for a byte; filters by width.
 DEPTH, FILTERS = 8, {2: 16, 3: 24, 4: 24}
-#: Texts of a language, and languages, that the network is fitted to.
+#: Texts of a language, and languages, that the network is fitted to; steps of the fit and rows of a step.
 PER_LANG, LANGS = 3000, 100
-ROUNDS, STEP, RATE = 5, 64, 0.004
+STEPS, STEP, RATE = 700, 64, 0.004
 EMPTY = 256
 UNKNOWN = "und"
 
@@ -97,10 +98,10 @@ class ByteNet:
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(v) for k, v in self.p.items()}
-        k = 0
-        for turn in range(ROUNDS):
+        k, rounds = 0, math.ceil(STEPS * STEP / len(texts))
+        for turn in range(rounds):
             order = r.permutation(len(texts))
-            rate = RATE * (1 - turn / ROUNDS)
+            rate = RATE * (1 - turn / rounds)
             for at in range(0, len(order), STEP):
                 rows = order[at:at + STEP]
                 ends = np.where(r.random(len(rows)) < 0.5, WINDOW, r.integers(8, WINDOW, len(rows)))
