@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from workpanel.llm import phrases
@@ -69,17 +70,18 @@ def frame(spark, rows, parts=3):
     return spark.createDataFrame([(*r, 1, 2, 3) for r in rows], SCHEMA).repartition(parts)
 
 
-@pytest.mark.parametrize("shards,max_words", [(4, 3), (1, 3), (3, 4)])
+@pytest.mark.parametrize("shards,max_words", [(4, 3), (1, 3), (3, 4), (4, 2), (2, 1)])
 def test_equals_counting(spark, rows, shards, max_words):
     df = collocations(frame(spark, rows), max_words=max_words, shards=shards)
     assert df.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert got(df) == by_counting(rows, max_words)
 
 
-def test_shared_slots_change_nothing(spark, rows, monkeypatch):
-    """A table of activated phrases with two slots: nearly every phrase shares one."""
+@pytest.mark.parametrize("bits", [1, 5])
+def test_shared_slots_change_nothing(spark, rows, monkeypatch, bits):
+    """Tables of 2 and of 32 slots: nearly every phrase shares one."""
     monkeypatch.setattr(phrases, "SLOTS_A_BLOCK", 2)
-    assert got(collocations(frame(spark, rows), slot_bits=1)) == by_counting(rows)
+    assert got(collocations(frame(spark, rows), slot_bits=bits)) == by_counting(rows)
 
 
 def test_top_and_ties(spark, rows):
@@ -87,18 +89,23 @@ def test_top_and_ties(spark, rows):
 
 
 def test_longer_phrases_wait_for_their_parts():
-    """A phrase is counted from the step after its parts got there, for one cycle."""
-    import numpy as np
-
+    """Words, then a tally of pairs, then their count and longer phrases, each for one cycle."""
     tokens = phrases.tokens_of(b"a b c\na b")
-    seed, slots = 5, 1 << 18
-    first, last = np.full((2, slots), phrases.NEVER, "u1"), np.zeros((2, slots), "u1")
-    sizes = lambda step: [(s, p, n.tolist()) for s, p, n in phrases.counted(tokens, 0, seed, step, 4, first, last)]
-    assert [s for s, _, _ in sizes(0)] == [1]
-    first[0] = last[0] = 1  # all words got there in step 1
-    assert [s for s, _, _ in sizes(1)] == [1] and [s for s, _, _ in sizes(2)] == [1, 2]
-    assert [s for s, _, _ in sizes(5)] == [2] and sizes(6) == []
-    assert dict(zip(sizes(5)[0][1], sizes(5)[0][2])) == {b"a b": 2, b"b c": 1}
+    first = np.full((2, 1 << 18), phrases.NEVER, "u1")
+
+    def sizes(step):
+        out = list(phrases.looked_at(tokens, 0, 5, step, 4, 3, first))
+        return [s for s, p, _, _ in out if p is not None], [s for s, p, _, _ in out if p is None]
+
+    assert sizes(0) == ([1], []) and sizes(4) == ([], [])
+    first[0] = 1  # all words got there in step 1
+    assert [sizes(k) for k in (1, 2, 5, 6)] == [([1], []), ([1], [2]), ([], [2]), ([], [])]
+    first[1] = 3  # and all pairs in step 3
+    assert [sizes(k) for k in (3, 4, 7, 8)] == [([1], []), ([2, 3], []), ([2, 3], []), ([], [])]
+    first[1] = 0  # slots older than the words: from the words' step on
+    assert [sizes(k) for k in (2, 5, 6)] == [([1, 2, 3], []), ([2, 3], []), ([], [])]
+    counts = {s: dict(zip(p, n.tolist())) for s, p, _, n in phrases.looked_at(tokens, 0, 5, 5, 4, 3, first)}
+    assert counts == {2: {b"a b": 2, b"b c": 1}, 3: {b"a b c": 1}}
 
 
 def test_long_text_in_slices(spark, monkeypatch):
@@ -109,12 +116,10 @@ def test_long_text_in_slices(spark, monkeypatch):
     assert len(parts) > 10 and len(whole) == 1
     joined = [t for _, tokens, seen in parts for t in tokens[seen:]]
     assert joined == whole[0][1][:-1]
-    import numpy as np
-
     first = np.zeros((2, 1 << 18), "u1")
     count = Counter()
     for _, tokens, seen in parts:
-        for _, found, n in phrases.counted(tokens, seen, 1, 1, 4, first, first):
+        for _, found, _, n in phrases.looked_at(tokens, seen, 1, 1, 4, 3, first):
             count.update(dict(zip(found, n.tolist())))
     want = Counter()
     for piece in text.split("."):

@@ -1,23 +1,32 @@
 r"""Collocations by dynamic itemset counting.
 
 The corpus is dealt into shards that are scanned in a cycle, one shard a step.
-All lengths are counted in the same scans: single words from the first step on,
-and a longer phrase from the step after both its subphrases (without its last
-word, without its first) have reached the threshold, in whatever shards were
-scanned so far.  A phrase is done after one full cycle, wherever it started, and
-the scans end when no phrase is under way: between one pass and ``max_words``
-passes over the corpus.
-
-A phrase below the threshold anywhere makes every longer one infrequent, so what
-is never activated is no candidate, and what completes its cycle has its exact
-count.  Each scan step is one Spark job: workers count a bounded slice of text
-at a time, Spark adds the slices up by phrase.
-
-What workers know of the phrases that have reached the threshold is a table of
-``2 ** SLOT_BITS`` slots a length, the first and the last step in which a phrase of the
-slot got there: a fixed size, however many phrases there are.  Phrases that share
-a slot are counted in steps where they need not be; a count that a shard gave twice is
-taken once, so a full table costs time and never changes a result.
+All lengths are counted in the same scans, each phrase over one full cycle from
+the step in which it is activated, and the scans end when no phrase is under way.
+
+A phrase that occurs ``threshold`` times has, in one of the ``shards`` shards, its
+*share* of them, ceil(threshold / shards).  So a phrase counts as having got there
+after the first shard that holds its share, which is no later than its count so
+far reaches the threshold, and no sums over steps have to be kept.
+
+* Words are counted from the first step on.
+* A longer phrase is activated after the step in which the later of its two
+  subphrases (without its last word, without its first) got there.
+* Two-word phrases, nearly all of which are rare, and longer ones that can activate others
+  are first *tallied* by a 64-bit hash, and are spelled out and counted from the step
+  after their own tally reached the share.  Phrases that share a hash get there together,
+  which costs time only: what is counted goes by the phrase itself.
+
+A phrase below the threshold makes every longer one infrequent, so what is never
+activated is no candidate, and what completes its cycle has its exact count.  Each
+step is one Spark job: workers look at a bounded slice of text at a time, Spark adds
+the slices up by phrase or hash.
+
+What workers know of the phrases that got there is a table of ``2 ** slot_bits`` slots a
+length, with the first step in which a phrase of the slot did; a phrase looks at two
+slots, and goes by the later.  The table has a fixed size, however many phrases there
+are: a full one makes workers count phrases that need no count, from a step that is too
+early but over a full cycle all the same, so it costs time and never changes a result.
 
 Defined cases: null and empty texts have no words; a null ``lang`` is ``und``;
 repeated rows count each time; equal scores are ordered by count, then by
@@ -37,8 +46,8 @@ from pyspark.sql import functions as F
 from workpanel.llm.common import Scratch
 from workpanel.llm.ngram_join import mix
 
-#: Slots of the table of activated phrases, a length: 2 bytes each, 8 MB.
-SLOT_BITS = 22
+#: Slots of the table of phrases that got there: one byte each, 16 MB a length.
+SLOT_BITS = 24
 SLOTS_A_BLOCK = 1 << 18
 #: Bytes of text that a worker counts at a time.
 SLICE = 6_000_000
@@ -107,70 +116,72 @@ class Numbers(dict):
         return n
 
 
-def counted(tokens: list[bytes], seen: int, seed: int, step: int, shards: int, first: np.ndarray,
-            last: np.ndarray) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """``size, phrases, counts`` of the phrases that ``step`` has to count in these tokens.
+def tallied(sizes: int) -> range:
+    """Sizes that are tallied by hash before they are counted."""
+    return range(2, max(2, sizes - 1) + 1) if sizes >= 2 else range(0)
 
-    ``first[k - 1]`` and ``last[k - 1]``: for each slot the first and last step in
-    which a phrase of k words reached the threshold.  ``len(first)`` lengths
-    activate longer ones, so phrases have at most one word more.
+
+def looked_at(tokens: list[bytes], seen: int, seed: int, step: int, shards: int, sizes: int,
+              first: np.ndarray) -> Iterator[tuple[int, list[bytes] | None, np.ndarray, np.ndarray | None]]:
+    """``size, phrases, hashes, counts`` that ``step`` has to count in these tokens, and
+    ``size, None, hashes, None`` of those that it has to tally.
+
+    ``first[k - 1]``: for each slot the first step in which a phrase of k words got there.
     """
     from xxhash import xxh3_64_intdigest
 
     number = Numbers({BREAK: 0})
     ids = np.fromiter(map(number.__getitem__, tokens), "i8", len(tokens))
     hashes = np.fromiter((xxh3_64_intdigest(w, seed) for w in number), "u8", len(number))[ids]
-    odd, mask = odd_numbers(len(first) + 1), U(first.shape[1] - 1)
+    odd, mask = odd_numbers(sizes), U(first.shape[1] - 1)
     rolled = hashes * odd[0]
-    live = ids != 0  # positions where a phrase of this size may begin
-    low = high = np.where(live, -1, NEVER)
-    for size in range(1, len(first) + 2):
-        # from the step after both subphrases got there, for one cycle
-        here = live & (low < step) & (step <= high + shards)
-        at = np.flatnonzero(here)
+    low = np.where(ids != 0, -1, NEVER).astype("i2")  # when the phrase that begins here is activated
+    for size in range(1, sizes + 1):
+        live = low != NEVER
+        begin, due = low, None
+        if size <= len(first):
+            key = mix(rolled)
+            there = np.maximum(first[size - 1][key & mask], first[size - 1][(key >> U(32)) & mask]).astype("i2")
+            # a slot may be older than the phrase's own parts
+            there = np.where(live & (there != NEVER), np.maximum(there, low), NEVER).astype("i2")
+            if size in tallied(sizes):
+                begin = there
+                due = np.flatnonzero(live & (there == NEVER) & (low < step) & (step <= low + shards))
+        at = np.flatnonzero((begin != NEVER) & (begin < step) & (step <= begin + shards))
         at = at[at + size > seen]
         if len(at):
             code = ids[at]
             for k in range(1, size):
                 code = np.unique(code * len(number) + ids[at + k], return_inverse=True)[1]
             _, where, n = np.unique(code, return_index=True, return_counts=True)
-            yield size, [b" ".join(tokens[p:p + size]) for p in at[where].tolist()], n
-        if size > len(first):
+            at = at[where]
+            yield size, [b" ".join(tokens[p:p + size]) for p in at.tolist()], mix(rolled[at]), n
+        if due is not None:
+            due = due[due + size > seen]
+            if len(due):
+                yield size, None, key[due], None
+        if size == sizes:
             return
-        slot = mix(rolled) & mask
-        got = np.where(live, first[size - 1][slot], NEVER).astype("i8")
-        till = np.where(live, last[size - 1][slot], 0).astype("i8")
-        live = (got[:-1] != NEVER) & (got[1:] != NEVER)
-        low, high = np.maximum(got[:-1], got[1:]), np.maximum(till[:-1], till[1:])
+        low = np.maximum(there[:-1], there[1:])
         rolled = rolled[:-1] + hashes[size:] * odd[size]
-        if not live.any():
+        if (low == NEVER).all():
             return
 
 
-def counter(step: int, shards: int, shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first, last = shared.value
-        texts = (row for frame in batches for row in zip(frame["lang"].tolist(), frame["text"].tolist()))
-        for lang, tokens, seen in slices(texts):
-            for size, phrases, n in counted(tokens, seen, lang_seed(lang), step, shards, first, last):
-                yield pd.DataFrame({"lang": lang, "size": size, "phrase": [p.decode("utf-8", "replace") for p in phrases], "n": n})
-
-    return run
+FOUND = "lang string, size int, phrase string, h long, n long"
 
 
-def slots_of(sizes: int, slots: int):
-    """Slots of phrases, those of k words from ``(k - 1) * slots`` on."""
+def counter(step: int, shards: int, sizes: int, shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from xxhash import xxh3_64_intdigest
-
-        odd = odd_numbers(sizes)
-        for frame in batches:
-            own = np.empty(len(frame), "i8")
-            for i, (lang, phrase) in enumerate(zip(frame["lang"].tolist(), frame["phrase"].tolist())):
-                words, seed = phrase.encode().split(b" "), lang_seed(lang)
-                rolled = sum((np.array([xxh3_64_intdigest(w, seed)], "u8") * odd[k] for k, w in enumerate(words)), U(0))
-                own[i] = (len(words) - 1) * slots + int(mix(rolled)[0] & U(slots - 1))
-            yield pd.DataFrame({"block": own // SLOTS_A_BLOCK, "slot": own % SLOTS_A_BLOCK})
+        first = shared.value
+        texts = (row for frame in batches for row in zip(frame["lang"].tolist(), frame["text"].tolist()))
+        for lang, tokens, seen in slices(texts):
+            for size, phrases, h, n in looked_at(tokens, seen, lang_seed(lang), step, shards, sizes, first):
+                if phrases is None:  # the hash knows the language
+                    yield pd.DataFrame({"lang": None, "size": size, "phrase": None, "h": h.view("i8"), "n": 1})
+                else:
+                    yield pd.DataFrame({"lang": lang, "size": size, "phrase": [p.decode("utf-8", "replace") for p in phrases],
+                                        "h": h.view("i8"), "n": n})
 
     return run
 
@@ -185,50 +196,41 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, max_words: int = 3, thresho
                   lang_col: str = "lang", text_col: str = "text", slot_bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame]:
     """``lang, size, phrase, f`` of all phrases of up to ``max_words`` words found
     ``threshold`` times or more, and ``lang, n``, each language's words."""
-    spark, slots = docs.sparkSession, max(SLOTS_A_BLOCK, 1 << slot_bits)
-    if not 1 <= max_words <= 15 or max_words * shards >= NEVER:
-        raise ValueError("max_words from 1 to 15, and fewer than 255 steps in all")
+    if not 1 <= max_words <= 15 or (max_words + 2) * shards >= NEVER or slot_bits > 31:
+        raise ValueError("max_words from 1 to 15, fewer than 255 steps in all, and at most 2^31 slots")
+    spark, slots, share = docs.sparkSession, max(SLOTS_A_BLOCK, 1 << slot_bits), -(-threshold // shards)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     # any even deal will do; written once, so that every step sees the same one
     rows = rows.filter("text <> ''").withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
     rows = scratch.write(rows, "shards", by="shard")
-    first = np.full((max_words - 1, slots), NEVER, "u1")
-    last = np.zeros((max_words - 1, slots), "u1")
-    # the last step that each size needs
-    until = [shards - 1] + [-1] * (max_words - 1)
-    steps, state, step = [], None, 0
-    while step <= max(until):
-        shared = spark.sparkContext.broadcast((first, last))
+    first = np.full((max([max_words - 1, *tallied(max_words)]), slots), NEVER, "u1")
+    steps, step, until = [], 0, shards - 1
+    while step <= until:
+        shared = spark.sparkContext.broadcast(first)
         found = (rows.filter(F.col("shard") == step % shards).select("lang", "text")
-                 .mapInPandas(counter(step, shards, shared), "lang string, size int, phrase string, n long")
-                 .groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")))
+                 .mapInPandas(counter(step, shards, max_words, shared), FOUND)
+                 .groupBy("lang", "size", "phrase", "h").agg(F.sum("n").alias("n"))
+                 .filter((F.col("n") >= share) | F.col("phrase").isNotNull()))
         found = scratch.write(found, f"step-{step}")
         shared.destroy()
-        steps.append(found.withColumn("shard", F.lit(step % shards)))
-        # sizes that still activate longer ones
-        open_sizes = [k for k in range(1, max_words) if until[k - 1] >= step]
-        if open_sizes:
-            added = found.filter(F.col("size").isin(open_sizes)).withColumn("reached", F.lit(None).cast("int"))
-            if state is not None:
-                added = added.unionByName(state.filter(F.col("size").isin(open_sizes)))
-            total = added.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"), F.min("reached").alias("reached"))
-            state = scratch.write(total.withColumn("reached", F.coalesce("reached", F.when(F.col("n") >= threshold, step))),
-                                  f"state-{step}")
-            new = state.filter(F.col("reached") == step).select("lang", "phrase").mapInPandas(
-                slots_of(max_words, slots), "block long, slot long").distinct()
-            for block, bits in new.groupBy("block").applyInPandas(bitmap, "block long, bits binary").collect():
-                on = np.flatnonzero(np.unpackbits(np.frombuffer(bits, "u1"))) + block * SLOTS_A_BLOCK
-                size, own = int(block * SLOTS_A_BLOCK // slots), on % slots
-                first[size][own] = np.minimum(first[size][own], step)
-                last[size][own] = step
-                until[size + 1] = step + shards
+        steps.append(found.filter("phrase is not null").select("lang", "size", "phrase", "n"))
+        new = found.filter((F.col("phrase").isNull() | ((F.col("size") == 1) & (F.col("n") >= share))) & (F.col("size") <= len(first)))
+        slot = F.explode(F.array(F.col("h").bitwiseAND(slots - 1), F.shiftrightunsigned("h", 32).bitwiseAND(slots - 1)))
+        new = new.select("size", slot.alias("slot")).select(((F.col("size") - 1) * F.lit(slots).cast("long") + F.col("slot")).alias("slot"))
+        new = new.select(F.expr(f"slot div {SLOTS_A_BLOCK}").alias("block"), F.pmod("slot", F.lit(SLOTS_A_BLOCK)).alias("slot"))
+        # a bit a slot comes to the driver, however many phrases there are
+        for block, bits in new.distinct().groupBy("block").applyInPandas(bitmap, "block long, bits binary").collect():
+            own = np.flatnonzero(np.unpackbits(np.frombuffer(bits, "u1"))) + block * SLOTS_A_BLOCK
+            flat = first.reshape(-1)
+            own = own[flat[own] == NEVER]
+            flat[own] = step
+            if len(own):
+                until = step + shards
         step += 1
     every = steps[0]
     for more in steps[1:]:
         every = every.unionAll(more)
-    by_shard = [F.coalesce(F.max(F.when(F.col("shard") == s, F.col("n"))), F.lit(0)) for s in range(shards)]
-    counts = (every.groupBy("lang", "size", "phrase").agg(sum(by_shard[1:], by_shard[0]).alias("f"))
-              .filter(F.col("f") >= threshold))
+    counts = every.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= threshold)
     sizes = every.filter("size = 1").groupBy("lang").agg(F.sum("n").alias("n"))
     return scratch.write(counts, "counts"), scratch.write(sizes, "words")
 
