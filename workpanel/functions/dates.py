@@ -70,6 +70,17 @@ def year_span(start_year: Column | str, end_year: Column | str, mode: str = "as_
     raise ValueError(f"mode must be 'as_coded' or 'forward', got {mode!r}")
 
 
+def year_bounds(start_year: Column | str, end_year: Column | str, mode: str = "as_coded") -> tuple[Column, Column]:
+    """The first and last of ``year_span``'s years; null where it has none."""
+    sy, ey = col_(start_year), col_(end_year)
+    if mode == "as_coded":
+        both = sy.isNotNull() & ey.isNotNull()
+        return F.when(both, F.least(sy, ey - 1)), F.when(both, F.greatest(sy, ey - 1))
+    if mode == "forward":
+        return F.when(sy <= ey, sy), F.when(sy <= ey, F.greatest(sy, ey - 1))
+    raise ValueError(f"mode must be 'as_coded' or 'forward', got {mode!r}")
+
+
 def month_span(m0: Column | str, m1: Column | str) -> Column:
     """Months from ``m0`` to ``m1`` inclusive (both month floors, m0 <= m1)."""
     return F.sequence(col_(m0), col_(m1), F.expr("INTERVAL 1 MONTH"))
