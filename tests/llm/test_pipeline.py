@@ -15,6 +15,15 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert p.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
+def test_near_duplicates_go_by_row_not_by_id(spark):
+    """Two texts under one id: the copy goes, the text that has none stays."""
+    rows = [(3, A), (5, A), (5, B), (7, B + " tail"), (8, A + " end"), (8, A + " end"), (None, A)]
+    docs = spark.createDataFrame([(k, t, len(t), 1) for k, t in rows], "doc_id long, text string, n_chars long, _mark int")
+    kept = p.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in kept.collect()) == [(0, A), (3, A), (5, B)]
+
+
 def test_near_duplicates_at_five_words_and_four_fifths(spark):
     rows, own = [], [f"c{k}" for k in range(94)]  # 90 shingles of five words, 91 of four
     for group, places in enumerate(((40, 70), (30, 60))):

@@ -9,9 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from workpanel.llm.common import components, numbered
+from workpanel.llm.common import Scratch, components, numbered
 from workpanel.llm.decontamination import STAGE_MASKS, contaminated, decontaminate, leaks
-from workpanel.llm.ngram_join import ngram_components, open_keys
+from workpanel.llm.ngram_join import across, ngram_components
 from workpanel.llm.packing import pack_documents, pack_lengths, text_words, word_ids
 from workpanel.llm.pii import pseudonymise
 from workpanel.llm.quality_classifier import class_prior, quality_scores
@@ -97,22 +97,63 @@ def test_ngram_components_large_near_copy_group(spark):
     assert got == brute_components(rows)
 
 
-def test_open_keys_keep_every_pair_of_components(spark):
-    # a component has one size, and both weak and strong members
-    rows = {(k, R.randrange(60)) for k in range(400) for _ in range(R.randrange(1, 6))}
-    rows |= {(900, 90), (900, 91), (900, 92)}
-    comp, weak = {c: c % 9 for c in range(60)}, {c: int(c % 4 == 0) for c in range(60)}
-    comp |= {90: 5, 91: 7, 92: 5}  # C, D, C; the last is weak
-    weak |= {90: 0, 91: 0, 92: 1}
-    size = [3, 3, 8, 1, 1, 2, 5, 6, 2]
-    place = [(k, c, comp[c], weak[c], size[comp[c]]) for k, c in sorted(rows)]
-    out = open_keys(spark.createDataFrame(place, "key long, cls long, comp long, weak int, size long")).collect()
-    kept, looks = {(r["key"], r["cls"]) for r in out}, {(r["key"], r["cls"]) for r in out if r["looks"]}
-    order = {c: (weak[c], size[comp[c]], comp[c], c) for c in comp}
-    pairs = {(k, a, b) for k, a in rows for j, b in rows
-             if k == j and comp[a] != comp[b] and (order[a] < order[b] or weak[a] + weak[b] == 2)}
-    assert {(k, a) for k, a, _ in pairs} == looks and {(k, b) for k, _, b in pairs} <= kept
-    assert (900, 90, 91) in pairs
+def star_of(hub, family, edits, size, percent, foreign=0):
+    """Classes of one star: near copies of a base set, each with changes of its own."""
+    base = [1000 * hub + k for k in range(size)]
+    sets = {hub * 1000: base}
+    for k in range(1, family):
+        gone = set(R.sample(range(size), R.randrange(edits + 1)))
+        own = [x for j, x in enumerate(base) if j not in gone] + [10 ** 6 * hub + 10 ** 3 * k + j for j in range(R.randrange(edits + 1))]
+        sets[hub * 1000 + k] = own + R.sample(range(50), foreign)
+    return {c: sorted(set(x)) for c, x in sets.items()}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_across_finds_every_link_between_components(spark, percent):
+    stars, sets = [], {}
+    for hub, (family, edits, size, foreign) in enumerate([(40, 12, 60, 0), (30, 4, 20, 3), (30, 30, 90, 10), (3, 2, 9, 0), (2, 5, 30, 0)], 1):
+        own = star_of(hub, family, edits, size, percent, foreign)
+        sets |= own
+        stars += [(hub * 1000, c) for c in own]
+    stars += [(1000, c) for c in sets if 3000 <= c < 3010]  # a class in two stars
+    comp = {c: R.randrange(6) if c % 3 else c for c in sets}
+    jaccard = lambda a, b: (lambda x, y: 100 * len(x & y) >= percent * len(x | y))(set(sets[a]), set(sets[b]))
+    place = spark.createDataFrame([(c, len(x), comp[c]) for c, x in sets.items()], "cls long, n long, comp long")
+    grams = spark.createDataFrame(list(sets.items()), "cls long, grams array<long>")
+    found = {(r["a"], r["b"]) for r in across(spark.createDataFrame(stars, "hub long, cls long"), place, grams, percent,
+                                              Scratch(spark, "test")).collect()}
+    by_hub = {}
+    for hub, c in stars:
+        by_hub.setdefault(hub, []).append(c)
+    pairs = {tuple(sorted(p)) for m in by_hub.values() if len(m) > 2 for p in combinations(m, 2) if comp[p[0]] != comp[p[1]]}
+    assert found <= pairs
+    linked = {p for p in pairs if jaccard(*p)}
+    # a link is found, or both its ends link with the star's nearest class
+    parent = {c: c for c in sets}
+
+    def root(c):
+        while parent[c] != c:
+            c = parent[c]
+        return c
+
+    first = {}
+    for c, own in comp.items():
+        parent[root(c)] = root(first.setdefault(own, c))
+    for a, b in (p for p in found if jaccard(*p)):
+        parent[root(a)] = root(b)
+    assert len(linked) >= 20 and all(root(a) == root(b) for a, b in linked)
+
+
+def test_near_links_do_not_meet(spark):
+    """A family of texts that nearly link: pairs looked at do not grow with its square."""
+    sets = star_of(1, 300, 0, 100, 80)
+    for k, c in enumerate(sets):
+        sets[c] = sorted(set(sets[c][18:]) | {10 ** 7 + 100 * k + j for j in range(18)} if k % 2 else
+                         set(sets[c][:-18]) | {10 ** 7 + 100 * k + j for j in range(18)})
+    place = spark.createDataFrame([(c, len(x), c) for c, x in sets.items()], "cls long, n long, comp long")
+    grams = spark.createDataFrame(list(sets.items()), "cls long, grams array<long>")
+    stars = spark.createDataFrame([(1000, c) for c in sets], "hub long, cls long")
+    assert across(stars, place, grams, 80, Scratch(spark, "test")).count() <= 2 * len(sets)
 
 
 def test_ngram_components_of_short_near_copies(spark):

@@ -41,6 +41,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer where ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """A folder for the tables of one run, under the cluster's shared checkpoint folder."""
 
@@ -101,7 +109,7 @@ def numbered(df: DataFrame, keys: list[str], uid: str, rows: int, out: str = "ra
     return df.join(base, on).select(*kept, (F.col("_base") + F.col("_r")).cast("long").alias(out))
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """``node, component`` for the nodes of ``edges`` (``a, b``, longs): the
     smallest node reachable, itself included.
 
@@ -109,10 +117,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     neighbours', then follows that label one step (pointer jumping), so long
     chains shorten by half.  Every round is a written table.
     """
-    both = staged(edges.select("a", "b").union(edges.select("b", "a"))
-                  .filter("a is not null and b is not null and a <> b").distinct(), f"{name}-edges")
-    labels = staged(both.groupBy(F.col("a").alias("node"))
-                    .agg(F.least(F.first("a"), F.min("b")).alias("component")), name)
+    both = scratch.write(edges.select("a", "b").union(edges.select("b", "a"))
+                         .filter("a is not null and b is not null and a <> b").distinct(), f"{name}-edges")
+    labels = scratch.write(both.groupBy(F.col("a").alias("node"))
+                           .agg(F.least(F.first("a"), F.min("b")).alias("component")), name)
     for _ in range(LINK_LIMIT):
         near = (both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node"))
                 .agg(F.min("component").alias("near")))
@@ -121,7 +129,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
                        F.least("component", "near").alias("next")))
         # the label of a node's label is at most the label itself
         via = labels.select(F.col("node").alias("next"), F.col("component").alias("jump"))
-        new = staged(own.join(via, "next", "left").select(
+        new = scratch.write(own.join(via, "next", "left").select(
             "node", "old", F.coalesce(F.least("next", "jump"), "next").alias("component")), name)
         labels = new.select("node", "component")
         if new.filter("component <> old").isEmpty():

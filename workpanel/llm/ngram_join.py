@@ -2,28 +2,34 @@ r"""Exact Jaccard self-join of word n-gram sets, by universe partitioning.
 
 Two sets of sizes r and s reach the threshold only if their symmetric
 difference is at most H, which the sizes give.  Hash the universe of n-grams
-into segments: H differing n-grams spoil at most H segments, so of any H + 1
-segments one is equal in both sets.  For small sets a segment counts as
-matched when it is equal up to one n-gram (its key, and the keys of its
-*one-deletion neighbourhood*, are indexed), and then floor(H / 2) + 1 segments
-are enough.
+into m segments by size band: fewer than H / 2 + 1 segments hold two differing n-grams or
+more, so of any floor(H / 2) + 1 segments one is equal in both sets up to one n-gram.  Keys
+that such a segment has in common with its like are indexed:
+
+* small sets: the segment, and its *one-deletion neighbourhood*, the segment without
+  each of its n-grams;
+* larger sets: the *subsets* of its ``PARTS`` parts that leave one part out, one of which
+  does without the differing n-gram.
 
 1. Sets are grouped by a 64-bit hash of their n-grams: copies are one *class*
    from here on (the odds of two different sets meeting are below n^2 / 2^65).
 2. Every class emits its segments' keys for the size band it lies in and for
    the bands whose sets it can link with as the smaller one.
-3. *Cost-based allocation*: a class needs only as many segments as the bound
-   says and may pick those whose keys the fewest others have.  A class with
-   enough segments of its own links with nothing and leaves the index.
-4. Each key's most connected member is compared with the key's others; links
-   give first components.  Then every class outside the largest component
-   probes the cheapest segments for classes in larger components, so no two
-   members of one component are ever paired.  All pairs are checked on the
-   n-gram sets themselves, after a parity sketch that never loses a pair.
-
-A set with too few usable segments (*weak*) cannot rely on the bound: others
-probe for it, and weak sets meet each other on single n-grams.  No group is
-capped or sampled.
+3. *Cost-based allocation*: a class has more segments than the bound needs, and
+   keys that nobody else has cost nothing.  A class with enough segments of its
+   own links with nothing and leaves the index.
+4. Each key's most connected member is its *hub*, and is compared with the key's others;
+   links give first components.  Two linked classes have a key in common, hence a hub.
+5. What is left are pairs of a hub's star in different components, of which there may be
+   many that nearly link.  They are found by what tells them apart (``across``): of each
+   class only its *differences* from the star's consensus are kept, and classes that are
+   not near the consensus can link only if they share a number of differences.  A class
+   looks up its rarest ones, so texts that differ in ways of their own meet nobody.
+
+All pairs are checked on the n-gram sets themselves, after a parity sketch that never
+loses a pair.  A set with too few usable segments (*weak*) cannot rely on the bound: it
+has the keys of all its segments, where stronger sets look, and weak sets meet each other
+on single n-grams.  No group is capped or sampled.
 
 Defined cases: null, empty and blank texts have the empty set, size 0, and
 link with nothing; texts with fewer words than n have one n-gram, the whole
@@ -42,10 +48,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from workpanel.llm.common import components, shuffled, staged
+from workpanel.llm.common import Scratch, components, shuffled
 
 #: Sets up to this size use one-deletion neighbourhoods: as many keys as n-grams, but longer ones.
 SMALL = 64
+#: Parts of a segment of larger sets; a key leaves one out.
+PARTS = 3
 SCHEMES = 110  # size bands, enough for 2^24 n-grams; single n-grams of weak sets use SCHEMES + band
 PARITY = ("p0", "p1", "p2", "p3")
 U = np.uint64
@@ -145,29 +153,40 @@ def keys_of(n: int, percent: int, text_col: str):
     def scheme_keys(scheme: int, x: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
         h = int(most[scheme])
         small = lows[scheme] <= SMALL
-        need = h // 2 + 1 if small else h + 1
-        m = need + 1 if small else need + need // 4 + 2
+        need = h // 2 + 1
+        m = need + 1 if small else need + need // 6 + 1
         doc = np.repeat(np.arange(len(counts)), counts)
-        seg = ((mix(x + U(scheme)) >> U(20)) % U(m)).astype("int64")
+        spread = mix(x + U(scheme))
+        seg = ((spread >> U(20)) % U(m)).astype("int64")
         cell = doc * m + seg
         size = np.bincount(cell, minlength=m * len(counts))
         value = mix(x ^ U(0x9E3779B97F4A7C15))
         total = np.zeros(m * len(counts), "u8")
         np.add.at(total, cell, value)
         salt = np.tile(mix(np.arange(m, dtype="u8") + U((scheme + 1) << 32)), len(counts))
-        usable = size >= (2 if small else 1)
+        if not small:
+            piece = cell * PARTS + ((spread & U(0xFFFF)) % U(PARTS)).astype("int64")
+            in_piece = np.bincount(piece, minlength=PARTS * m * len(counts)).reshape(-1, PARTS)
+            of_piece = np.zeros(PARTS * m * len(counts), "u8")
+            np.add.at(of_piece, piece, value)
+            rest, n_rest = total[:, None] - of_piece.reshape(-1, PARTS), size[:, None] - in_piece
+        # whatever differs, something is left to make a key of
+        usable = size >= 2 if small else (in_piece > 0).sum(axis=1) >= 2
         strong = usable.reshape(-1, m).sum(axis=1)
         spare = np.maximum(strong - need, -1) + 1
 
         def part(cells: np.ndarray) -> np.ndarray:
             return (scheme << 52) | (spare[cells // m] << 26) | ((cells % m) << 1) | usable[cells]
 
-        at = np.flatnonzero(size)
-        yield mix(total[at] + salt[at]), ids[at // m], part(at)
         if small:
+            at = np.flatnonzero(size)
+            yield mix(total[at] + salt[at]), ids[at // m], part(at)
             near = usable[cell]
             c = cell[near]
             yield mix(total[c] - value[near] + salt[c]), ids[c // m], part(c)
+        else:
+            at, out = np.nonzero(n_rest)
+            yield mix(rest[at, out] + salt[at] * U(2) + out.astype("u8")), ids[at // m], part(at)
         for i in np.flatnonzero(spare == 0):
             own = value[doc == i]
             k = np.arange(len(own))
@@ -224,31 +243,9 @@ def thinned(keys: DataFrame) -> DataFrame:
     return keys.withColumn("scheme", F.expr(SCHEME)).join(left, ["cls", "scheme"], "left_semi").drop("scheme")
 
 
-def probes(keys: DataFrame) -> DataFrame:
-    """For each class and scheme the cheapest segments that the bound needs: ``key, cls``."""
-    segments = (keys.filter(f"{STRONG} and {SPARE} >= 0").groupBy("cls", "part").agg(F.sum("df").alias("cost")))
-    own = Window.partitionBy("cls", F.expr(SCHEME))
-    chosen = (segments.withColumn("touched", F.count(F.lit(1)).over(own))
-              .withColumn("k", F.row_number().over(own.orderBy("cost", "part")))
-              .filter(f"k <= touched - ({SPARE})").select("cls", "part"))
-    return keys.join(chosen, ["cls", "part"], "left_semi").select("key", "cls")
-
-
-def open_keys(index: DataFrame) -> DataFrame:
-    """Of the rows ``key, cls, comp, weak, size``, those whose key more than one component
-    has, with ``looks``: whether the key has a class of another component that is
-    higher, or weak as the class itself; a key's highest component need not look
-    for others."""
-    by_key = Window.partitionBy("key")
-    over = F.when(F.col("weak") == 0, F.struct("size", "comp"))  # strong rows; every weak row is higher
-    vague = F.when(F.col("weak") == 1, F.col("comp"))
-    ends = {"_lo": F.min("comp"), "_hi": F.max("comp"), "_over": F.max(over), "_weak_lo": F.min(vague), "_weak_hi": F.max(vague)}
-    for name, end in ends.items():
-        index = index.withColumn(name, end.over(by_key))
-    above = F.col("_over") > F.struct("size", "comp")
-    beside = (F.col("_weak_lo") != F.col("comp")) | (F.col("_weak_hi") != F.col("comp"))
-    looks = F.coalesce(beside, F.lit(False)) | ((F.col("weak") == 0) & F.coalesce(above, F.lit(False)))
-    return index.filter("_lo < _hi").withColumn("looks", looks).drop(*ends)
+def row_mark(id_col: str, text_col: str) -> Column:
+    """A hash of a row's id and text."""
+    return F.xxhash64(id_col, F.lit(0), text_col)
 
 
 def can_link(percent: int, a: str, b: str) -> Column:
@@ -259,67 +256,109 @@ def can_link(percent: int, a: str, b: str) -> Column:
     return (100 * small >= percent * large) & ((100 + percent) * bits <= (100 - percent) * (small + large))
 
 
-def verified(pairs: DataFrame, grams: DataFrame, percent: int, name: str) -> DataFrame:
+def verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` of classes whose sets reach the threshold."""
     left = pairs.join(grams.select(F.col("cls").alias("a"), F.col("grams").alias("x")), "a")
     both = left.join(grams.select(F.col("cls").alias("b"), F.col("grams").alias("y")), "b")
     shared_n = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - shared_n
-    return staged(both.filter(100 * shared_n >= percent * union).select("a", "b"), name)
+    return both.filter(100 * shared_n >= percent * union).select("a", "b")
+
+
+def differing(x: str, y: str) -> Column:
+    return F.concat(F.array_except(x, y), F.array_except(y, x))
+
+
+def across(stars: DataFrame, place: DataFrame, grams: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs ``a, b`` of classes of one star (``hub, cls``, the hub among them) and of
+    different components (``place``: ``cls, n, comp``) that may link, every one that does among them.
+
+    Of a class x let D(x) be its differences from the star's consensus, the n-grams that
+    most of the star has, and let its *distance* be s(x) = |D(x)| - r |x|, where two sets a, b link
+    if and only if |D(a) ^ D(b)| <= r (|a| + |b|), r = (100 - percent) / (100 + percent).
+    If s(a) + s(b) <= 0 they do link, and so does each with the star's nearest class.
+    Otherwise they share at least (s(a) + s(b)) / 2 differences: if s(b) >= s(a), at least
+    max(1, s(a)), so one of the ``|D(a)| - max(1, s(a)) + 1`` rarest of a is one of b's.
+    Differences that only one component has are never shared, and are not looked up.
+    """
+    own = stars.join(place.select("cls", "n", "comp"), "cls")
+    open_ = (own.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+             .filter("members >= 3 and lo < hi").select("hub", "members"))  # a pair has been compared
+    own = scratch.write(own.join(scratch.write(open_, "open-hubs"), "hub"), "open")
+    x = grams.withColumnRenamed("grams", "x")
+    hubs = grams.withColumnsRenamed({"cls": "hub", "grams": "center"})
+    first = own.select("hub", "cls", "members").join(x, "cls").join(hubs, "hub")
+    flips = (first.select("hub", "members", F.explode(differing("x", "center")).alias("e")).groupBy("hub", "members", "e").count()
+             .filter("2 * count > members").groupBy("hub").agg(F.collect_list("e").alias("flips")))  # at most twice a set's n-grams
+    centers = own.select("hub").distinct().join(hubs, "hub").join(flips, "hub", "left")
+    centers = scratch.write(centers.select("hub", F.when(F.col("flips").isNull(), F.col("center"))
+                                           .otherwise(differing("center", "flips")).alias("center")), "centers")
+    # s in units of 1 / (100 + percent)
+    near = scratch.write(own.join(x, "cls").join(centers, "hub").withColumn("d", differing("x", "center"))
+                         .withColumn("s", (100 + percent) * F.size("d").cast("long") - (100 - percent) * F.col("n"))
+                         .select("hub", "cls", "comp", "s", "d"), "differences")
+    nearest = scratch.write(near.groupBy("hub").agg(F.min(F.struct("s", "cls", "comp")).alias("m")), "nearest")
+    sure = (near.select("hub", "cls", "comp", "s").join(nearest, "hub").filter("comp <> m.comp and s + m.s <= 0")
+            .select(F.col("m.cls").alias("a"), F.col("cls").alias("b")))
+    each = near.select("hub", "cls", "comp", "s", F.explode("d").alias("e"))
+    met = (each.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+           .filter("lo < hi").select("hub", "e", "c"))
+    met = scratch.write(each.join(scratch.write(met, "met"), ["hub", "e"]), "shared-differences")
+    least = F.greatest(F.lit(1), F.ceil(F.col("s") / (100 + percent)))
+    of_class = Window.partitionBy("hub", "cls")
+    rare = (met.withColumn("k", F.row_number().over(of_class.orderBy("c", "e"))).withColumn("all", F.count(F.lit(1)).over(of_class))
+            .filter(F.col("k") <= F.col("all") - least + 1))
+    i, j = rare.alias("i"), met.filter("s > 0").alias("j")
+    pairs = i.join(j, (F.col("i.hub") == F.col("j.hub")) & (F.col("i.e") == F.col("j.e")) & (F.col("i.comp") != F.col("j.comp"))
+                   & (F.col("j.s") >= F.col("i.s")) & (F.col("i.s") + F.col("j.s") > 0))
+    pairs = pairs.select(F.col("i.cls").alias("a"), F.col("j.cls").alias("b")).unionAll(sure)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, class_id``: each document's set size, the
+    """``doc_id, n_shingles, component_id, class_id, mark, group``: each document's set size, the
     smallest id it reaches by links of at least ``percent`` Jaccard similarity,
-    and the hash of its set (equal for documents with equal sets)."""
+    the hash of its set (equal for documents with equal sets), the row's mark (a hash of
+    its id and text), and a number that tells components apart, null for empty sets."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    scratch = Scratch(docs.sparkSession, "ngrams")
     # ids may repeat or be null; a row's mark is the hash of its id and text
-    marked = docs.select(id_col, text_col, F.xxhash64(id_col, F.lit(0), text_col).alias("mark"))
-    sets = staged(marked.mapInPandas(
-        sets_of(n, id_col, text_col), f"doc_id {id_type}, n_shingles long, cls long, mark long, " + ", ".join(f"{p} long" for p in PARITY)), "ngram-sets")
+    marked = docs.select(id_col, text_col, row_mark(id_col, text_col).alias("mark"))
+    sets = scratch.write(marked.mapInPandas(
+        sets_of(n, id_col, text_col), f"doc_id {id_type}, n_shingles long, cls long, mark long, " + ", ".join(f"{p} long" for p in PARITY)), "sets")
     classes = (sets.filter("n_shingles > 0").groupBy("cls")
                .agg(F.min("doc_id").alias("rep"), F.min("mark").alias("mark"), F.first("n_shingles").alias("n"), *[F.first(p).alias(p) for p in PARITY]))
     keys = docs.select(text_col).mapInPandas(keys_of(n, percent, text_col), "key long, cls long, part long").repartition("key")
-    keys = staged(shared(keys), "ngram-keys")
-    keys = staged(thinned(keys).distinct(), "ngram-index")  # copies from different tasks are one row from here on
-    keys = staged(thinned(shared(keys.drop("df"))), "ngram-index")  # what left no longer shares keys
+    keys = scratch.write(shared(keys), "keys")
+    keys = scratch.write(thinned(keys).distinct(), "index")  # copies from different tasks are one row from here on
+    keys = scratch.write(thinned(shared(keys.drop("df"))), "index")  # what left no longer shares keys
 
     members = keys.select("cls").distinct()
-    info = staged(members.join(classes, "cls"), "ngram-classes")
+    info = scratch.write(members.join(classes, "cls"), "classes")
     rows = marked.select("mark", text_col).join(shuffled(info.select("cls", "mark")), "mark")
-    grams = staged(rows.mapInPandas(sets_for(n, text_col), "cls long, grams array<long>").dropDuplicates(["cls"]), "ngram-grams")
+    grams = scratch.write(rows.mapInPandas(sets_for(n, text_col), "cls long, grams array<long>").dropDuplicates(["cls"]), "grams")
 
     score = keys.groupBy("cls").agg(F.sum(F.log("df")).alias("score"))
-    best = (keys.join(score, "cls").groupBy("key").agg(F.max(F.struct("score", "cls")).alias("top"))
-            .select("key", F.col("top.cls").alias("a")))
-    stars = (keys.join(best, "key").filter("a <> cls").select("a", F.col("cls").alias("b")).distinct())
-    stars = (stars.join(info.alias("x"), F.col("a") == F.col("x.cls")).join(info.alias("y"), F.col("b") == F.col("y.cls"))
-             .filter(can_link(percent, "x", "y")).select("a", "b"))
-    first = verified(stars, grams, percent, "ngram-links")
-
-    found = components(first, "ngram-first").withColumnRenamed("node", "cls")
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    weak = keys.filter(f"{SPARE} < 0").select("cls").distinct().withColumn("weak", F.lit(1))
-    # who is higher need not look for who is lower; weak sets are the highest
-    place = (info.join(found, "cls", "left").join(sizes, "component", "left").join(weak, "cls", "left")
-             .select("cls", "n", *PARITY, F.coalesce("component", "cls").alias("comp"),
-                     F.coalesce("weak", F.lit(0)).alias("weak"), F.coalesce("size", F.lit(1)).alias("size"),
-                     F.struct(F.coalesce("weak", F.lit(0)), F.coalesce("size", F.lit(1)),
-                              F.coalesce("component", "cls"), F.col("cls")).alias("order")))
-    place = staged(place, "ngram-order")
-    index = staged(open_keys(keys.select("key", "cls").distinct().join(place, "cls")), "ngram-open")
-    low = probes(keys).distinct().join(index, ["key", "cls"]).filter("looks").alias("x")
-    rest = (low.join(index.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
-                     & ((F.col("x.order") < F.col("y.order")) | (F.col("x.weak") + F.col("y.weak") == 2))
-                     & can_link(percent, "x", "y"))
-            .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct())
-    links = first.unionAll(verified(rest, grams, percent, "ngram-links"))
-
-    named = components(links, "ngram-final").withColumnRenamed("node", "cls")
-    lowest = (classes.join(named, "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("group")))
-    top = lowest.groupBy("group").agg(F.min("rep").alias("component_id"))
-    ends = lowest.join(top, "group").select("cls", "component_id")
-    return (sets.join(ends, "cls", "left")
-            .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id"))
-                    .otherwise(F.col("doc_id")).alias("component_id"), F.col("cls").alias("class_id")))
+    best = (keys.join(scratch.write(score, "scores"), "cls").groupBy("key").agg(F.max(F.struct("score", "cls")).alias("top"))
+            .select("key", F.col("top.cls").alias("hub")))
+    # per-key and per-group tables are written, so that a join with them can split a hot key
+    stars = scratch.write(keys.join(scratch.write(best, "hubs"), "key").select("hub", "cls").distinct(), "stars")
+
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = (pairs.join(info.alias("x"), F.col("a") == F.col("x.cls")).join(info.alias("y"), F.col("b") == F.col("y.cls"))
+                 .filter(can_link(percent, "x", "y")).select("a", "b"))
+        return scratch.write(verified(pairs, grams, percent), name)
+
+    first = checked(stars.filter("hub <> cls").select(F.col("hub").alias("a"), F.col("cls").alias("b")), "links")
+    found = components(first, scratch, "first").withColumnRenamed("node", "cls")
+    place = scratch.write(info.join(found, "cls", "left").select("cls", "n", F.coalesce("component", "cls").alias("comp")), "place")
+    links = first.unionAll(checked(across(stars, place, grams, percent, scratch), "more-links"))
+
+    named = components(links, scratch, "final").withColumnRenamed("node", "cls")
+    lowest = scratch.write(classes.join(named, "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("group")), "groups")
+    top = scratch.write(lowest.groupBy("group").agg(F.min("rep").alias("component_id")), "names")
+    ends = lowest.join(top, "group").select("cls", "component_id", "group")
+    return scratch.keep(sets.join(ends, "cls", "left")
+                        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id"))
+                                .otherwise(F.col("doc_id")).alias("component_id"), F.col("cls").alias("class_id"), "mark", "group"))
