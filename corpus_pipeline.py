@@ -13,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from workpanel.llm.common import shuffled, staged, table
+from workpanel.llm.common import shuffled, staged, table, unused
 from workpanel.llm.decontamination import decontaminate
-from workpanel.llm.ngram_join import ngram_components
+from workpanel.llm.ngram_join import ngram_components, row_mark
 from workpanel.llm.packing import pack_documents
 from workpanel.llm.pii import pseudonymise
 from workpanel.llm.queries import fold, pii_key, tokenizer_file
@@ -26,21 +26,34 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised classifier scores below 0.5."""
     held = F.coalesce(fold(5) == 0, F.lit(False))
     labels = table(spark, sf_dir, "labels").filter(fold(5) != 0).select("doc_id", "toxic")
-    return toxicity_scores(docs, ~held, labels, out="_toxicity").filter("_toxicity < 0.5").drop("_toxicity")
+    score = unused(docs, "_toxicity")
+    return toxicity_scores(docs, ~held, labels, out=score).filter(F.col(score) < 0.5).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of 5-word-shingle similarity 0.8: the one with
-    the smallest id.  Of repeated rows (equal id and text) one stays; rows without
-    an id cannot be named and stay."""
-    groups = staged(ngram_components(docs, n=5, percent=80), "near-duplicates")
-    gone = shuffled(groups.filter("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
+    """One document of each group of 5-word-shingle similarity 0.8: of the rows with
+    the smallest id one, by the hash of its text.  Rows go by id and text, so a row stays
+    if only other texts under its id go; of repeated rows (equal id and text) one stays.
+    Rows without an id cannot be named and stay; texts without a word, null ones
+    too, are in no group and stay."""
+    groups = ngram_components(docs, n=5, percent=80).filter("group is not null and doc_id is not null")
+    rank = F.struct("doc_id", "mark")
+    # one row a group; written, so that the joins can split a hot group
+    first = staged(groups.groupBy("group").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("rows"))
+                   .filter("rows > 1").select("group", F.col("first.mark").alias("stays")), "first-of-group")
+    marks = staged(groups.join(shuffled(first), "group").select("mark", (F.col("mark") == F.col("stays")).alias("stays")), "marks")
+    gone = marks.filter("not stays").select("mark").distinct()
+    # rows that repeat as a whole have one mark
+    repeated = marks.filter("stays").groupBy("mark").count().filter("count > 1").select("mark")
+    mark = unused(docs, "_mark")
+    marked = docs.withColumn(mark, row_mark("doc_id", "text"))
+    on = lambda other: F.col(mark) == other["mark"]
+    kept = marked.join(shuffled(gone), on(gone), "left_anti")
+    repeated = staged(repeated, "repeated")
     if repeated.isEmpty():
         return kept.select(docs.columns)
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+    once = kept.join(repeated, on(repeated), "left_semi").dropDuplicates([mark])
+    return kept.join(repeated, on(repeated), "left_anti").unionByName(once).select(docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
