@@ -306,11 +306,12 @@ def across(stars: DataFrame, place: DataFrame, grams: DataFrame, percent: int, s
     met = scratch.write(each.join(scratch.write(met, "met"), ["hub", "e"]), "shared-differences")
     least = F.greatest(F.lit(1), F.ceil(F.col("s") / (100 + percent)))
     of_class = Window.partitionBy("hub", "cls")
-    rare = (met.withColumn("k", F.row_number().over(of_class.orderBy("c", "e"))).withColumn("all", F.count(F.lit(1)).over(of_class))
-            .filter(F.col("k") <= F.col("all") - least + 1))
-    i, j = rare.alias("i"), met.filter("s > 0").alias("j")
+    met = (met.withColumn("k", F.row_number().over(of_class.orderBy("c", "e"))).withColumn("all", F.count(F.lit(1)).over(of_class)))
+    i, j = met.filter(F.col("k") <= F.col("all") - least + 1).alias("i"), met.filter("s > 0").alias("j")
+    # no pair shares more differences than either has in common with others
+    enough = 2 * (100 + percent) * F.least("i.all", "j.all") >= F.col("i.s") + F.col("j.s")
     pairs = i.join(j, (F.col("i.hub") == F.col("j.hub")) & (F.col("i.e") == F.col("j.e")) & (F.col("i.comp") != F.col("j.comp"))
-                   & (F.col("j.s") >= F.col("i.s")) & (F.col("i.s") + F.col("j.s") > 0))
+                   & (F.col("j.s") >= F.col("i.s")) & (F.col("i.s") + F.col("j.s") > 0) & enough)
     pairs = pairs.select(F.col("i.cls").alias("a"), F.col("j.cls").alias("b")).unionAll(sure)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
