@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from workpanel.operators.cells import year_cells
 from workpanel.operators.expand import expand_years
 from workpanel.operators.places import mapper_conflicts
-from workpanel.operators.skew import HOT_ROWS
+from workpanel.operators.skew import AUTO
 from workpanel.plans import pipelines as L
 from workpanel.session import build_session
 from workpanel.sources.readers import (SOURCE_FILE, read_city_mapper, read_education,
@@ -63,7 +63,7 @@ def _movers(p: argparse.ArgumentParser) -> None:
     p.add_argument("--years", choices=["as_coded", "forward"], default="as_coded")
     p.add_argument("--distinct-people", action="store_true")
     _cells(p)
-    p.add_argument("--hot-rows", type=int, default=HOT_ROWS,
+    p.add_argument("--hot-rows", type=int, default=None,
                    help="people with more rows than this are spread over buckets in the "
                         "per-person joins; -1 turns spreading off")
 
@@ -136,7 +136,9 @@ def _stage(spark: SparkSession, a):
     return lambda df: materialize(spark, df, "mover_rows")
 
 
-def _hot_rows(a) -> int | None:
+def _hot_rows(a) -> int | str | None:
+    if a.hot_rows is None:
+        return AUTO
     return None if a.hot_rows < 0 else a.hot_rows
 
 

@@ -44,9 +44,15 @@ def education_marked(df: DataFrame, key: str = "user_id", degree: str = "degree"
 
 def education_wide(df: DataFrame, key: str = "user_id", degree: str = "degree",
                    date: str = "enddate", tie: str = "education_id",
-                   order: str = "latest", clean_first: bool = False) -> DataFrame:
+                   order: str = "latest", clean_first: bool = False, raw: bool = False,
+                   hot: DataFrame | None = None) -> DataFrame:
     """One row per person with the 18 ``WIDE_COLUMNS``.
 
+    A person has few rows, so combining them before the shuffle sends about as many
+    rows, each 18 values and their order keys wide.  ``raw=True`` sends the rows as they
+    are and combines them after the shuffle.  ``hot`` (``key`` and more): people with so
+    many rows that these must not meet in one task; they are combined before the shuffle.
+
     ``order="latest"``: each column takes its value from the person's latest
     degree (by parsed ``date``, nulls last, ties by ``tie``) among the
     degrees where that column is not null.  ``order="any"`` is the
@@ -54,6 +60,17 @@ def education_wide(df: DataFrame, key: str = "user_id", degree: str = "degree",
     ``'empty'`` becomes null after the collapse, in string columns only
     (``clean_first=True``: before, so it can no longer win).
     """
+    if raw:
+        kw = dict(key=key, degree=degree, date=date, tie=tie, order=order, clean_first=clean_first)
+        used = dict.fromkeys([key, degree, date, tie, *(src for _, _, parts in WIDE_LAYOUT for _, src in parts)])
+        rows = df.select(*[c for c in used if c in df.columns])
+        if hot is None:
+            return education_wide(rows.repartition(key), **kw)
+        hot = F.broadcast(hot.select(key))  # fewer than one in HOT_SHARE rows, and written
+        # people without an id are one group, which an anti-join keeps whole: they are combined with the hot
+        few = rows.filter(F.col(key).isNotNull()).join(hot, key, "left_anti").repartition(key)
+        many = rows.join(hot, key, "left_semi").unionByName(rows.filter(F.col(key).isNull()))
+        return education_wide(few, **kw).unionByName(education_wide(many, **kw))
     m = education_marked(df, key, degree, keep=(tie, date))
     if clean_first:
         m = blank_sentinel(m, cols=WIDE_COLUMNS)

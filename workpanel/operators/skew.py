@@ -21,17 +21,45 @@ session's threshold, so a low ``threshold`` cannot overload anything.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed default: a key with more rows than this is hot; its rows are spread
+# Without a sketch: a key with more rows than this is hot; its rows are spread
 # so that each bucket holds about this many.
 HOT_ROWS = 10_000_000
 
+# With a sketch the data decide: hot is a key with more than 1 / HOT_SHARE of all
+# rows, so there are fewer than HOT_SHARE of them at every size; keys under
+# HOT_LEAST rows are no burden to any task.
+AUTO = "auto"
+HOT_SHARE, HOT_LEAST = 1000, 100_000
+# Keys that the sketch keeps.  It counts a key too high by at most 3.5 / SKETCH_KEYS
+# of all rows, which is well below 1 / HOT_SHARE: no hot key is missed.
+SKETCH_KEYS = 16_384
+
 BUCKETS = "_buckets"
 SALT = "_salt"
 
 
+def sketch(key: str, share: int = HOT_SHARE) -> list[Column]:
+    """Aggregates ``n_rows, top`` for one pass over a table: its rows, and its most
+    frequent keys by a mergeable frequent-items sketch of fixed size."""
+    return [F.count(F.lit(1)).alias("n_rows"), F.expr(f"approx_top_k(`{key}`, {2 * share}, {SKETCH_KEYS})").alias("top")]
+
+
+def hot_by_sketch(df: DataFrame, key: str, n_rows: int, top: list, share: int = HOT_SHARE,
+                  least: int = HOT_LEAST) -> DataFrame | None:
+    """``key, _buckets`` of the keys with more than ``max(least, n_rows / share)`` rows
+    of ``df``, or ``None`` if there is none.  Only keys that the sketch
+    names are counted (at most about ``share``), and exactly."""
+    limit = max(least, n_rows // share)
+    named = [item for item, count in top if item is not None and count > limit]
+    if not named:
+        return None
+    counts = df.filter(F.col(key).isin(named)).groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
+    return hot_keys(counts, key, threshold=limit)
+
+
 def hot_keys(counts: DataFrame, key: str, n_rows: str = "n_rows",
              threshold: int = HOT_ROWS) -> DataFrame:
     """``key, _buckets`` for keys whose row count ``n_rows`` exceeds

@@ -11,13 +11,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from workpanel.functions.codes import occupation_major
 from workpanel.operators.cells import month_cells, year_cells
 from workpanel.operators.cohorts import last_place, latest_education, movers, person_counts
-from workpanel.operators.skew import HOT_ROWS, SALT, hot_keys, salt_rows, spread_join
+from workpanel.operators.bloom import may_be_in
+from workpanel.operators.skew import (AUTO, HOT_ROWS, SALT, hot_by_sketch, hot_keys, salt_rows, sketch,
+                                      spread_join)
 from workpanel.operators.education import education_wide
 from workpanel.operators.expand import expand_months, expand_years
 from workpanel.operators.places import attach_city, merge_city_mapper, split_located
@@ -129,21 +131,50 @@ def _hot(people: DataFrame, hot_rows: int | None) -> DataFrame | None:
     return None if hot_rows is None else hot_keys(people, KEY, threshold=hot_rows)
 
 
+def _broadcast_bytes(spark: SparkSession) -> int:
+    """``spark.sql.autoBroadcastJoinThreshold`` in bytes; -1 where broadcasts are off."""
+    return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
+def _movers_by_sketch(positions: DataFrame, origin: str, destination: str, ordered: bool,
+                      stage: Stage) -> tuple[DataFrame, DataFrame | None, int]:
+    """Movers (written), the hot people or ``None``, and the number of movers, all from one
+    scan: the sketch that names hot people watches the rows on their way to the
+    movers' aggregate, and no row count of every person is shuffled."""
+    src = parse_dates(positions) if ordered else positions
+    seen, kept = Observation(), Observation()
+    keys = movers(src.observe(seen, *sketch(KEY)), origin, destination, ordered=ordered, start=START if ordered else None)
+    keys = stage(keys.observe(kept, F.count(F.lit(1)).alias("n")))
+    hot = hot_by_sketch(positions, KEY, seen.get["n_rows"], seen.get["top"])
+    if hot is not None:
+        hot = stage(hot)
+        hot = None if hot.isEmpty() else hot
+    return keys, hot, kept.get["n"]
+
+
 def _salted_movers(positions: DataFrame, origin: str, destination: str, ordered: bool,
-                   hot_rows: int | None, stage: Stage | None = None
+                   hot_rows: int | str | None, stage: Stage | None = None
                    ) -> tuple[DataFrame, DataFrame | None]:
     """Movers' rows, each with the bucket ``_salt`` (0 unless its person is
     hot), and the hot people; per-person tables join on (person, bucket).
-    With ``stage`` the counts are written once, and nobody hot means no
-    buckets at all."""
+    With ``stage`` the movers are written once, and nobody hot means no
+    buckets at all.  Movers too many to be broadcast are first looked for in a Bloom
+    filter on the scan, so that few rows of others are shuffled."""
     if hot_rows is None:
         # no row counts needed: the movers aggregate reads origin and
         # destination rows only (filter pushed to the scan)
         src = parse_dates(positions) if ordered else positions
         keys = movers(src, origin, destination, ordered=ordered, start=START if ordered else None)
         return positions.join(keys, KEY, "left_semi"), None
+    if hot_rows == AUTO and stage is not None:
+        keys, hot, n = _movers_by_sketch(positions, origin, destination, ordered, stage)
+        rows = positions
+        if 16 * n > _broadcast_bytes(positions.sparkSession):
+            rows = may_be_in(rows, keys, KEY, n)
+        rows = rows if hot is None else salt_rows(rows, KEY, hot, TIE)
+        return spread_join(rows, keys, KEY, "left_semi", hot), hot
     people = _staged(mover_set(positions, origin, destination, ordered), stage)
-    hot = _hot(people, hot_rows)
+    hot = _hot(people, HOT_ROWS if hot_rows == AUTO else hot_rows)
     if stage is not None:
         hot = None if hot.isEmpty() else stage(hot)
     keys = people.filter(F.col("mover")).select(KEY)
@@ -156,7 +187,7 @@ def _unsalt(df: DataFrame) -> DataFrame:
 
 
 def mover_positions(positions: DataFrame, origin: str, destination: str,
-                    ordered: bool = False, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+                    ordered: bool = False, hot_rows: int | str | None = AUTO) -> DataFrame:
     """All rows (any country) of people with rows in both countries."""
     return _unsalt(_salted_movers(positions, origin, destination, ordered, hot_rows)[0])
 
@@ -164,7 +195,7 @@ def mover_positions(positions: DataFrame, origin: str, destination: str,
 def positions_with_education(positions: DataFrame, education: DataFrame, origin: str,
                              destination: str, before: str | None = None,
                              stage: Stage | None = None, ordered: bool = False,
-                             hot_rows: int | None = HOT_ROWS) -> DataFrame:
+                             hot_rows: int | str | None = AUTO) -> DataFrame:
     """Mover rows with ``college_enddate, university_location`` of the latest
     home education.  With ``before`` only people whose latest home degree
     ended before it remain (the join becomes inner)."""
@@ -178,7 +209,7 @@ def mover_university_year(positions: DataFrame, education: DataFrame, origin: st
                           destination: str = "United States", before: str | None = None,
                           as_of=None, stage: Stage | None = stage_table, ordered: bool = False,
                           mode: str = "as_coded", distinct_people: bool = False,
-                          hot_rows: int | None = HOT_ROWS, exact_scale: int | None = 2,
+                          hot_rows: int | str | None = AUTO, exact_scale: int | None = 2,
                           order: str = "start") -> DataFrame:
     """L3 / L4: ``onet_code, university_location, year, mean_salary, n_individuals``
     over destination rows of movers.  A missing start falls back to the
@@ -197,7 +228,7 @@ def mover_university_year(positions: DataFrame, education: DataFrame, origin: st
 def mover_rows(positions: DataFrame, origin: str, destination: str,
                education: DataFrame | None = None, before: str | None = None,
                stage: Stage | None = None, ordered: bool = False,
-               hot_rows: int | None = HOT_ROWS) -> DataFrame:
+               hot_rows: int | str | None = AUTO) -> DataFrame:
     """Movers' rows; with ``before``, only people whose latest home degree
     ended before it."""
     return _unsalt(_mover_rows_salted(positions, origin, destination, education, before,
@@ -237,7 +268,7 @@ def positions_with_origin(positions: DataFrame, origin: str = "India",
                           destination: str = "United States", education: DataFrame | None = None,
                           before: str | None = None, as_of=None, place: str = "state",
                           out: str = "last_origin_state", stage: Stage | None = stage_table,
-                          ordered: bool = False, hot_rows: int | None = HOT_ROWS,
+                          ordered: bool = False, hot_rows: int | str | None = AUTO,
                           order: str = "start") -> DataFrame:
     """Movers' cleaned destination rows with the place of their latest origin job."""
     rows, hot = _mover_rows_salted(positions, origin, destination, education, before,
@@ -256,7 +287,7 @@ def mover_origin_year(positions: DataFrame, origin: str = "India",
                       before: str | None = None, as_of=None, place: str = "state",
                       out: str = "last_origin_state", stage: Stage | None = stage_table,
                       ordered: bool = False, mode: str = "as_coded",
-                      distinct_people: bool = False, hot_rows: int | None = HOT_ROWS,
+                      distinct_people: bool = False, hot_rows: int | str | None = AUTO,
                       exact_scale: int | None = 2, order: str = "start") -> DataFrame:
     """L5 / L6: ``onet_code, <out>, year, mean_salary, n_individuals``; spells
     whose end year is before their start year are left out."""
@@ -269,10 +300,19 @@ def mover_origin_year(positions: DataFrame, origin: str = "India",
 
 # ---- education and places ---------------------------------------------------
 
-def education_profile(education: DataFrame, **kw) -> DataFrame:
-    """L7: one row per person, 18 columns."""
+def education_profile(education: DataFrame, hot_rows: int | str | None = AUTO, **kw) -> DataFrame:
+    """L7: one row per person, 18 columns.
+
+    Rows are shuffled by person as they are, before they become 18 aggregates.
+    Hot people, if a sketch of the table finds any, are combined before the
+    shuffle instead; ``hot_rows=None``: everyone is."""
     tied = with_tie(education, EDU_TIE, education.columns) if kw.get("order") != "any" else education
-    return education_wide(tied, **kw)
+    if hot_rows is None:
+        return education_wide(tied, **kw)
+    n, top = tied.agg(*sketch(KEY)).first()
+    hot = (hot_by_sketch(tied, KEY, n, top) if hot_rows == AUTO else
+           hot_by_sketch(tied, KEY, n, top, share=n + 1, least=hot_rows))
+    return education_wide(tied, raw=True, hot=hot, **kw)
 
 
 def city_mapper(parts: list[DataFrame]) -> DataFrame:
