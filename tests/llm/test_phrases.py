@@ -90,7 +90,7 @@ def test_top_and_ties(spark, rows):
 
 def test_longer_phrases_wait_for_their_parts():
     """Words, then a tally of pairs, then their count and longer phrases, each for one cycle."""
-    tokens = phrases.tokens_of(b"a b c\na b")
+    tokens = phrases.tokens_of(b"a b c\xffa b")
     first = np.full((2, 1 << 18), phrases.NEVER, "u1")
 
     def sizes(step):

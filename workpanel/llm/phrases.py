@@ -54,9 +54,10 @@ SLICE = 6_000_000
 NEVER = 255
 U = np.uint64
 
-#: A-Z in lower case; ends of pieces become newlines, tabs blanks.
-PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0B\x0C\x0D\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
-BREAK = b"\n"
+#: The end of a piece, a byte that no text in UTF-8 has.
+BREAK = b"\xff"
+#: A-Z in lower case; what ends a piece becomes ``BREAK``, a tab a blank.
+PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0B\x0C\x0D\t", b"abcdefghijklmnopqrstuvwxyz" + BREAK * 10 + b" ")
 
 
 def odd_numbers(n: int) -> np.ndarray:
@@ -71,7 +72,7 @@ def lang_seed(lang: str) -> int:
 
 def tokens_of(plain: bytes) -> list[bytes]:
     """Words and piece ends of a text whose characters are mapped."""
-    return [w for w in plain.replace(BREAK, b" \n ").split(b" ") if w]
+    return plain.replace(BREAK, b" \xff ").split()  # blanks are all the white space that is left
 
 
 def slices(texts: Iterator[tuple[str, str | None]]) -> Iterator[tuple[str, list[bytes], int]]:
@@ -155,7 +156,8 @@ def looked_at(tokens: list[bytes], seen: int, seed: int, step: int, shards: int,
                 code = np.unique(code * len(number) + ids[at + k], return_inverse=True)[1]
             _, where, n = np.unique(code, return_index=True, return_counts=True)
             at = at[where]
-            yield size, [b" ".join(tokens[p:p + size]) for p in at.tolist()], mix(rolled[at]), n
+            words = [tokens[p] for p in at.tolist()] if size == 1 else [b" ".join(tokens[p:p + size]) for p in at.tolist()]
+            yield size, words, mix(rolled[at]), n
         if due is not None:
             due = due[due + size > seen]
             if len(due):
@@ -168,6 +170,7 @@ def looked_at(tokens: list[bytes], seen: int, seed: int, step: int, shards: int,
             return
 
 
+#: ``h`` is there for words and for what is tallied.
 FOUND = "lang string, size int, phrase string, h long, n long"
 
 
@@ -181,7 +184,7 @@ def counter(step: int, shards: int, sizes: int, shared):
                     yield pd.DataFrame({"lang": None, "size": size, "phrase": None, "h": h.view("i8"), "n": 1})
                 else:
                     yield pd.DataFrame({"lang": lang, "size": size, "phrase": [p.decode("utf-8", "replace") for p in phrases],
-                                        "h": h.view("i8"), "n": n})
+                                        "h": h.view("i8") if size == 1 else 0, "n": n})
 
     return run
 
