@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from workpanel.llm.common import Scratch, components, numbered
-from workpanel.llm.decontamination import STAGE_MASKS, contaminated, decontaminate, leaks
+from workpanel.llm.decontamination import MASKS, contaminated, decontaminate
 from workpanel.llm.ngram_join import across, ngram_components
 from workpanel.llm.packing import pack_documents, pack_lengths, text_words, word_ids
 from workpanel.llm.pii import pseudonymise
@@ -308,15 +308,25 @@ def test_decontamination_of_short_items(spark):
     rows += [(300, " ".join(items[40].split()[10:23])), (301, " ".join(items[40].split()[10:21])), (302, None), (303, prose(60))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     whole = {(k + n, n) for n in items for k in (0, 100)} | {(300, 40)}
-    assert {(r["doc_id"], r["item_id"]) for r in leaks(docs, bench).collect()} == whole
+    assert {(r["doc_id"], r["item_id"]) for r in contaminated(docs, bench).collect()} == whole
     assert {r["doc_id"] for r in decontaminate(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in whole}
 
 
+def test_short_items_of_few_tokens_can_be_left_out(spark):
+    bench = spark.createDataFrame([(1, "The"), (2, "no no no no"), (3, "one two three")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "the cat sat"), (2, "no no no no no"), (3, "one two three four"), (4, "the one two")],
+                                 "doc_id long, text string").withColumn("_row", F.lit(1))
+    pairs = lambda **kw: {(r["doc_id"], r["item_id"]) for r in contaminated(docs, bench, **kw).collect()}
+    assert pairs() == {(1, 1), (4, 1), (2, 2), (3, 3)} and pairs(least_tokens=3) == {(3, 3)}
+    kept = decontaminate(docs, bench, least_tokens=3)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 4}
+
+
 def test_stage_masks_fit_every_placement_of_tolerated_changes():
     for n in range(12, 25):
         for changed in combinations(range(n), n - -(-80 * n // 100)):
             same = "".join("0" if k in changed else "1" for k in range(n))
-            assert any(re.search(f"(?={m.replace('0', '.')})", same) for m in STAGE_MASKS), same
+            assert any(re.search(f"(?={m.replace('0', '.')})", same) for m in MASKS), same
 
 
 def test_decontamination_with_spread_changes(spark):
@@ -330,7 +340,7 @@ def test_decontamination_with_spread_changes(spark):
             rows.append((len(rows), " ".join(own)))
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {(r["doc_id"], r["item_id"]) for r in leaks(docs, bench).collect()} == {(k, k) for k in items}
+    assert {(r["doc_id"], r["item_id"]) for r in contaminated(docs, bench).collect()} == {(k, k) for k in items}
 
 
 def brute_counts(t):
@@ -476,3 +486,15 @@ def test_class_prior():
     rng = np.random.default_rng(1)
     good, bad = rng.normal(3, 1, 4000), rng.normal(-3, 1, 4000)
     assert abs(class_prior(good[:2000], np.concatenate([good[2000:3400], bad[:600]])) - 0.7) < 0.05
+
+
+def test_quality_sample_is_bounded_by_rows(spark):
+    """Two thirds of the rows under one id: the sample does not grow with them."""
+    from workpanel.llm.quality_classifier import sampled
+
+    rows = spark.range(30_000).select(F.when(F.col("id") < 20_000, 1).otherwise(F.col("id")).alias("_id"),
+                                      F.concat(F.lit("text "), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))).alias("_text"))
+    got = [r["_text"] for r in sampled(rows, 2000).collect()]
+    assert 800 < len(got) <= 2000 and len(set(got)) == len(got)
+    assert set(got) == {r["_text"] for r in sampled(rows.repartition(7), 2000).collect()}
+    assert sampled(rows.limit(0), 10).count() == 0

@@ -1,29 +1,27 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed is a mask over ``SPAN`` consecutive tokens; tokens at its zeros are
-ignored, so a changed word there does not hide the match.  Seeds of all
-positions of all training texts are joined with those of the benchmark, and
-each hit is verified: the tokens around it, position by position, must agree
-to ``min_share`` or more.
+A seed is a mask over consecutive tokens; tokens at its zeros are ignored, so a
+changed word there does not hide the match.  Seeds of all positions of all
+training texts are joined with those of the benchmark, and around each hit the
+stretch that the two texts have in common is verified.
+
+A document *leaks* an item of ``SPAN`` tokens or more if, at some alignment of the two, a
+span of ``SPAN`` tokens with up to ``FLANK`` more on either side agrees, position by position,
+to ``min_share`` or more, over at least min(``LEAST``, tokens of the item) tokens (a shorter
+document, of ``SPAN`` tokens at least, has to be compared as a whole).  The masks miss none of these
+stretches: one of them fits into what agrees, wherever the tolerated changes are (at a
+``min_share`` of 0.8 or more; a test tries all placements).  Shorter items have to stand in the
+document as a whole, unchanged and in order.
 
 The benchmark's distinct texts are dealt into blocks of a bounded number of
 seeds; each block is broadcast and the training texts stream past it, so a
 large benchmark means more blocks, not a larger broadcast.
 
-``contaminated`` is what the SQL of op2 defines: seeds of ``MASKS``, ``LEAST``
-compared tokens.  ``leaks``, which ``decontaminate`` and the pipeline use, does
-more: it asks for no more tokens than the item has, finds items under ``SPAN``
-tokens as a whole, and checks every placement of the span around a seed; its
-seeds (``STAGE_MASKS``) miss no stretch that holds, at a ``min_share`` of 0.8 or more.
-
-Defined cases: null and empty texts have no seed on either side; for
-``contaminated`` neither have texts of fewer tokens than ``SPAN``, and pairs
-with fewer than ``LEAST`` common tokens are no hits; for ``leaks`` a text of
-``SPAN`` to ``LEAST`` tokens has to be compared as a whole, and an item under
-``SPAN`` tokens is found where all its tokens stand unchanged and in order, even
-if it is a single word; benchmark items with equal tokens count as one, named
-by the smallest id; repeated training rows give one pair; extra columns are
-ignored; an empty table on either side gives no pair.
+Defined cases: null and empty texts leak nothing, on either side, and texts of fewer than
+``SPAN`` tokens only items that are shorter still; short items of fewer than
+``least_tokens`` different tokens are not looked for; benchmark items with equal tokens count
+as one, named by the smallest id; repeated training rows give one pair; extra columns
+are ignored; an empty table on either side gives no pair.
 """
 
 from __future__ import annotations
@@ -33,19 +31,17 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from workpanel.llm.common import broadcast_if_small, staged
+from workpanel.llm.common import broadcast_if_small, staged, unused
 
-# The masks, one character for each token of the span.
-MASKS = ("111011010111", "110101111011")
 SPAN = 12
 #: Tokens compared on either side of the span; the fewest compared in all.
 FLANK, LEAST = 6, 16
 #: Seeds that one broadcast holds, at about 300 bytes each.
 BLOCK_SEEDS = 150_000
-#: The masks of ``leaks``: whatever stretch of SPAN to SPAN + 2 * FLANK tokens agrees to
+#: The masks, one character for each token: whatever stretch of SPAN to SPAN + 2 * FLANK tokens agrees to
 #: 80 %, one of them fits into what agrees (four in a row, or twice three around a change).
-STAGE_MASKS = ("1111", "1110111")
-#: The tokens that ``leaks`` looks at before a seed's position, and from there on.
+MASKS = ("1111", "1110111")
+#: The tokens that are looked at before a seed's position, and from there on.
 BACK, AHEAD = SPAN + 2 * FLANK - 1, SPAN + 2 * FLANK
 
 
@@ -55,57 +51,9 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(parts, lambda t: t != ""), lambda t: F.xxhash64(t))
 
 
-def seeds(df: DataFrame, at: str) -> DataFrame:
-    """One row for each position and mask of array ``toks``: position ``at``
-    and ``seed``, the hash of the mask's number and its tokens."""
-    df = (df.filter(F.size("toks") >= SPAN)
-          .withColumn(at, F.explode(F.sequence(F.lit(0), F.size("toks") - SPAN))))
-    hashes = [F.xxhash64(F.lit(k), *[F.get("toks", F.col(at) + o) for o, x in enumerate(mask) if x == "1"])
-              for k, mask in enumerate(MASKS)]
-    return df.withColumn("seed", F.explode(F.array(*hashes)))
-
-
-def context(at: str) -> Column:
-    """The tokens from ``FLANK`` before the span, or the text's start, to ``FLANK`` behind it."""
-    before = F.least(F.col(at), F.lit(FLANK))
-    return F.slice("toks", F.col(at) - before + 1, before + SPAN + FLANK)
-
-
-def agreement() -> Column:
-    """Around a hit, of the tokens that both texts have: how many are equal, and how many they are."""
-    shift = F.least(F.col("q"), F.lit(FLANK)) - F.least(F.col("p"), F.lit(FLANK))
-    same = F.transform("own", lambda x, i: x == F.get("other", i + shift))
-    return F.struct(F.size(F.filter(same, lambda x: x)).alias("equal"),
-                    F.size(F.filter(same, lambda x: x.isNotNull())).alias("compared"))
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 item_col: str = "item_id", item_text: str = "text", min_share: float = 0.8) -> DataFrame:
-    """``doc_id, item_id, n_hits, most_equal, first_at`` for every training text
-    and benchmark text that share a verified stretch: hits (seed matches that
-    hold), the most equal tokens around one, and the first one's position."""
-    items = (benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("toks"))
-             .groupBy("toks").agg(F.min("item_id").alias("item_id")))
-    index = seeds(items, "q").select("seed", "item_id", "q", context("q").alias("other"))
-    blocks = max(1, math.ceil(index.count() / BLOCK_SEEDS))
-    own = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("toks"))
-    found = None
-    for k in range(blocks):
-        part = index if blocks == 1 else index.filter(F.pmod(F.xxhash64("item_id", "q"), F.lit(blocks)) == k)
-        hits = (seeds(own, "p").join(F.broadcast(part), "seed")
-                .select("doc_id", "item_id", "p", "q", "other", context("p").alias("own")))
-        # the explode keeps the check out of the join's condition, which stays a plain look-up
-        hits = (hits.select("doc_id", "item_id", "p", F.explode(F.array(agreement())).alias("a"))
-                .filter((F.col("a.compared") >= LEAST)
-                        & (100 * F.col("a.equal") >= round(100 * min_share) * F.col("a.compared"))))
-        found = hits if found is None else found.unionAll(hits)
-    return found.groupBy("doc_id", "item_id").agg(
-        F.count(F.lit(1)).alias("n_hits"), F.max("a.equal").cast("long").alias("most_equal"),
-        F.min("p").cast("long").alias("first_at"))
-
-
 def mask_seeds(df: DataFrame, at: str, masks: list[str]) -> DataFrame:
-    """As ``seeds``, for masks of any length: one row for each position and mask that fits."""
+    """One row for each position and mask that fits of array ``toks``: position ``at``
+    and ``seed``, the hash of the mask and the tokens at its ones."""
     df = (df.filter(F.size("toks") >= min(map(len, masks)))
           .withColumn(at, F.explode(F.sequence(F.lit(0), F.size("toks") - min(map(len, masks))))))
     hashes = [F.when(F.col(at) + len(mask) <= F.size("toks"),
@@ -136,15 +84,16 @@ def holds(min_share: float) -> tuple[Column, Column]:
                    F.exists(F.sequence("a.first", "a.last"), placed)).otherwise(False))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          item_col: str = "item_id", item_text: str = "text", min_share: float = 0.8) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 item_col: str = "item_id", item_text: str = "text", min_share: float = 0.8,
+                 least_tokens: int = 1) -> DataFrame:
     """``doc_id, item_id`` for every training text and benchmark text that share a
     verified stretch, or of which the first holds the whole of the short second."""
     items = staged(benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("toks"))
                    .groupBy("toks").agg(F.min("item_id").alias("item_id")), "benchmark-items")
     own = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("toks")).withColumn("n", F.size("toks"))
     around = F.slice("toks", F.col("q") - F.least("q", F.lit(BACK)) + 1, F.least("q", F.lit(BACK)) + AHEAD)
-    index = (mask_seeds(items.filter(F.size("toks") >= SPAN), "q", STAGE_MASKS)
+    index = (mask_seeds(items.filter(F.size("toks") >= SPAN), "q", MASKS)
              .select("seed", "item_id", "q", F.size("toks").alias("m"), around.alias("other")))
     state, held = holds(min_share)
 
@@ -154,11 +103,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     found = []
     for part in blocked(index, "item_id", "q"):
-        hits = mask_seeds(own.filter(F.col("n") >= SPAN), "p", STAGE_MASKS).join(F.broadcast(part), "seed")
+        hits = mask_seeds(own.filter(F.col("n") >= SPAN), "p", MASKS).join(F.broadcast(part), "seed")
         # the explode keeps the check out of the join's condition, which stays a plain look-up
         hits = hits.withColumn("a", F.explode(F.array(state)))
         found.append(hits.filter(held).select("doc_id", "item_id"))
-    short = items.filter(F.size("toks").between(1, SPAN - 1))
+    short = items.filter(F.size("toks").between(1, SPAN - 1) & (F.size(F.array_distinct("toks")) >= least_tokens))
     lengths = sorted(r[0] for r in short.select(F.size("toks")).distinct().collect())
     if lengths:
         whole = ["1" * k for k in lengths]
@@ -174,10 +123,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """``docs`` without the rows whose text shares a verified stretch with the benchmark
-    or holds a short item whole (``leaks``).
+    """``docs`` without the rows whose text leaks a benchmark item (``contaminated``).
     Rows are told apart by content where ids repeat or are null: by id and a hash of the text."""
+    row = unused(docs, "_row")
     key = F.xxhash64(F.col(id_col), F.col(kw.get("text_col", "text")))
-    found = leaks(docs.withColumn("_row", key), benchmark, id_col="_row", **kw).select(F.col("doc_id").alias("_row"))
+    found = contaminated(docs.withColumn(row, key), benchmark, id_col=row, **kw).select(F.col("doc_id").alias(row))
     found = broadcast_if_small(staged(found.distinct(), "leaks"))
-    return docs.withColumn("_row", key).join(found, "_row", "left_anti").drop("_row")
+    return docs.withColumn(row, key).join(found, row, "left_anti").drop(row)

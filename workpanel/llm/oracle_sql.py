@@ -2,31 +2,28 @@
 
 from __future__ import annotations
 
-MASKS = ("111011010111", "110101111011")
-
-
-def _key(mask: str, at: str) -> str:
-    return " || ' ' || ".join(f"t[{at} + {o + 1}]" for o, x in enumerate(mask) if x == "1")
-
-
 _TOKENS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
-_SPAN = "unnest(range(0, len(t) - 11))"
+_THREE = "unnest([t[i + 1] || ' ' || t[i + 2] || ' ' || t[i + 3] FOR i IN range(0, len(t) - 2)])"
 
+# By definition, with no masks: whatever stretch agrees to 80 % has three equal tokens in a row, and so
+# each alignment at which the texts have that is tried in full.
 DECONTAMINATION = f"""
 WITH b AS (SELECT t, min(item_id) AS item_id FROM (SELECT item_id, {_TOKENS} AS t FROM benchmark) GROUP BY t),
-d AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
-bp AS (SELECT item_id, t, {_SPAN} AS q FROM b WHERE len(t) >= 12),
-dp AS (SELECT doc_id, t, {_SPAN} AS p FROM d WHERE len(t) >= 12),
-bs AS ({' UNION ALL '.join(f"SELECT item_id, t, q, {k} AS m, {_key(x, 'q')} AS s FROM bp" for k, x in enumerate(MASKS))}),
-ds AS ({' UNION ALL '.join(f"SELECT doc_id, t, p, {k} AS m, {_key(x, 'p')} AS s FROM dp" for k, x in enumerate(MASKS))}),
-hits AS (
-  SELECT doc_id, item_id, p,
-    [CASE WHEN p + o >= 0 AND p + o < len(ds.t) AND q + o >= 0 AND q + o < len(bs.t)
-          THEN (ds.t[p + o + 1] = bs.t[q + o + 1])::INT END FOR o IN range(-6, 18)] AS same
-  FROM ds JOIN bs USING (m, s))
-SELECT doc_id, item_id, count(*) AS n_hits, max(list_sum(same))::BIGINT AS most_equal, min(p)::BIGINT AS first_at
-FROM hits WHERE list_count(same) >= 16 AND 100 * list_sum(same) >= 80 * list_count(same)
-GROUP BY doc_id, item_id
+d AS (SELECT row_number() OVER () AS r, doc_id, {_TOKENS} AS t FROM documents),
+bp AS (SELECT item_id, unnest(range(0, len(t) - 2)) AS q, {_THREE} AS s FROM b WHERE len(t) >= 12),
+dp AS (SELECT r, unnest(range(0, len(t) - 2)) AS p, {_THREE} AS s FROM d WHERE len(t) >= 12),
+alignments AS (SELECT DISTINCT r, item_id, p - q AS shift FROM dp JOIN bp USING (s)),
+stretches AS (
+  SELECT doc_id, item_id, shift, d.t AS x, b.t AS y, greatest(0, shift) AS lo, least(len(d.t), len(b.t) + shift) AS hi,
+    least(16, len(b.t), greatest(12, len(d.t))) AS needed
+  FROM alignments JOIN d USING (r) JOIN b USING (item_id)),
+windows AS (SELECT *, greatest(z - 6, lo) AS a, least(z + 18, hi) AS e
+            FROM (SELECT *, unnest(range(lo, hi - 11)) AS z FROM stretches)),
+compared AS (SELECT doc_id, item_id, needed, e - a AS n, len([1 FOR i IN range(a, e) IF x[i + 1] = y[i - shift + 1]]) AS same FROM windows)
+SELECT DISTINCT doc_id, item_id FROM compared WHERE n >= needed AND 100 * same >= 80 * n
+UNION
+SELECT doc_id, item_id FROM d JOIN b ON len(b.t) BETWEEN 1 AND 11
+  AND contains(' ' || array_to_string(d.t, ' ') || ' ', ' ' || array_to_string(b.t, ' ') || ' ')
 """
 
 _WORDS = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"

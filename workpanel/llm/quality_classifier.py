@@ -136,11 +136,11 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 400) -> tupl
 
 
 def sampled(rows: DataFrame, most: int) -> DataFrame:
-    """At most about ``most`` rows, those with the smallest hashes: the same at every run."""
-    total = rows.count()
-    if total <= most:
-        return rows
-    return rows.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * most / total)).limit(most)
+    """At most ``most`` different texts of ``rows`` (``_text``), those with the smallest hashes: the same
+    at every run, and however many rows an id or a text has."""
+    share = 0.9 * most / max(1, rows.count())  # what is chosen varies a little around its mean
+    part = F.pmod(F.xxhash64("_text", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, share))
+    return rows.select("_text").filter(part).distinct().limit(most)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -148,12 +148,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column, id_col: st
     """``docs`` with ``out``, 0 to 1.  ``learn``: the rows that may be learned
     from; of ``labels`` only positive ones are used."""
     spark = docs.sparkSession
-    ids = docs.filter(learn).select(F.col(id_col).alias("_id")).filter("_id is not null")
+    own = docs.filter(learn).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_id is not null")
     trusted = labels.filter(F.col(label_col) == 1).select(F.col(id_col).alias("_id")).distinct()
-    # bounded lists of ids, then their texts
-    chosen = (sampled(ids.join(trusted, "_id", "left_semi").distinct(), POSITIVES).withColumn("_positive", F.lit(True))
-              .unionAll(sampled(ids.distinct(), UNLABELLED).withColumn("_positive", F.lit(False))))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    texts = (sampled(own.join(trusted, "_id", "left_semi"), POSITIVES).withColumn("_positive", F.lit(True))
+             .unionAll(sampled(own, UNLABELLED).withColumn("_positive", F.lit(False))))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
