@@ -57,8 +57,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a verified stretch of a benchmark text."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+    """Documents without a verified stretch of a benchmark text.  Items of one or two
+    different words say too little to cost a document its place."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), least_tokens=3).select(docs.columns)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
