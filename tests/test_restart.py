@@ -1,0 +1,148 @@
+"""Writes that can be repeated after a kill, look-ups of many headers in one scan, one pass for L9, staged views."""
+
+import csv
+import os
+import re
+import signal
+import subprocess
+import sys
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import ROOT, SF0001, rows
+from workpanel.operators.places import merge_city_mapper
+from workpanel.plans import pipelines as L
+from workpanel.plans.views import register_views
+from workpanel.session import local_path, scratch_path
+from workpanel.sources import fixtures as fx
+from workpanel.sources.readers import SOURCE_FILE, read_city_mapper, read_positions, with_source_file
+from workpanel.sources.writers import is_written, read_back, write_if_absent, write_table
+
+KILLED = """
+import sys; sys.path.insert(0, {root!r})
+from workpanel.session import build_session
+from workpanel.sources.writers import write_table
+spark = build_session("local[2]", 2)
+df = spark.range(0, 400, 1, 8).selectExpr("id", "case when id >= 100 then java_method('java.lang.Thread', 'sleep', 100L) end as slow")
+print("writing", flush=True)
+write_table(df.drop("slow") if {quick} else df, {path!r}, mode="ignore")
+print("written", flush=True)
+"""
+
+
+def test_a_killed_write_is_redone(spark, tmp_path):
+    """The process dies in the middle of its tasks: no target; the next run writes all of it."""
+    path = str(tmp_path / "table")
+    run = subprocess.Popen([sys.executable, "-c", KILLED.format(root=ROOT, path=path, quick=False)], stdout=subprocess.PIPE,
+                           stderr=subprocess.DEVNULL, text=True, start_new_session=True)
+    assert run.stdout.readline() == "writing\n"
+    for _ in range(600):
+        if any(f.startswith("part-") for _, _, names in os.walk(tmp_path) for f in names):
+            break
+        time.sleep(0.1)
+    os.killpg(run.pid, signal.SIGKILL)  # only what this test started
+    run.wait()
+    assert os.listdir(tmp_path) == ["_writing_table"] and not is_written(spark, path)
+    df = spark.range(400)
+    write_table(df, path, mode="ignore")
+    assert spark.read.parquet(path).count() == 400 and os.listdir(tmp_path) == ["table"]
+    write_table(df.limit(1), path, mode="ignore")  # there: left as it is
+    assert spark.read.parquet(path).count() == 400
+
+
+def test_what_counts_as_written(spark, tmp_path):
+    half = tmp_path / "half"  # what a plain Spark write leaves when it dies
+    (half / "_temporary" / "0").mkdir(parents=True)
+    (half / "part-00000.parquet").write_bytes(b"cut")
+    other = tmp_path / "other"  # from some other tool, without a marker
+    other.mkdir()
+    (other / "data.csv").write_text("a\n1\n")
+    assert not is_written(spark, str(half)) and is_written(spark, str(other)) and not is_written(spark, str(tmp_path / "none"))
+    write_table(spark.range(5), str(half), mode="ignore")
+    assert spark.read.parquet(str(half)).count() == 5
+    assert not write_if_absent(spark, str(other), lambda folder: 1 / 0)
+
+    def fails(folder):
+        write_table(spark.range(3), folder)
+        raise KeyError("died before the rename")
+
+    with pytest.raises(KeyError):
+        write_if_absent(spark, str(tmp_path / "late"), fails)
+    assert not is_written(spark, str(tmp_path / "late"))
+    assert write_if_absent(spark, str(tmp_path / "late"), lambda folder: write_table(spark.range(4), folder, fmt="csv"))
+    assert read_back(spark, str(tmp_path / "late"), "csv", spark.range(1).schema).count() == 4
+
+
+def test_a_thousand_look_ups_in_one_scan(spark, tmp_path):
+    headers = [["location", "metro_area", "city"], ["city", "location", "metro_area", "note"], ["metro_area", "location", "city", "pop, 2020"]]
+    want, paths = [], []
+    for k in range(1000):
+        own, path = headers[k % 3], tmp_path / f"part{k}.csv"
+        row = {"location": f"L{k}", "metro_area": f"M, {k}", "city": f"C,{k}" if k % 2 else "", "note": f"n{k}", "pop, 2020": "7"}
+        with open(path, "w", newline="") as f:
+            w = csv.writer(f, lineterminator="\r\n" if k % 5 == 0 else "\n")
+            w.writerow(own)
+            w.writerow([row[c] for c in own])
+        paths.append(str(path))
+        want.append((row["location"], row["metro_area"], row["city"] or None,
+                     row["note"] if k % 3 == 1 else None, row["pop, 2020"] if k % 3 == 2 else None))
+    df = read_city_mapper(spark, paths)
+    assert sorted(df.columns) == ["city", "location", "metro_area", "note", "pop, 2020"]
+    assert len(re.findall("FileScan", df._jdf.queryExecution().executedPlan().toString())) == 1
+    got = [tuple(r[c] for c in ("location", "metro_area", "city", "note", "pop, 2020")) for r in df.collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_look_ups_like_one_scan_a_file(spark, tmp_path):
+    parts = [write_table(p, scratch_path(spark, f"lookup{i}"), fmt="csv") for i, p in enumerate(fx.city_mapper_parts(spark, SF0001))]
+    each = merge_city_mapper([read_city_mapper(spark, p) for p in parts])
+    assert rows(merge_city_mapper([read_city_mapper(spark, parts)]), *each.columns) == rows(each)
+    (tmp_path / "empty.csv").write_text("location,metro_area,city\n")
+    assert read_city_mapper(spark, [str(tmp_path / "empty.csv")]).count() == 0
+    (tmp_path / "bad.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(ValueError):
+        read_city_mapper(spark, [str(tmp_path / "bad.csv")])
+
+
+def test_located_and_unlocated_from_one_pass(spark):
+    src = write_table(fx.positions(spark, SF0001).repartition(6), scratch_path(spark, "one_pass"))
+    P, mapper = with_source_file(read_positions(spark, src)), merge_city_mapper(fx.city_mapper_parts(spark, SF0001))
+    want = L.positions_with_city(P, mapper)
+    scans = []
+
+    def stage(df):
+        scans.append(df._jdf.queryExecution().analyzed().toString().count("salary#") > 0)
+        return L.stage_located(df)
+
+    located, unlocated = L.positions_with_city(P, mapper, stage=stage)
+    assert rows(located, *want[0].columns) == rows(want[0]) and rows(unlocated) == rows(want[1]) and located.columns == want[0].columns
+    assert scans == [True]
+    for half in (located, unlocated):  # each reads its own folder of the one table
+        text = half._jdf.queryExecution().executedPlan().toString()
+        assert text.count("FileScan") == 1 and "PartitionFilters" in text and "one_pass" not in text
+    out = write_table(located.repartition(16).hint("rebalance", SOURCE_FILE), scratch_path(spark, "by_file"), partition_by=[SOURCE_FILE])
+    folders = [d for d in os.listdir(local_path(out)) if d.startswith(SOURCE_FILE)]
+    files = [f for d in folders for f in os.listdir(os.path.join(local_path(out), d)) if f.startswith("part-")]
+    assert len(folders) == 6 and len(files) <= 2 * len(folders)
+
+
+def test_views_share_what_they_write(spark):
+    """The SQL query over the views reads no more than staged tables."""
+    src = write_table(fx.positions(spark, SF0001), scratch_path(spark, "view_positions"))
+    P, written = read_positions(spark, src), []
+
+    def stage(df):
+        written.append(df._jdf.queryExecution().analyzed().toString().count("location_raw#") > 0)
+        return L.stage_table(df)
+
+    register_views(spark, P, as_of="2002-01-01", prefix="s_", stage=stage)
+    assert written == [True, True]
+    for view in ("s_positions_with_origin", "s_mover_spells", "s_last_origin_place"):
+        assert "view_positions" not in spark.table(view)._jdf.queryExecution().executedPlan().toString()
+    register_views(spark, P, as_of="2002-01-01", prefix="u_", stage=None)
+    for view in ("positions_with_origin", "mover_spells", "last_origin_place"):
+        assert rows(spark.table(f"s_{view}")) == rows(spark.table(f"u_{view}"))
+    n = F.count(F.lit(1))
+    assert spark.table("s_panel_year").agg(n).first() == spark.table("u_panel_year").agg(n).first()

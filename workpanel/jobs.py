@@ -174,7 +174,7 @@ def run(spark: SparkSession, a) -> None:
         _write(L.education_profile(read_education(spark, a.education), order=a.order,
                                    clean_first=a.clean_first), a)
     elif a.job == "city-mapper":
-        mapper = L.city_mapper([read_city_mapper(spark, p) for p in a.city_csv])
+        mapper = L.city_mapper([read_city_mapper(spark, a.city_csv)])
         if a.conflicts_out:
             mapper = materialize(spark, mapper, "city_mapper")
             _write(mapper_conflicts(mapper), a, a.conflicts_out)
@@ -184,15 +184,17 @@ def run(spark: SparkSession, a) -> None:
             mapper = spark.read.parquet(a.mapper)
         elif a.city_csv:
             # two outputs read the look-up: merge the CSV parts once
-            mapper = materialize(spark, L.city_mapper([read_city_mapper(spark, p)
-                                                       for p in a.city_csv]), "city_mapper")
+            mapper = materialize(spark, L.city_mapper([read_city_mapper(spark, a.city_csv)]), "city_mapper")
         else:
             raise SystemExit("give --mapper or --city-csv")
         pos = read_positions(spark, a.positions)
         if a.by_source_file:
             pos = with_source_file(pos)
             a.partition_by = (a.partition_by or []) + [SOURCE_FILE]
-        located, unlocated = L.positions_with_city(pos, mapper, null_safe=not a.plain_keys)
+        # both outputs from one pass over the positions
+        located, unlocated = L.positions_with_city(pos, mapper, not a.plain_keys, L.stage_located)
+        if a.by_source_file:  # a file or a few for each input file, not one from every task
+            located = located.hint("rebalance", SOURCE_FILE)
         _write(located, a)
         # one user id per line, repeats kept (one per unlocated row)
         write_table(unlocated, a.unlocated_out, fmt="text", mode=a.mode)

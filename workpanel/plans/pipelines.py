@@ -22,7 +22,7 @@ from workpanel.operators.skew import (AUTO, HOT_ROWS, SALT, hot_by_sketch, hot_k
                                       spread_join)
 from workpanel.operators.education import education_wide
 from workpanel.operators.expand import expand_months, expand_years
-from workpanel.operators.places import attach_city, merge_city_mapper, split_located
+from workpanel.operators.places import attach_city, located_predicate, merge_city_mapper, split_located
 from workpanel.operators.spells import END, START, clean_spells, close_open, parse_dates
 from workpanel.sources.writers import materialize
 
@@ -231,11 +231,11 @@ def mover_rows(positions: DataFrame, origin: str, destination: str,
                hot_rows: int | str | None = AUTO) -> DataFrame:
     """Movers' rows; with ``before``, only people whose latest home degree
     ended before it."""
-    return _unsalt(_mover_rows_salted(positions, origin, destination, education, before,
+    return _unsalt(salted_mover_rows(positions, origin, destination, education, before,
                                       stage, ordered, hot_rows)[0])
 
 
-def _mover_rows_salted(positions: DataFrame, origin: str, destination: str,
+def salted_mover_rows(positions: DataFrame, origin: str, destination: str,
                        education: DataFrame | None, before: str | None, stage: Stage | None,
                        ordered: bool, hot_rows: int | None
                        ) -> tuple[DataFrame, DataFrame | None]:
@@ -271,8 +271,14 @@ def positions_with_origin(positions: DataFrame, origin: str = "India",
                           ordered: bool = False, hot_rows: int | str | None = AUTO,
                           order: str = "start") -> DataFrame:
     """Movers' cleaned destination rows with the place of their latest origin job."""
-    rows, hot = _mover_rows_salted(positions, origin, destination, education, before,
+    rows, hot = salted_mover_rows(positions, origin, destination, education, before,
                                    stage, ordered, hot_rows)
+    return spells_with_origin(rows, hot, origin, destination, as_of, place, out, order)
+
+
+def spells_with_origin(rows: DataFrame, hot: DataFrame | None, origin: str, destination: str, as_of=None,
+                       place: str = "state", out: str = "last_origin_state", order: str = "start") -> DataFrame:
+    """``positions_with_origin`` from movers' rows (with their buckets where ``hot`` is given)."""
     home = last_origin_place(_unsalt(rows), origin, place, out, as_of)
     # Attach the per-person place before the fill: after the movers' join the
     # rows are still partitioned by (person, bucket), so this join needs no
@@ -320,8 +326,22 @@ def city_mapper(parts: list[DataFrame]) -> DataFrame:
     return merge_city_mapper(parts)
 
 
-def positions_with_city(positions: DataFrame, mapper: DataFrame,
-                        null_safe: bool = True) -> tuple[DataFrame, DataFrame]:
-    """L9: (located rows, ``user_id`` of unlocated rows)."""
-    located, unlocated = split_located(attach_city(positions, mapper, null_safe=null_safe))
-    return located, unlocated.select(KEY)
+def positions_with_city(positions: DataFrame, mapper: DataFrame, null_safe: bool = True,
+                        stage: Stage | None = None) -> tuple[DataFrame, DataFrame]:
+    """L9: (located rows, ``user_id`` of unlocated rows).  With ``stage``, which has to keep the
+    column ``LOCATED``, both come from one written table, and positions are read once."""
+    rows = attach_city(positions, mapper, null_safe=null_safe)
+    if stage is None:
+        located, unlocated = split_located(rows)
+        return located, unlocated.select(KEY)
+    flagged = stage(rows.withColumn(LOCATED, located_predicate()))
+    return flagged.filter(F.col(LOCATED)).drop(LOCATED), flagged.filter(~F.col(LOCATED)).select(KEY)
+
+
+#: The flag of a staged located / unlocated table, which has a folder for each.
+LOCATED = "_located"
+
+
+def stage_located(df: DataFrame) -> DataFrame:
+    """Both halves of L9 in one write, a folder each."""
+    return materialize(df.sparkSession, df, "located", partition_by=[LOCATED])

@@ -108,8 +108,8 @@ def q_sink_located_by_file(spark, d):
     """Located rows, one output folder per input file."""
     src = write_table(_pos(spark, d), scratch_path(spark, "positions"))
     rows = with_source_file(read_positions(spark, src))
-    located, _ = L.positions_with_city(rows, _mapper(spark, d))
-    path = write_table(located, scratch_path(spark, "located"), partition_by=[SOURCE_FILE])
+    located, _ = L.positions_with_city(rows, _mapper(spark, d), stage=L.stage_located)
+    path = write_table(located.hint("rebalance", SOURCE_FILE), scratch_path(spark, "located"), partition_by=[SOURCE_FILE])
     return spark.read.parquet(path).drop(SOURCE_FILE)
 
 

@@ -6,8 +6,9 @@ Lets a user keep writing the aggregation step as SQL, e.g.::
     spark.sql("SELECT onet_code, state, year, AVG(salary) AS mean_salary, "
               "COUNT(salary) AS n_individuals FROM panel_year GROUP BY 1, 2, 3")
 
-The views are lazy plans over the given DataFrames (nothing is computed at
-registration) and are session-scoped.
+The views are session-scoped plans over the given DataFrames.  What several views or
+several branches of one share is written when they are registered (``stage``): the
+movers and their rows, so that any number of queries read positions for them twice in all.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from workpanel.plans import pipelines as L
 def register_views(spark: SparkSession, positions: DataFrame,
                    education: DataFrame | None = None, country: str = "India",
                    origin: str = "India", destination: str = "United States",
-                   as_of=None, prefix: str = "") -> list[str]:
+                   as_of=None, prefix: str = "", stage: L.Stage | None = L.stage_table) -> list[str]:
     """Register and return the view names:
 
     * ``resident_spells`` / ``panel_year`` / ``panel_month``: rows in
@@ -33,10 +34,13 @@ def register_views(spark: SparkSession, positions: DataFrame,
       joined by (person, bucket) so that a person with very many rows is spread;
     * ``last_origin_place``: ``user_id, last_origin_state``;
     * with ``education``: ``latest_education`` and ``education_wide``.
+
+    ``stage=None`` writes nothing; each view then reads positions for itself.
     """
     spells_y = L.resident_spells(positions, country, "years:3", as_of)
     spells_m = L.resident_spells(positions, country, "days:1095", as_of)
-    rows = L.mover_rows(positions, origin, destination)
+    salted, hot = L.salted_mover_rows(positions, origin, destination, None, None, stage, False, L.AUTO)
+    rows = salted if hot is None else salted.drop(L.SALT)
     views = {
         "resident_spells": spells_y,
         "panel_year": expand_years(spells_y),
@@ -44,8 +48,7 @@ def register_views(spark: SparkSession, positions: DataFrame,
                                                           occupation_major("onet_code")),
         "mover_spells": L.clean_spells(rows, fallback="days:1095", as_of=as_of,
                                        key=L.KEY, tie=L.TIE),
-        "positions_with_origin": L.positions_with_origin(positions, origin, destination,
-                                                         as_of=as_of, stage=None),
+        "positions_with_origin": L.spells_with_origin(salted, hot, origin, destination, as_of),
         "last_origin_place": L.last_origin_place(rows, origin, as_of=as_of),
     }
     if education is not None:

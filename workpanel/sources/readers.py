@@ -7,6 +7,8 @@ is Spark's.  Known columns are checked, extra columns are carried through.
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,19 +101,47 @@ def read_education(spark: SparkSession, path: str | list[str],
     return require_types(df, EDUCATION_SCHEMA, "education")
 
 
+#: Different headers that a list of look-up files may have.
+MAX_LAYOUTS = 200
+
+
 def read_city_mapper(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """City look-up CSV files with a header; every column read as text.
 
     A directory is one scan (files must share a header; a file whose header
     differs is an error rather than silently shifted columns).  A list of
-    files is read one scan per file and stacked by column name, so files
-    with different headers line up; missing columns are null.
+    files or folders is one scan too, however many there are: each file is read as
+    a whole, its first line says how its other lines are parsed, and columns
+    line up by name; missing ones are null.  So look-up files of a list are at most 2 GB
+    each and have at most ``MAX_LAYOUTS`` different headers, and, as in any line-wise CSV,
+    no line breaks inside quotes.
     """
-    def one(p: str) -> DataFrame:
-        return (spark.read.option("header", True).option("inferSchema", False)
-                .option("enforceSchema", False).option("pathGlobFilter", "*.csv").csv(p))
     if isinstance(path, str):
-        df = one(path)
+        df = (spark.read.option("header", True).option("inferSchema", False)
+              .option("enforceSchema", False).option("pathGlobFilter", "*.csv").csv(path))
     else:
-        df = union_parts([one(p) for p in path])
+        df = _by_header(spark, list(path))
     return require_columns(df, CITY_KEYS, "city look-up")
+
+
+def _by_header(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The lines of CSV files with headers of their own, parsed by them in one scan."""
+    files = spark.read.option("pathGlobFilter", "*.csv").text(paths, wholetext=True)
+    lines = F.split(F.regexp_replace("value", "^\\ufeff", ""), "\r\n|\n|\r")
+    files = files.select(lines.alias("lines")).select(F.element_at("lines", 1).alias("header"), "lines")
+    found = sorted(r[0] for r in files.select("header").distinct().limit(MAX_LAYOUTS + 1).collect())
+    if len(found) > MAX_LAYOUTS:
+        raise ValueError(f"city look-up files have more than {MAX_LAYOUTS} different headers")
+    layouts = {h: next(csv.reader([h]), []) for h in found if h.strip()}
+    names = list(dict.fromkeys(c for own in layouts.values() for c in own))
+    rows = files.select("header", F.explode(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line"))
+    rows = rows.filter(F.trim("line") != "")
+    for k, own in enumerate(layouts.values()):
+        schema = ", ".join(f"c{j} string" for j in range(len(own)))
+        rows = rows.withColumn(f"_{k}", F.when(F.col("header") == list(layouts)[k], F.from_csv("line", schema)))
+
+    def column(name: str):
+        parts = [F.col(f"_{k}.c{own.index(name)}") for k, own in enumerate(layouts.values()) if name in own]
+        return F.coalesce(*parts).alias(name)
+
+    return rows.select(*[column(name) for name in names])
