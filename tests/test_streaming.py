@@ -9,9 +9,9 @@ from workpanel.operators.places import merge_city_mapper
 from workpanel.plans import pipelines as L
 from workpanel.session import scratch_path
 from workpanel.sources import fixtures as fx
-from workpanel.streaming.panel_stream import (latest_snapshot, read_positions_stream, stream_located,
-                                              stream_spells, stream_year_cells, write_appends,
-                                              write_snapshots)
+from workpanel.streaming.panel_stream import (compact_changes, latest_snapshot, merged_changes, read_positions_stream,
+                                              stream_located, stream_spells, stream_year_cells, write_appends,
+                                              write_changes, write_snapshots)
 
 
 def test_restart_counts_each_file_once(spark):
@@ -40,3 +40,45 @@ def test_restart_counts_each_file_once(spark):
                                                   as_of="2002-01-01")),
                        ["onet_code", "state", "year"])
     assert rows(latest_snapshot(spark, out_cells)) == rows(batch)
+
+
+def test_update_mode_writes_changed_cells_only(spark):
+    pos = fx.positions(spark, SF0001).filter("country = 'India'")
+    first = pos.filter(F.col("user_id") % 2 == 0)
+    second = pos.filter((F.col("user_id") % 2 == 1) & (F.col("user_id") < 40))
+    src, out, checkpoint = (scratch_path(spark, f"changes_{x}") for x in ("src", "out", "ck"))
+    keys = ["onet_code", "state", "year"]
+
+    def cells_of(df):
+        return cell_means(expand_years(stream_spells(df, as_of="2002-01-01")), keys)
+
+    def run():
+        s = read_positions_stream(spark, src)
+        write_changes(stream_year_cells(s, "India", as_of="2002-01-01"), out, checkpoint).awaitTermination()
+        return merged_changes(spark, out, keys)
+
+    first.coalesce(1).write.parquet(src)
+    assert rows(run()) == rows(cells_of(first))
+    run()  # nothing new: no cell is written
+    second.coalesce(1).write.mode("append").parquet(src)
+    both = cells_of(first.union(second))
+    assert rows(run()) == rows(both)
+    batches = {r["batch"]: r["count"] for r in spark.read.parquet(out).groupBy("batch").count().collect()}
+    last = max(batches)
+    touched = cells_of(second).select(*keys)
+    assert batches[last] == touched.count() < both.count() and len([n for n in batches.values() if n]) == 2
+    # a batch that is repeated writes its own folder again: read as of an earlier one, the table is the earlier one
+    assert rows(merged_changes(spark, out, keys, up_to=last - 1)) == rows(cells_of(first))
+    to = scratch_path(spark, "changes_compact")
+    assert compact_changes(spark, out, to, keys) == last and rows(merged_changes(spark, to, keys)) == rows(both)
+
+
+def test_old_snapshots_go(spark):
+    pos = fx.positions(spark, SF0001)
+    src, out = scratch_path(spark, "snapshots_src"), scratch_path(spark, "snapshots")
+    pos.repartition(5).write.parquet(src)
+    s = read_positions_stream(spark, src, max_files_per_trigger=1)
+    write_snapshots(stream_year_cells(s, "India", as_of="2002-01-01"), out).awaitTermination()
+    assert len({r["batch"] for r in spark.read.parquet(out).select("batch").distinct().collect()}) == 2
+    batch = cell_means(expand_years(stream_spells(pos.filter("country = 'India'"), as_of="2002-01-01")), ["onet_code", "state", "year"])
+    assert rows(latest_snapshot(spark, out)) == rows(batch)

@@ -332,9 +332,9 @@ def build() -> dict[str, str]:
         "cell_origin_year_spread": cell_origin_year,
         "cell_university_year_pre_spread": _q(university_rows(True),
                                               cells("onet_code, university_location, year")),
-        "stream_cell_state_year": _q(
+        **dict.fromkeys(("stream_cell_state_year", "stream_cell_state_year_changes"), _q(
             clean(f"SELECT * FROM positions WHERE country = '{ORIGIN}'", YEARS3, fill=False)
-            + [year_panel("gy")], cells("onet_code, state, year")),
+            + [year_panel("gy")], cells("onet_code, state, year"))),
         "cell_university_year": _q(university_rows(False),
                                    cells("onet_code, university_location, year")),
         "cell_university_year_pre": _q(university_rows(True),

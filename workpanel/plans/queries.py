@@ -326,6 +326,20 @@ def q_stream_cell_state_year(spark, d):
     return latest_snapshot(spark, out)
 
 
+def q_stream_cell_state_year_changes(spark, d):
+    """The same in update mode: every batch writes the cells it changed, merged by cell
+    when read.  The stream stops after half of the files and is started again."""
+    from workpanel.streaming.panel_stream import (merged_changes, read_positions_stream,
+                                                  stream_year_cells, write_changes)
+    src, out, checkpoint = (scratch_path(spark, f"stream_{x}") for x in ("src", "changes", "checkpoint"))
+    half = F.col("user_id") % 2 == 0
+    for mode, part in (("errorifexists", half), ("append", F.coalesce(~half, F.lit(True)))):
+        write_table(_pos(spark, d).filter(part), src, mode=mode)
+        cells = stream_year_cells(read_positions_stream(spark, src, max_files_per_trigger=1), ORIGIN, as_of=AS_OF)
+        write_changes(cells, out, checkpoint).awaitTermination()
+    return merged_changes(spark, out, ["onet_code", "state", "year"])
+
+
 def q_stream_located_rows(spark, d):
     """Structured Streaming: position files arrive; each row is joined to the
     static look-up and located rows are appended to Parquet."""

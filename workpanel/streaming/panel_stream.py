@@ -8,8 +8,10 @@ already given), so streamed spells go straight to the fallback; the
 resulting cells equal the batch job run with the fill switched off.
 
 The cell table is bounded (occupation x place x year), so it is kept as
-streaming aggregate state and emitted in ``complete`` mode; each trigger
-writes a snapshot of its own.  Open spells close at a fixed ``as_of``: a
+streaming aggregate state.  It is emitted in ``complete`` mode, where each trigger
+writes a snapshot of its own (``write_snapshots``), or in ``update`` mode, where it
+writes only the cells that its rows changed (``write_changes``) and readers merge the
+batches by cell (``merged_changes``).  Open spells close at a fixed ``as_of``: a
 default of today would close rows of different batches on different days.
 """
 
@@ -50,23 +52,30 @@ def stream_year_cells(rows: DataFrame, country: str, as_of, keys=("onet_code", "
     return cell_means(panel, list(keys) + ["year"])
 
 
+def _run(writer, available_now: bool):
+    w = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    return w.start()
+
+
 def write_snapshots(cells: DataFrame, out: str, checkpoint: str | None = None,
-                    available_now: bool = True):
+                    available_now: bool = True, keep: int = 2):
     """Run the stream; every micro-batch writes the complete cell table to a
     folder of its own, ``out/batch=<id>`` (a repeated batch writes its own
     again), so readers of earlier batches are not disturbed; see
-    ``latest_snapshot``.  The checkpoint lives under the shared checkpoint
+    ``latest_snapshot``.  The last ``keep`` snapshots stay, older ones are deleted.  The
+    checkpoint lives under the shared checkpoint
     folder so a restarted driver resumes where it stopped."""
     spark = cells.sparkSession
     checkpoint = checkpoint or scratch_path(spark, "stream_checkpoint")
 
     def snapshot(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/batch={epoch - keep}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     w = (cells.writeStream.outputMode("complete").foreachBatch(snapshot)
          .option("checkpointLocation", checkpoint))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
+    return _run(w, available_now)
 
 
 def latest_snapshot(spark: SparkSession, out: str) -> DataFrame:
@@ -76,6 +85,40 @@ def latest_snapshot(spark: SparkSession, out: str) -> DataFrame:
     return cells.join(newest, "batch", "left_semi").drop("batch")
 
 
+def write_changes(cells: DataFrame, out: str, checkpoint: str | None = None, available_now: bool = True):
+    """Run the stream in ``update`` mode: every micro-batch writes the cells it changed, with
+    their new values, to ``out/batch=<id>``.  A batch that is repeated after a failure
+    writes its own folder again, so each counts once."""
+    spark = cells.sparkSession
+    checkpoint = checkpoint or scratch_path(spark, "stream_checkpoint")
+
+    def changes(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+
+    w = (cells.writeStream.outputMode("update").foreachBatch(changes)
+         .option("checkpointLocation", checkpoint))
+    return _run(w, available_now)
+
+
+def merged_changes(spark: SparkSession, out: str, keys: list[str], up_to: int | None = None) -> DataFrame:
+    """The table of ``write_changes`` by its ``keys``: each cell as the last batch left
+    it (``up_to``: the last batch to look at)."""
+    rows = spark.read.parquet(out)
+    if up_to is not None:
+        rows = rows.filter(F.col("batch") <= up_to)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
+    return last.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
+
+
+def compact_changes(spark: SparkSession, out: str, to: str, keys: list[str]) -> int:
+    """Write the merged table as the one batch of a new folder ``to`` and return the
+    batch's number; a stream that goes on with the same checkpoint may write there from then on."""
+    last = spark.read.parquet(out).agg(F.max("batch")).first()[0]
+    merged_changes(spark, out, keys, last).write.parquet(f"{to}/batch={last}")
+    return last
+
+
 def stream_located(rows: DataFrame, mapper: DataFrame, null_safe: bool = True) -> DataFrame:
     """L9 on a stream: each arriving position row joined to the static
     look-up (stream-static left join, no state), located rows only."""
@@ -90,5 +133,4 @@ def write_appends(rows: DataFrame, out: str, checkpoint: str | None = None,
     checkpoint = checkpoint or scratch_path(spark, "stream_checkpoint")
     w = (rows.writeStream.format("parquet").outputMode("append").option("path", out)
          .option("checkpointLocation", checkpoint))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
+    return _run(w, available_now)
