@@ -60,36 +60,61 @@ def jobs(spark, pos_path, edu_path, map_paths):
     }
 
 
-def plain_forms(spark, pos_path, edu_path):
+def plain_forms(spark, pos_path, edu_path, map_paths):
     """The straightforward plans, for comparison only: a global sort before a
-    per-person window, the window ``lag`` fill, a key list collected to the
-    driver and shipped back as ``isin``, a ``row_number`` top-1 and a Python
-    UDF.  Same results as the jobs above (checked in tests/test_rewrites.py
-    for the window parts)."""
+    per-person window, the window ``lag`` fill, a self-join for the movers, a
+    ``row_number`` top-1, a Python UDF and ``dropDuplicates``.  Same results as the jobs above
+    but for ties (checked in tests/test_rewrites.py for the window parts).
+    ``L5_key_list`` collects the movers to the driver and ships them back as ``isin``."""
+    from functools import reduce
+
     from pyspark.sql import Window
     from pyspark.sql import functions as F
-    from workpanel.functions.codes import KEPT_DEGREES, OTHER_LEVEL
+    from workpanel.functions.codes import KEPT_DEGREES, OTHER_LEVEL, occupation_major
+    from workpanel.functions.dates import parse_date
     from workpanel.operators.cells import cell_means
     from workpanel.operators.education import WIDE_COLUMNS, education_marked
-    from workpanel.operators.expand import expand_years
+    from workpanel.operators.expand import expand_months, expand_years
     from workpanel.operators.spells import END, START, backfill_start, close_open, parse_dates
 
-    def window_clean(df, fallback):
+    def window_clean(df, fallback, **kw):
         df = parse_dates(df).orderBy("user_id", START)
         w = Window.partitionBy("user_id").orderBy(START)
         df = df.withColumn(START, F.coalesce(F.col(START), F.lag(END).over(w)))
-        return backfill_start(close_open(df, as_of=AS_OF), fallback=fallback)
+        return backfill_start(close_open(df, as_of=AS_OF), fallback=fallback, **kw)
+
+    def residents():
+        return read_positions(spark, pos_path).filter(F.col("country") == ORIGIN)
 
     def l1():
-        p = read_positions(spark, pos_path).filter(F.col("country") == ORIGIN)
-        return cell_means(expand_years(window_clean(p, "years:3")), ["onet_code", "state", "year"])
+        return cell_means(expand_years(window_clean(residents(), "years:3")), ["onet_code", "state", "year"])
 
-    def l5():
-        p = read_positions(spark, pos_path)
+    def l2():
+        s = expand_months(window_clean(residents(), "days:1095")).withColumn("onet_code_f2", occupation_major("onet_code"))
+        return cell_means(s.withColumn("year_month", F.date_format("year_month", "yyyy-MM")), ["onet_code_f2", "state", "year_month"])
+
+    def mover_ids(p):
         a = p.filter(F.col("country") == ORIGIN).select("user_id")
-        b = p.filter(F.col("country") == DESTINATION).select("user_id")
-        ids = [r[0] for r in a.join(b, "user_id").select("user_id").collect()]
-        s = window_clean(p.filter(F.col("user_id").isin(ids)), "days:1095")
+        return a.join(p.filter(F.col("country") == DESTINATION).select("user_id"), "user_id").select("user_id")
+
+    def mover_rows():
+        p = read_positions(spark, pos_path)
+        return p.join(mover_ids(p).distinct(), "user_id", "left_semi")
+
+    def latest_degree(before):
+        e = read_education(spark, edu_path).filter(F.col("university_country") == ORIGIN)
+        w = Window.partitionBy("user_id").orderBy(F.col("college_enddate").desc_nulls_last())
+        e = (e.withColumn("college_enddate", parse_date("enddate")).withColumn("rn", F.row_number().over(w)).filter("rn = 1")
+             .select("user_id", "college_enddate", "university_location"))
+        return e if before is None else e.filter(F.col("college_enddate") < F.lit(before).cast("date"))
+
+    def university(before=None):
+        rows = mover_rows().join(latest_degree(before), "user_id", "left" if before is None else "inner")
+        s = window_clean(rows, "years:3", prefer="college_enddate").filter(F.col("country") == DESTINATION)
+        return cell_means(expand_years(s), ["onet_code", "university_location", "year"])
+
+    def origin(rows):
+        s = window_clean(rows, "days:1095")
         w = Window.partitionBy("user_id").orderBy(F.col(END).desc())
         home = (s.filter(F.col("country") == ORIGIN).orderBy("user_id", END)
                 .withColumn("rn", F.row_number().over(w)).filter("rn = 1")
@@ -98,6 +123,11 @@ def plain_forms(spark, pos_path, edu_path):
         d = expand_years(d, drop_reversed=True)
         return cell_means(d, ["onet_code", "last_origin_state", "year"])
 
+    def key_list():
+        p = read_positions(spark, pos_path)
+        ids = [r[0] for r in mover_ids(p).collect()]
+        return origin(p.filter(F.col("user_id").isin(ids)))
+
     def l7():
         level = F.udf(lambda x: x if x in KEPT_DEGREES else OTHER_LEVEL, "string")
         e = read_education(spark, edu_path).withColumn("degree", level("degree"))
@@ -105,7 +135,21 @@ def plain_forms(spark, pos_path, edu_path):
         return m.groupBy("user_id").agg(*[F.first(c, ignorenulls=True).alias(c)
                                           for c in WIDE_COLUMNS])
 
-    return {"L1_cell_state_year": l1, "L5_cell_origin_year": l5, "L7_education_wide": l7}
+    def l8():
+        parts = [read_city_mapper(spark, p) for p in map_paths]
+        return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts).dropDuplicates()
+
+    def l9(located):
+        p, m = read_positions(spark, pos_path), l8().withColumnsRenamed({"metro_area": "m"})
+        j = p.join(m, (p.location_raw == m.location) & (p.metro_area == m.m), "left")
+        here = F.coalesce((F.col("location") != "empty") & (F.col("city") != "empty"), F.lit(False))
+        return j.filter(here) if located else j.filter(~here).select("user_id")
+
+    return {"L1_cell_state_year": l1, "L2_cell_state_month": l2, "L3_cell_university_year": university,
+            "L4_cell_university_year_pre": lambda: university(CUTOFF), "L5_cell_origin_year": lambda: origin(mover_rows()),
+            "L6_cell_origin_year_pre": lambda: origin(mover_rows().join(latest_degree(CUTOFF).select("user_id"), "user_id", "left_semi")),
+            "L7_education_wide": l7, "L8_city_mapper_merged": l8, "L9_located_rows": lambda: l9(True),
+            "L9_unlocated_users": lambda: l9(False), "L5_key_list": key_list}
 
 
 def run(df) -> None:
@@ -133,12 +177,12 @@ def main() -> None:
     plain = {}
     which = os.environ.get("BENCH_PLAIN", "1")  # "0": none, "1": fast ones, "all"
     if which != "0":
-        for name, make in plain_forms(spark, paths[0], paths[1]).items():
-            if name.startswith("L5") and which != "all":
+        for name, make in plain_forms(spark, *paths).items():
+            if name == "L5_key_list" and which != "all":
                 continue  # the shipped key list takes minutes (382 s at sf0.1)
             run(make())
             runs = []
-            for _ in range(repeat):
+            for _ in range(min(repeat, 3)):
                 t = time.time()
                 run(make())
                 runs.append(time.time() - t)
