@@ -109,7 +109,7 @@ def numbered(df: DataFrame, keys: list[str], uid: str, rows: int, out: str = "ra
     return df.join(base, on).select(*kept, (F.col("_base") + F.col("_r")).cast("long").alias(out))
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None, name: str = "components") -> DataFrame:
     """``node, component`` for the nodes of ``edges`` (``a, b``, longs): the
     smallest node reachable, itself included.
 
@@ -117,6 +117,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
     neighbours', then follows that label one step (pointer jumping), so long
     chains shorten by half.  Every round is a written table.
     """
+    scratch = scratch or Scratch(edges.sparkSession, name)
     both = scratch.write(edges.select("a", "b").union(edges.select("b", "a"))
                          .filter("a is not null and b is not null and a <> b").distinct(), f"{name}-edges")
     labels = scratch.write(both.groupBy(F.col("a").alias("node"))
