@@ -4,6 +4,7 @@ import os
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from conftest import SF0001, rows
@@ -62,6 +63,23 @@ def test_old_dates_read_as_written(spark):
     assert read_positions(spark, path, needed=("id",)).first().d == date(1200, 3, 1)
 
 
+def test_old_int96_timestamps_read_as_written(spark):
+    """The reader's option, where the session alone would refuse timestamps before 1900."""
+    conf = {"spark.sql.parquet.outputTimestampType": "INT96", "spark.sql.parquet.int96RebaseModeInWrite": "CORRECTED",
+            "spark.sql.parquet.int96RebaseModeInRead": "LEGACY"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.sql("select 1L as id, timestamp'1200-03-01 10:00:00' as t")
+        path = write_table(df, scratch_path(spark, "old_timestamps"))
+        seen = read_positions(spark, path, needed=("id",)).select(F.col("t").cast("string")).first()[0]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert seen == "1200-03-01 10:00:00"
+
+
 def test_sink_modes(spark):
     df = spark.createDataFrame([(1, "a")], "id long, v string")
     path = scratch_path(spark, "modes")
