@@ -43,8 +43,8 @@ def jobs(spark, pos_path, edu_path, map_paths):
     E = lambda: read_education(spark, edu_path)
     M = lambda: L.city_mapper([read_city_mapper(spark, p) for p in map_paths])
     return {
-        "L1_cell_state_year": lambda: L.resident_year(P(), ORIGIN, AS_OF),
-        "L2_cell_state_month": lambda: L.resident_month(P(), ORIGIN, AS_OF),
+        "L1_cell_state_year": lambda: L.resident_year(P(), ORIGIN, AS_OF, stage=L.stage_table),
+        "L2_cell_state_month": lambda: L.resident_month(P(), ORIGIN, AS_OF, stage=L.stage_table),
         "L3_cell_university_year": lambda: L.mover_university_year(
             P(), E(), ORIGIN, DESTINATION, as_of=AS_OF),
         "L4_cell_university_year_pre": lambda: L.mover_university_year(

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from conftest import SF0001, SF001
+from conftest import SF0001, SF001, rows
 from workpanel.plans import pipelines as L
 from workpanel.session import scratch_path
 from workpanel.sources import fixtures as fx
@@ -154,6 +154,41 @@ def test_mover_jobs_scan_positions_twice(tables, monkeypatch, job):
     assert sum(scans) == 2
 
 
+@pytest.mark.parametrize("job", ["L1", "L2"])
+def test_resident_jobs_scan_positions_once(tables, job):
+    """One scan, with the country pushed to it, into the staged table; the final plan reads that alone."""
+    scans, stage = [], L.stage_table
+
+    def counted(df):
+        scans.extend(re.findall(r"FileScan parquet \[.*", plan(df)))
+        return stage(df)
+
+    P, E = tables
+    run = L.resident_year if job == "L1" else L.resident_month
+    df = run(P, "India", "2002-01-01", stage=counted)
+    assert len(scans) == 1 and "EqualTo(country,India)" in scans[0] and "location_raw" not in scans[0]
+    final = plan(df)
+    assert "onet_code" in final and "startdate" not in final  # positions are not read again
+    assert rows(df) == rows(run(P, "India", "2002-01-01"))
+
+
+@pytest.mark.parametrize("mode", ["as_coded", "forward"])
+def test_one_scan_cells_of_hard_rows(spark, mode):
+    """Missing, equal and null ends, people and salaries, and rows that repeat but for their id."""
+    P = spark.createDataFrame(
+        [(i, u, s, e, "India", "Goa" if i % 3 else None, "15-1", v) for i, (u, s, e, v) in enumerate(
+            [(1, None, "2000-05-01", 10.0), (1, None, "2000-05-01", 10.0), (1, None, None, 3.25), (1, None, "1998-01-01", None),
+             (1, "1999-01-01", "2001-01-01", 7.0), (2, None, None, 1.0), (None, None, "2000-01-01", 2.0),
+             (None, None, "2001-01-01", 4.0), (3, "2001-06-01", "1999-01-01", 5.0), (3, "bad", "2001-12-31", 1 / 3),
+             (4, None, None, None), (2, "2000-01-01", None, float("nan"))] * 2)],
+        "position_id long, user_id long, startdate string, enddate string, country string, state string, onet_code string, salary double")
+    text = lambda df: sorted(map(str, df.collect()))
+    new = L.resident_year(P, "India", "2002-01-01", mode=mode, stage=L.stage_table)
+    assert text(new) == text(L.resident_year(P, "India", "2002-01-01", mode=mode)) and new.count() > 5
+    assert text(L.resident_month(P, "India", "2002-01-01", stage=L.stage_table)) == text(L.resident_month(P, "India", "2002-01-01"))
+    assert L.resident_year(P.limit(0), "India", None, stage=L.stage_table).count() == 0
+
+
 def test_forced_buckets_need_no_broadcast(spark, tables):
     P, E = tables
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

@@ -145,16 +145,18 @@ def _hot_rows(a) -> int | str | None:
 def run(spark: SparkSession, a) -> None:
     if a.job == "resident-year":
         pos = read_positions(spark, a.positions)
-        spells = L.resident_spells(pos, a.country, "years:3", a.as_of, a.fill_order)
         if a.panel_out:
             # Two outputs from one cleaning pass: stage the spells once.
+            spells = L.resident_spells(pos, a.country, "years:3", a.as_of, a.fill_order)
             spells = materialize(spark, spells, "resident_spells")
             _write(expand_years(spells, mode=a.years), a, a.panel_out, mode="ignore")
-        _write(year_cells(spells, ["onet_code", "state"], mode=a.years,
-                          distinct_people=a.distinct_people,
-                          exact_scale=None if a.plain_mean else 2), a)
+            _write(year_cells(spells, ["onet_code", "state"], mode=a.years,
+                              distinct_people=a.distinct_people,
+                              exact_scale=None if a.plain_mean else 2), a)
+        else:
+            _write(L.resident_year(pos, a.country, a.as_of, a.years, stage=L.stage_table, **_cell_options(a)), a)
     elif a.job == "resident-month":
-        _write(L.resident_month(read_positions(spark, a.positions), a.country, a.as_of,
+        _write(L.resident_month(read_positions(spark, a.positions), a.country, a.as_of, stage=L.stage_table,
                                 **_cell_options(a)), a)
     elif a.job == "mover-university-year":
         if a.education is None:

@@ -100,15 +100,25 @@ def _cells_with_people(df: DataFrame, keys: list[str], first: Column, last: Colu
     return both.withColumn(count, people).filter("_here").select(*keys, period, mean, count)
 
 
-def _spans_then_cells(df: DataFrame, keys: list[str], lo: str, hi: str, span: Column,
-                      period: str, value: str, exact_scale: int | None, mean: str, count: str) -> DataFrame:
+def span_sums(df: DataFrame, keys: list[str], value: str = "salary", exact_scale: int | None = 2) -> DataFrame:
+    """``keys, _s, _r, _n``: the sums and count that cells are made of; ``keys`` name the first and
+    last period too.  Combined before the shuffle."""
     exact, rest = _sums(value, exact_scale)
-    pre = df.groupBy(*keys, lo, hi).agg(exact.alias("_s"), rest.alias("_r"), F.count(value).alias("_n"))
-    panel = pre.withColumn(period, F.explode(span))
+    return df.groupBy(*keys).agg(exact.alias("_s"), rest.alias("_r"), F.count(value).alias("_n"))
+
+
+def cells_of_spans(sums: DataFrame, keys: list[str], span: Column, period: str, mean: str = MEAN, count: str = COUNT) -> DataFrame:
+    """Cells by ``period`` from ``span_sums``; ``span`` is the array of a span's periods."""
+    panel = sums.withColumn(period, F.explode(span))
     n = F.sum("_n")
     return panel.groupBy(*keys, period).agg(_mean(F.sum("_s"), F.sum("_r"), n).alias(mean), n.alias(count))
 
 
+def _spans_then_cells(df: DataFrame, keys: list[str], lo: str, hi: str, span: Column,
+                      period: str, value: str, exact_scale: int | None, mean: str, count: str) -> DataFrame:
+    return cells_of_spans(span_sums(df, [*keys, lo, hi], value, exact_scale), keys, span, period, mean, count)
+
+
 def year_cells(df: DataFrame, keys: list[str], start: str = START, end: str = END,
                value: str = "salary", mode: str = "as_coded", drop_reversed: bool = False,
                exact_scale: int | None = 2, distinct_people: bool = False,

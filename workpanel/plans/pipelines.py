@@ -15,15 +15,16 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from workpanel.functions.codes import occupation_major
-from workpanel.operators.cells import month_cells, year_cells
+from workpanel.functions.dates import month_span, year_span
+from workpanel.operators.cells import cells_of_spans, month_cells, span_sums, year_cells
 from workpanel.operators.cohorts import last_place, latest_education, movers, person_counts
 from workpanel.operators.bloom import may_be_in
 from workpanel.operators.skew import (AUTO, HOT_ROWS, SALT, hot_by_sketch, hot_keys, salt_rows, sketch,
                                       spread_join)
 from workpanel.operators.education import education_wide
-from workpanel.operators.expand import expand_months, expand_years
+from workpanel.operators.expand import expand_months, expand_years, with_months, with_years
 from workpanel.operators.places import attach_city, located_predicate, merge_city_mapper, split_located
-from workpanel.operators.spells import END, START, clean_spells, close_open, parse_dates
+from workpanel.operators.spells import END, START, backfill_start, clean_spells, close_open, fill_start, parse_dates
 from workpanel.sources.writers import materialize
 
 KEY, TIE, EDU_TIE = "user_id", "position_id", "education_id"
@@ -80,10 +81,42 @@ def resident_spells(positions: DataFrame, country: str, fallback: str, as_of=Non
     return spells if TIE in positions.columns else spells.drop(TIE)
 
 
+def one_scan_sums(rows: DataFrame, keys: list[str], periods: Callable, bounds: list[str], fallback: str, as_of,
+                  stage: Stage, exact_scale: int | None = 2) -> DataFrame:
+    """``span_sums`` by ``keys`` and ``bounds`` of the cleaned spells of ``rows``, read once.
+
+    Only rows without a start are filled, and only they donate (``fill_start``).
+    So one grouped pass serves both kinds: a row with a start counts under its
+    span, one without stays by itself, named by its person, end and row id.  The
+    pass is written by ``stage``; donors and the rows that they fill are read
+    from there.  ``periods`` adds the columns ``bounds`` to parsed spells.
+    """
+    if as_of is None:  # both parts close open ends on the same day
+        as_of = rows.sparkSession.range(1).select(F.current_date()).first()[0]
+    late, end, sums = "_late", "_end", ["_s", "_r", "_n"]
+    parsed = parse_dates(rows).withColumns({late: F.col(START).isNull(), end: F.col(END)})
+    spans = periods(close_open(parsed, as_of=as_of), START, END)
+    alone = [F.when(F.col(late), F.col(c)).alias(c) for c in (KEY, end, TIE)]
+    once = stage(span_sums(spans.select(*keys, *bounds, late, *alone, "salary"), [*keys, *bounds, late, KEY, end, TIE],
+                           exact_scale=exact_scale))
+    dated = once.filter(~F.col(late)).select(*keys, *bounds, *sums)
+    missing = once.filter(late).select(*keys, KEY, TIE, F.lit(None).cast("date").alias(START), F.col(end).alias(END), *sums)
+    filled = backfill_start(close_open(fill_start(missing, key=KEY, tie=TIE), as_of=as_of), fallback=fallback, flag=None)
+    both = dated.unionByName(periods(filled, START, END).select(*keys, *bounds, *sums))
+    return both.groupBy(*keys, *bounds).agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def resident_year(positions: DataFrame, country: str = "India", as_of=None,
                   mode: str = "as_coded", distinct_people: bool = False,
-                  exact_scale: int | None = 2, order: str = "start") -> DataFrame:
-    """L1: ``onet_code, state, year, mean_salary, n_individuals``."""
+                  exact_scale: int | None = 2, order: str = "start", stage: Stage | None = None) -> DataFrame:
+    """L1: ``onet_code, state, year, mean_salary, n_individuals``.
+
+    With ``stage`` positions are read once (``one_scan_sums``); the fill by end date,
+    to which every row may donate, and distinct people read them as without."""
+    if stage is not None and order == "start" and not distinct_people:
+        rows = _job_positions(positions.filter(F.col("country") == F.lit(country)), "state")
+        sums = one_scan_sums(rows, ["onet_code", "state"], with_years, ["start_year", "end_year"], "years:3", as_of, stage, exact_scale)
+        return cells_of_spans(sums, ["onet_code", "state"], year_span("start_year", "end_year", mode), "year")
     spells = resident_spells(_job_positions(positions.filter(F.col("country") == F.lit(country)), "state"),
                              country, "years:3", as_of, order)
     return year_cells(spells, ["onet_code", "state"], mode=mode,
@@ -99,8 +132,15 @@ def resident_year_panel(positions: DataFrame, country: str = "India", as_of=None
 
 def resident_month(positions: DataFrame, country: str = "India", as_of=None,
                    exact_scale: int | None = 2, distinct_people: bool = False,
-                   order: str = "start") -> DataFrame:
-    """L2: ``onet_code_f2, state, year_month, mean_salary, n_individuals``."""
+                   order: str = "start", stage: Stage | None = None) -> DataFrame:
+    """L2: ``onet_code_f2, state, year_month, mean_salary, n_individuals``; ``stage`` as in L1."""
+    if stage is not None and order == "start" and not distinct_people:
+        rows = _job_positions(positions.filter(F.col("country") == F.lit(country)), "state")
+        rows = rows.withColumn("onet_code_f2", occupation_major("onet_code"))
+        keys, bounds = ["onet_code_f2", "state"], ["start_year_month", "end_year_month"]
+        first, last = bounds
+        sums = one_scan_sums(rows, keys, with_months, bounds, "days:1095", as_of, stage, exact_scale).filter(F.col(last) >= F.col(first))
+        return cells_of_spans(sums, keys, month_span(first, last), "year_month").withColumn("year_month", F.date_format("year_month", "yyyy-MM"))
     spells = resident_spells(_job_positions(positions.filter(F.col("country") == F.lit(country)), "state"),
                              country, "days:1095", as_of, order)
     spells = spells.withColumn("onet_code_f2", occupation_major("onet_code"))

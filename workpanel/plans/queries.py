@@ -208,11 +208,11 @@ def q_panel_month(spark, d):
 
 
 def q_cell_state_year(spark, d):
-    return L.resident_year(_pos(spark, d), ORIGIN, AS_OF)
+    return L.resident_year(_pos(spark, d), ORIGIN, AS_OF, stage=L.stage_table)
 
 
 def q_cell_state_year_forward(spark, d):
-    return L.resident_year(_pos(spark, d), ORIGIN, AS_OF, mode="forward")
+    return L.resident_year(_pos(spark, d), ORIGIN, AS_OF, mode="forward", stage=L.stage_table)
 
 
 def q_cell_state_year_people(spark, d):
@@ -222,7 +222,7 @@ def q_cell_state_year_people(spark, d):
 def q_cell_state_year_fractions(spark, d):
     """L1 with salaries in eighths: values beyond two decimals count in full."""
     pos = _pos(spark, d).withColumn("salary", F.floor("salary").cast("double") / 8)
-    return L.resident_year(pos, ORIGIN, AS_OF)
+    return L.resident_year(pos, ORIGIN, AS_OF, stage=L.stage_table)
 
 
 def q_sql_cell_means(spark, d):
@@ -257,7 +257,7 @@ def q_sql_cell_origin_year(spark, d):
 
 
 def q_cell_state_month(spark, d):
-    return L.resident_month(_pos(spark, d), ORIGIN, AS_OF)
+    return L.resident_month(_pos(spark, d), ORIGIN, AS_OF, stage=L.stage_table)
 
 
 def q_cell_university_year(spark, d):
