@@ -15,13 +15,19 @@ place; its text is the concatenation of ``chat`` by ``thread``, ``turn``.
 
 Defined cases: null and empty texts are messages without lines; a quote found
 nowhere has a null source; the earliest own line wins ties; repeated (conv_id,
-turn) rows each give their row and share links; null conv_id or turn gives a row
+turn) rows each give their row and share links; a message of any length is
+read once, and its rows grow with its text; null conv_id or turn gives a row
 of its own without links; an empty table gives no rows; other columns are
 ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +36,8 @@ from workpanel.llm.common import staged
 MARKS = r"^\s{0,3}((?:>\s?)+)"
 #: Rounds of following replies; each doubles the distance, so threads of 2^40 messages end.
 ROUNDS = 40
-SENTENCE_END = r"(?<=[.!?…])\s+|(?<=[。！？])"
-#: Turns are ordered in blocks of 2^10.
-BLOCK_BITS = 10
+# Lines are trimmed and single-blanked, so a sentence ends before a blank or line end, or at once.
+SENTENCE_END = re.compile(r"(?<=[.!?…])[ \n]+|(?<=[。！？])")
 
 
 def normal(line: Column) -> Column:
@@ -50,29 +55,109 @@ def parsed_lines(messages: DataFrame, text_col: str = "text") -> DataFrame:
     return messages.withColumn("lines", F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), one))
 
 
-def passages(level: Column | int) -> Column:
-    """The message's passages of this level, each with its lines' normal forms, one a line."""
-    marked = F.array_join(F.transform("lines", lambda x: F.when(x["level"] == level, x["norm"]).otherwise("")), "\n")
-    runs = F.transform(F.split(marked, r"\n{2,}"), lambda p: F.regexp_replace(p, r"^\n+|\n+$", ""))
-    return F.filter(runs, lambda p: p != "")
-
-
-def sentences(text: Column) -> Column:
-    return F.filter(F.split(text, SENTENCE_END), lambda x: x != "")
-
-
-def joined(passage: Column) -> Column:
-    return F.replace(passage, F.lit("\n"), F.lit(" "))
+def digest(text: str) -> bytes:
+    """What a unit is known by: 128 bits, so that no text is shuffled."""
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def passages(levels: list[int], norms: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Runs of lines of one level without blank ones."""
+    run: list[str] = []
+    for k, (level, norm) in enumerate(zip(levels, norms)):
+        if norm:
+            run.append(norm)
+            if k + 1 == len(norms) or levels[k + 1] != level or not norms[k + 1]:
+                yield level, run
+                run = []
+
+
+def sentences(run: list[str]) -> list[tuple[str, int, int]]:
+    """The passage's sentences, each with the first and the last line that it is of."""
+    text, out, at, line = "\n".join(run), [], 0, 0
+    for begin, end in [(m.start(), m.end()) for m in SENTENCE_END.finditer(text)] + [(len(text), len(text))]:
+        part = text[at:begin]
+        lead = len(part) - len(part.lstrip("\n "))
+        first = line + part.count("\n", 0, lead)
+        line += part.count("\n")
+        if lead < len(part):
+            out.append((part[lead:].replace("\n", " "), first, line))
+        line += text.count("\n", begin, end)
+        at = end
+    return out
+
+
+def message_units(levels: list[int], norms: list[str]) -> Iterator[tuple[int, bytes | None, int | None, bytes]]:
+    """``level, line, nth, unit`` of one message: level 0, with neither line nor ``nth``,
+    for what it wrote itself (lines, passages and sentences); for every quoted line its tries in
+    their order, the line, its passage, the sentences that it is of.  A passage is
+    taken apart once, so the work and the rows grow with the text."""
+    own: set[bytes] = set()
+    tries: dict[tuple[int, bytes, bytes], int] = {}
+    for level, run in passages(levels, norms):
+        parts, whole, lines = sentences(run), digest(" ".join(run)), [digest(x) for x in run]
+        if level == 0:
+            own.update(lines, [whole], (digest(x) for x, _, _ in parts))
+            continue
+        units = [[(0, h), (1, whole)] for h in lines]
+        for k, (text, first, last) in enumerate(parts):
+            h = digest(text)
+            for at in range(first, last + 1):
+                units[at].append((2 + k, h))
+        for h, found in zip(lines, units):
+            for nth, unit in found:
+                tries[level, h, unit] = min(nth, tries.get((level, h, unit), nth))
+    yield from ((0, None, None, h) for h in own)
+    yield from ((level, line, nth, unit) for (level, line, unit), nth in tries.items())
+
+
+UNITS = "conv_id {conv}, turn {turn}, level int, line binary, nth int, unit binary"
+#: Rows that one batch of units returns, about.
+BATCH = 50_000
+
+
+def units_of(lines: DataFrame) -> DataFrame:
+    """``conv_id, turn, level, line, nth, unit`` of all messages (``message_units``)."""
+    kind = {f.name: f.dataType.simpleString() for f in lines.schema.fields}
+    schema = UNITS.format(conv=kind["conv_id"], turn=kind["turn"])
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            where: list[int] = []
+
+            def made() -> pa.RecordBatch:
+                back = pa.array(where, pa.int64())
+                cols = [batch.column(0).take(back), batch.column(1).take(back)]
+                kinds = (pa.int32(), pa.binary(), pa.int32(), pa.binary())
+                cols += [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
+                return pa.RecordBatch.from_arrays(cols, names=["conv_id", "turn", "level", "line", "nth", "unit"])
+
+            for i in range(batch.num_rows):
+                for row in message_units(batch.column(2)[i].as_py(), batch.column(3)[i].as_py()):
+                    rows.append(row)
+                    where.append(i)
+                    if len(rows) >= BATCH:
+                        yield made()
+                        rows, where = [], []
+            if rows:
+                yield made()
+
+    parts = lines.select("conv_id", "turn", F.transform("lines", lambda x: x["level"]).alias("levels"),
+                         F.transform("lines", lambda x: x["norm"]).alias("norms"))
+    return parts.mapInArrow(taken, schema)
 
 
 def previous(nodes: DataFrame) -> DataFrame:
     """``conv_id, turn, last, place`` for distinct ``nodes``: the turn before it in the conversation,
-    if there is one, and how many there are.  Turns are ordered in blocks, so no task sorts a
-    whole conversation."""
-    blocks = nodes.withColumn("block", F.shiftright(F.col("turn").cast("long"), BLOCK_BITS))
+    if there is one, and how many there are.  The nodes are put in ranges of (conversation, turn)
+    of like sizes, so no task sorts a whole conversation, whatever its turns are (numbers, times);
+    a conversation's ranges are as many as tasks at most."""
+    ranged = nodes.repartitionByRange("conv_id", "turn").withColumn("block", F.spark_partition_id())
+    blocks = staged(ranged, "chat-ranges")  # ranges come from a sample: fixed from here on
     before = Window.partitionBy("conv_id").orderBy("block")
-    ends = (blocks.groupBy("conv_id", "block").agg(F.max("turn").alias("end"), F.count(F.lit(1)).alias("n"))
-            .select("conv_id", "block", F.lag("end").over(before).alias("end"), (F.sum("n").over(before) - F.col("n")).alias("base")))
+    ends = staged(blocks.groupBy("conv_id", "block").agg(F.max("turn").alias("end"), F.count(F.lit(1)).alias("n"))
+                  .select("conv_id", "block", F.lag("end").over(before).alias("end"), (F.sum("n").over(before) - F.col("n")).alias("base")),
+                  "chat-range-ends")
     inner = Window.partitionBy("conv_id", "block").orderBy("turn")
     ranked = blocks.withColumn("own", F.lag("turn").over(inner)).withColumn("k", F.row_number().over(inner) - 1)
     return ranked.join(ends, ["conv_id", "block"]).select("conv_id", "turn", F.coalesce("own", "end").alias("last"),
@@ -80,42 +165,30 @@ def previous(nodes: DataFrame) -> DataFrame:
 
 
 def quotation_links(lines: DataFrame) -> DataFrame:
-    """``conv_id, turn, level, norm, src_conv, src_turn``: each quoted line's source."""
-    known = lines.filter("conv_id is not null and turn is not null")
-    whole = F.transform(passages(0), joined)
-    units = F.array_distinct(F.flatten(F.array(F.flatten(F.transform(passages(0), lambda p: F.split(p, "\n"))), whole,
-                                               F.flatten(F.transform(whole, sentences)))))
-    own = known.select("conv_id", "turn", F.explode(units).alias("unit")).withColumn("h", F.xxhash64("unit"))
-    levels = F.array_distinct(F.transform(F.filter("lines", lambda x: (x["level"] > 0) & (x["norm"] != "")), lambda x: x["level"]))
-    runs = F.flatten(F.transform(levels, lambda k: F.transform(passages(k), lambda p: F.struct(k.alias("level"), p.alias("passage")))))
-    quoted = (lines.select("conv_id", "turn", F.explode(runs).alias("x")).select("conv_id", "turn", "x.*")
-              .withColumn("norm", F.explode(F.split("passage", "\n"))).distinct())
-
-    def stands_in(sentence: Column) -> Column:
-        """Whether a sentence that ends or begins in the line, or all of it, is of this sentence."""
-        return F.exists(sentences(F.col("norm")), lambda x: F.contains(F.concat(F.lit(" "), sentence, F.lit(" ")), F.concat(F.lit(" "), x, F.lit(" "))))
-
-    text = joined(F.col("passage"))
-    tries = F.flatten(F.array(F.array("norm", text), F.filter(sentences(text), stands_in)))
-    quoted = (quoted.select("conv_id", "turn", "level", "norm", F.posexplode(tries).alias("nth", "unit"))
-              .groupBy("conv_id", "turn", "level", "norm", "unit").agg(F.min("nth").alias("nth")).withColumn("h", F.xxhash64("unit")))
-    wanted = quoted.select("h", "unit").distinct()
-    # aggregated before the joins: one row for each unit and conversation, and for each unit
-    here = own.join(wanted, ["h", "unit"], "left_semi").groupBy("h", "unit", "conv_id").agg(F.min("turn").alias("turn"))
-    first = F.min(F.struct("conv_id", "turn")).alias("first")
-    lowest = here.groupBy("h", "unit").agg(first)
-    # the second conversation is for quotes in the first
-    second = (here.join(lowest, ["h", "unit"]).filter("conv_id <> first.conv_id").drop("first")
-              .groupBy("h", "unit").agg(first.alias("second")))
-    anywhere = lowest.join(second, ["h", "unit"], "left")
-    same = here.select("h", "unit", "conv_id", F.col("turn").alias("own_turn"))
-    found = quoted.join(same, ["h", "unit", "conv_id"], "left").join(anywhere, ["h", "unit"], "left")
+    """``conv_id, turn, level, line, src_conv, src_turn``: each quoted line's source; ``line`` is its digest.
+
+    Sources are written tables of one row a unit (and conversation), so the joins shuffle both
+    sides and Spark can split a quote that a large part of all messages has."""
+    units = staged(units_of(lines.filter("conv_id is not null and turn is not null")), "chat-units")
+    own = units.filter("level = 0").select("unit", "conv_id", "turn")
+    quoted = units.filter("level > 0").groupBy("conv_id", "turn", "level", "line", "unit").agg(F.min("nth").alias("nth"))
+    wanted = staged(units.filter("level > 0").select("unit").distinct(), "chat-wanted")
+    # one row for each unit and conversation, and for each unit
+    here = staged(own.join(wanted, "unit", "left_semi").groupBy("unit", "conv_id").agg(F.min("turn").alias("own_turn")), "chat-sources")
+    # the second conversation is for quotes in the first; both are the least of aggregates
+    first = F.min(F.struct("conv_id", F.col("own_turn").alias("turn"))).alias("first")
+    lowest = staged(here.groupBy("unit").agg(first), "chat-first")
+    second = (here.join(lowest, "unit").filter("conv_id <> first.conv_id").drop("first")
+              .groupBy("unit").agg(first).withColumnRenamed("first", "second"))
+    anywhere = staged(lowest.join(second, "unit", "left"), "chat-anywhere")
+    quoted = staged(quoted, "chat-quoted")
+    found = quoted.join(here, ["unit", "conv_id"], "left").join(anywhere, "unit", "left")
     earlier = F.col("own_turn") < F.col("turn")
     other = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).when(F.col("conv_id").isNotNull(), F.col("second"))
     found = found.withColumn("src", F.when(earlier, F.struct("conv_id", F.col("own_turn").alias("turn"))).otherwise(other))
-    return (found.groupBy("conv_id", "turn", "level", "norm")
+    return (found.groupBy("conv_id", "turn", "level", "line")
             .agg(F.min(F.when(F.col("src.turn").isNotNull(), F.struct("nth", "src"))).alias("best"))
-            .select("conv_id", "turn", "level", "norm", F.col("best.src.conv_id").alias("src_conv"), F.col("best.src.turn").alias("src_turn")))
+            .select("conv_id", "turn", "level", "line", F.col("best.src.conv_id").alias("src_conv"), F.col("best.src.turn").alias("src_turn")))
 
 
 def reply_threads(messages: DataFrame, answers: DataFrame) -> DataFrame:
@@ -129,7 +202,8 @@ def reply_threads(messages: DataFrame, answers: DataFrame) -> DataFrame:
                          # a quote of an older message opens a thread of its own
                          F.coalesce(F.col("parent") < F.col("last"), F.lit(False)).alias("opens")), "chat-links")
     if own.filter("opens").isEmpty():  # every message answers the one before it
-        first = nodes.groupBy("conv_id").agg(F.min("turn").alias("thread"))
+        # written, so that the join can split a hot conversation
+        first = staged(nodes.groupBy("conv_id").agg(F.min("turn").alias("thread")), "chat-openers")
         return own.join(first, "conv_id").select("conv_id", "turn", "thread", F.col("place").cast("long").alias("depth"))
     root = staged(own.select("conv_id", "turn", F.when(F.col("opens"), F.col("turn")).otherwise(F.col("at")).alias("thread"),
                              "at", "depth"), "chat-threads")
