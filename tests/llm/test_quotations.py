@@ -104,10 +104,11 @@ def test_sentences_know_their_lines():
 def test_units_of_a_passage_grow_with_its_lines():
     for n in (800, 3200, 12800):
         norms = [f"line {k} ends. and" for k in range(n)]
-        assert len(list(message_units([1] * n, norms))) <= 5 * n
+        assert len(list(message_units([1] * n, norms, False))) <= 5 * n
+        assert len(list(message_units([0] * n, norms, True))) <= 3 * n and not list(message_units([0] * n, norms, False))
     # one line of many sentences, and one sentence of many lines
-    assert len(list(message_units([1], [" ".join(f"s{k}." for k in range(5000))]))) <= 5002
-    assert len(list(message_units([2] * 5000, [f"w{k}" for k in range(5000)]))) == 10000
+    assert len(list(message_units([1], [" ".join(f"s{k}." for k in range(5000))], False))) <= 5002
+    assert len(list(message_units([2] * 5000, [f"w{k}" for k in range(5000)], False))) == 10000
 
 
 def test_turns_that_are_times_and_far_apart(spark):

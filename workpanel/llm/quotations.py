@@ -86,17 +86,19 @@ def sentences(run: list[str]) -> list[tuple[str, int, int]]:
     return out
 
 
-def message_units(levels: list[int], norms: list[str]) -> Iterator[tuple[int, bytes | None, int | None, bytes]]:
-    """``level, line, nth, unit`` of one message: level 0, with neither line nor ``nth``,
-    for what it wrote itself (lines, passages and sentences); for every quoted line its tries in
-    their order, the line, its passage, the sentences that it is of.  A passage is
+def message_units(levels: list[int], norms: list[str], own: bool) -> Iterator[tuple[int, bytes | None, int | None, bytes]]:
+    """``level, line, nth, unit`` of one message: with ``own`` what it wrote itself (lines, passages
+    and sentences; level 0, neither line nor ``nth``), else for every quoted line its tries in
+    their order: the line, its passage, the sentences that it is of.  A passage is
     taken apart once, so the work and the rows grow with the text."""
-    own: set[bytes] = set()
+    written: set[bytes] = set()
     tries: dict[tuple[int, bytes, bytes], int] = {}
     for level, run in passages(levels, norms):
+        if own != (level == 0):
+            continue
         parts, whole, lines = sentences(run), digest(" ".join(run)), [digest(x) for x in run]
-        if level == 0:
-            own.update(lines, [whole], (digest(x) for x, _, _ in parts))
+        if own:
+            written.update(lines, [whole], (digest(x) for x, _, _ in parts))
             continue
         units = [[(0, h), (1, whole)] for h in lines]
         for k, (text, first, last) in enumerate(parts):
@@ -106,7 +108,7 @@ def message_units(levels: list[int], norms: list[str]) -> Iterator[tuple[int, by
         for h, found in zip(lines, units):
             for nth, unit in found:
                 tries[level, h, unit] = min(nth, tries.get((level, h, unit), nth))
-    yield from ((0, None, None, h) for h in own)
+    yield from ((0, None, None, h) for h in written)
     yield from ((level, line, nth, unit) for (level, line, unit), nth in tries.items())
 
 
@@ -115,8 +117,9 @@ UNITS = "conv_id {conv}, turn {turn}, level int, line binary, nth int, unit bina
 BATCH = 50_000
 
 
-def units_of(lines: DataFrame) -> DataFrame:
+def units_of(lines: DataFrame, own: bool) -> DataFrame:
     """``conv_id, turn, level, line, nth, unit`` of all messages (``message_units``)."""
+    kept = F.exists("lines", lambda x: ((x["level"] == 0) if own else (x["level"] > 0)) & (x["norm"] != ""))
     kind = {f.name: f.dataType.simpleString() for f in lines.schema.fields}
     schema = UNITS.format(conv=kind["conv_id"], turn=kind["turn"])
 
@@ -133,7 +136,7 @@ def units_of(lines: DataFrame) -> DataFrame:
                 return pa.RecordBatch.from_arrays(cols, names=["conv_id", "turn", "level", "line", "nth", "unit"])
 
             for i in range(batch.num_rows):
-                for row in message_units(batch.column(2)[i].as_py(), batch.column(3)[i].as_py()):
+                for row in message_units(batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), own):
                     rows.append(row)
                     where.append(i)
                     if len(rows) >= BATCH:
@@ -142,7 +145,7 @@ def units_of(lines: DataFrame) -> DataFrame:
             if rows:
                 yield made()
 
-    parts = lines.select("conv_id", "turn", F.transform("lines", lambda x: x["level"]).alias("levels"),
+    parts = lines.filter(kept).select("conv_id", "turn", F.transform("lines", lambda x: x["level"]).alias("levels"),
                          F.transform("lines", lambda x: x["norm"]).alias("norms"))
     return parts.mapInArrow(taken, schema)
 
@@ -169,10 +172,10 @@ def quotation_links(lines: DataFrame) -> DataFrame:
 
     Sources are written tables of one row a unit (and conversation), so the joins shuffle both
     sides and Spark can split a quote that a large part of all messages has."""
-    units = staged(units_of(lines.filter("conv_id is not null and turn is not null")), "chat-units")
-    own = units.filter("level = 0").select("unit", "conv_id", "turn")
-    quoted = units.filter("level > 0").groupBy("conv_id", "turn", "level", "line", "unit").agg(F.min("nth").alias("nth"))
-    wanted = staged(units.filter("level > 0").select("unit").distinct(), "chat-wanted")
+    known = lines.filter("conv_id is not null and turn is not null")
+    quoted = staged(units_of(known, own=False).groupBy("conv_id", "turn", "level", "line", "unit").agg(F.min("nth").alias("nth")), "chat-quoted")
+    wanted = staged(quoted.select("unit").distinct(), "chat-wanted")
+    own = units_of(known, own=True).select("unit", "conv_id", "turn")
     # one row for each unit and conversation, and for each unit
     here = staged(own.join(wanted, "unit", "left_semi").groupBy("unit", "conv_id").agg(F.min("turn").alias("own_turn")), "chat-sources")
     # the second conversation is for quotes in the first; both are the least of aggregates
@@ -181,7 +184,6 @@ def quotation_links(lines: DataFrame) -> DataFrame:
     second = (here.join(lowest, "unit").filter("conv_id <> first.conv_id").drop("first")
               .groupBy("unit").agg(first).withColumnRenamed("first", "second"))
     anywhere = staged(lowest.join(second, "unit", "left"), "chat-anywhere")
-    quoted = staged(quoted, "chat-quoted")
     found = quoted.join(here, ["unit", "conv_id"], "left").join(anywhere, "unit", "left")
     earlier = F.col("own_turn") < F.col("turn")
     other = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).when(F.col("conv_id").isNotNull(), F.col("second"))
