@@ -26,17 +26,21 @@ def _iso_date(c: Column) -> Column:
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Job spells: lineitem ⋈ orders ⋈ supplier ⋈ nation ⋈ part."""
+    """Job spells: lineitem ⋈ supplier ⋈ nation ⋈ orders ⋈ part.
+
+    Nations come first, so that a filter on the country drops line items before
+    they are shuffled to their orders.  Orders grow with the line items and are
+    joined by shuffle at every size, so that figures of small tables hold for large ones."""
     li = _read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
         "l_extendedprice", "l_shipdate")
-    o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate").hint("shuffle_merge")
     s = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     n = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     p = _read(spark, sf_dir, "part").select("p_partkey", "p_size")
-    j = (li.join(o, li.l_orderkey == o.o_orderkey)
-           .join(s, li.l_suppkey == s.s_suppkey)
+    j = (li.join(s, li.l_suppkey == s.s_suppkey)
            .join(n, s.s_nationkey == n.n_nationkey)
+           .join(o, li.l_orderkey == o.o_orderkey)
            .join(p, li.l_partkey == p.p_partkey))
     ok, ln, sk = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")
     nk, size = F.col("n_nationkey"), F.col("p_size")
