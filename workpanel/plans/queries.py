@@ -313,12 +313,20 @@ def q_cell_origin_year_pre(spark, d):
                                before=CUTOFF, as_of=AS_OF)
 
 
+def _stream_source(spark, rows, path, mode="errorifexists"):
+    """Position files for streams that take one a batch: a file a core at most, or one
+    for 20 million rows, so that batches do not grow with the table, and each of many
+    small row groups, so that all cores read it."""
+    return write_table(rows.coalesce(spark.sparkContext.defaultParallelism), path, mode=mode,
+                       max_records_per_file=20_000_000, row_group_bytes=4 << 20)
+
+
 def q_stream_cell_state_year(spark, d):
     """Structured Streaming: the positions arrive as Parquet files; the
     stateless cleaning and the cell aggregate run as a streaming query."""
     from workpanel.streaming.panel_stream import (latest_snapshot, read_positions_stream,
                                                   stream_year_cells, write_snapshots)
-    src = write_table(_pos(spark, d), scratch_path(spark, "stream_src"))
+    src = _stream_source(spark, _pos(spark, d), scratch_path(spark, "stream_src"))
     out = scratch_path(spark, "stream_cells")
     cells = stream_year_cells(read_positions_stream(spark, src, max_files_per_trigger=1),
                               ORIGIN, as_of=AS_OF)
@@ -334,7 +342,7 @@ def q_stream_cell_state_year_changes(spark, d):
     src, out, checkpoint = (scratch_path(spark, f"stream_{x}") for x in ("src", "changes", "checkpoint"))
     half = F.col("user_id") % 2 == 0
     for mode, part in (("errorifexists", half), ("append", F.coalesce(~half, F.lit(True)))):
-        write_table(_pos(spark, d).filter(part), src, mode=mode)
+        _stream_source(spark, _pos(spark, d).filter(part), src, mode)
         cells = stream_year_cells(read_positions_stream(spark, src, max_files_per_trigger=1), ORIGIN, as_of=AS_OF)
         write_changes(cells, out, checkpoint).awaitTermination()
     return merged_changes(spark, out, ["onet_code", "state", "year"])
@@ -345,7 +353,7 @@ def q_stream_located_rows(spark, d):
     static look-up and located rows are appended to Parquet."""
     from workpanel.streaming.panel_stream import (read_positions_stream, stream_located,
                                                   write_appends)
-    src = write_table(_pos(spark, d), scratch_path(spark, "stream_src"))
+    src = _stream_source(spark, _pos(spark, d), scratch_path(spark, "stream_src"))
     out = scratch_path(spark, "stream_located")
     rows = read_positions_stream(spark, src, max_files_per_trigger=1)
     write_appends(stream_located(rows, _mapper(spark, d)), out).awaitTermination()

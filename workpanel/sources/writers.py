@@ -54,16 +54,17 @@ def write_if_absent(spark: SparkSession, path: str, write) -> bool:
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists",
                 partition_by: list[str] | None = None, ordered: list[str] | None = None,
-                max_records_per_file: int | None = None) -> str:
+                max_records_per_file: int | None = None, row_group_bytes: int | None = None) -> str:
     """Write ``df`` to ``path``.  ``mode``: ``errorifexists`` (default),
     ``ignore`` (write only if absent or half-written, see ``write_if_absent``),
     ``overwrite`` or ``append``.  CSV gets
-    a header row; ``text`` writes one value per line (one column only)."""
+    a header row; ``text`` writes one value per line (one column only).
+    ``row_group_bytes``: the size of Parquet row groups, each of which one task reads."""
     if fmt not in ("csv", "parquet", "text"):
         raise ValueError(f"fmt must be 'csv', 'parquet' or 'text', got {fmt!r}")
     if mode == "ignore":
         write_if_absent(df.sparkSession, path, lambda folder: write_table(
-            df, folder, fmt, "errorifexists", partition_by, ordered, max_records_per_file))
+            df, folder, fmt, "errorifexists", partition_by, ordered, max_records_per_file, row_group_bytes))
         return path
     if ordered:
         df = df.orderBy(*ordered)
@@ -72,6 +73,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
         w = w.partitionBy(*partition_by)
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", max_records_per_file)
+    if row_group_bytes:
+        w = w.option("parquet.block.size", row_group_bytes)
     if fmt == "csv":
         w.option("header", True).csv(path)
     elif fmt == "parquet":

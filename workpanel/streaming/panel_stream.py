@@ -57,6 +57,19 @@ def _run(writer, available_now: bool):
     return w.start()
 
 
+def _run_cells(spark: SparkSession, writer, available_now: bool):
+    """``_run`` for the cell table: it is bounded, so its state has a partition a core at
+    most, not one for each shuffle partition, all of which every batch would commit.  A new
+    stream takes the number that is set when it starts, a restarted one that of its checkpoint."""
+    name = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(name)
+    spark.conf.set(name, min(int(old), spark.sparkContext.defaultParallelism))
+    try:
+        return _run(writer, available_now)
+    finally:
+        spark.conf.set(name, old)
+
+
 def write_snapshots(cells: DataFrame, out: str, checkpoint: str | None = None,
                     available_now: bool = True, keep: int = 2):
     """Run the stream; every micro-batch writes the complete cell table to a
@@ -75,7 +88,7 @@ def write_snapshots(cells: DataFrame, out: str, checkpoint: str | None = None,
 
     w = (cells.writeStream.outputMode("complete").foreachBatch(snapshot)
          .option("checkpointLocation", checkpoint))
-    return _run(w, available_now)
+    return _run_cells(spark, w, available_now)
 
 
 def latest_snapshot(spark: SparkSession, out: str) -> DataFrame:
@@ -97,7 +110,7 @@ def write_changes(cells: DataFrame, out: str, checkpoint: str | None = None, ava
 
     w = (cells.writeStream.outputMode("update").foreachBatch(changes)
          .option("checkpointLocation", checkpoint))
-    return _run(w, available_now)
+    return _run_cells(spark, w, available_now)
 
 
 def merged_changes(spark: SparkSession, out: str, keys: list[str], up_to: int | None = None) -> DataFrame:
