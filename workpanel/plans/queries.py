@@ -157,7 +157,7 @@ def q_start_flag(spark, d):
 
 
 def q_backfill_college(spark, d):
-    pos = L.positions_with_education(_pos(spark, d), _edu(spark, d), ORIGIN, DESTINATION)
+    pos = L.positions_with_education(_pos(spark, d), _edu(spark, d), ORIGIN, DESTINATION, stage=L.stage_table)
     p = close_open(fill_start(parse_dates(pos)), as_of=AS_OF)
     return (backfill_start(p, fallback="years:3", prefer="college_enddate")
             .select("position_id", START, "college_enddate", FLAG))
@@ -216,7 +216,7 @@ def q_cell_state_year_forward(spark, d):
 
 
 def q_cell_state_year_people(spark, d):
-    return L.resident_year(_pos(spark, d), ORIGIN, AS_OF, distinct_people=True)
+    return L.resident_year(_pos(spark, d), ORIGIN, AS_OF, distinct_people=True, stage=L.stage_table)
 
 
 def q_cell_state_year_fractions(spark, d):
@@ -289,7 +289,7 @@ def q_cell_origin_year_no_ids(spark, d):
 
 
 def q_cell_state_month_people(spark, d):
-    return L.resident_month(_pos(spark, d), ORIGIN, AS_OF, distinct_people=True)
+    return L.resident_month(_pos(spark, d), ORIGIN, AS_OF, distinct_people=True, stage=L.stage_table)
 
 
 def q_cell_origin_year_spread(spark, d):
@@ -305,7 +305,7 @@ def q_cell_university_year_pre_spread(spark, d):
 
 def q_cell_state_year_end_order(spark, d):
     """L1 with the fill ordered by end date (the previous job donates)."""
-    return L.resident_year(_pos(spark, d), ORIGIN, AS_OF, order="end")
+    return L.resident_year(_pos(spark, d), ORIGIN, AS_OF, order="end", stage=L.stage_table)
 
 
 def q_cell_origin_year_pre(spark, d):
@@ -384,7 +384,7 @@ def q_education_before(spark, d):
 
 
 def q_positions_with_education(spark, d):
-    return L.positions_with_education(_pos(spark, d), _edu(spark, d), ORIGIN, DESTINATION)
+    return L.positions_with_education(_pos(spark, d), _edu(spark, d), ORIGIN, DESTINATION, keys_stage=L.stage_table)
 
 
 def _mover_spells(spark, d):
@@ -397,7 +397,7 @@ def q_last_origin_state(spark, d):
 
 def q_last_origin_state_unfilled(spark, d):
     """Same answer from the raw rows (no start-date fill needed)."""
-    rows = L.mover_rows(_pos(spark, d), ORIGIN, DESTINATION)
+    rows = L.mover_rows(_pos(spark, d), ORIGIN, DESTINATION, keys_stage=L.stage_table)
     return L.last_origin_place(rows, ORIGIN, as_of=AS_OF)
 
 
