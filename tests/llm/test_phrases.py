@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from workpanel.llm import phrases
+from workpanel.llm.common import Scratch
 from workpanel.llm.phrases import collocations
 
 R = random.Random(11)
@@ -128,6 +129,56 @@ def test_long_text_in_slices(spark, monkeypatch):
     assert count == want
 
 
+def test_rows_of_a_step_do_not_grow_with_phrases(spark):
+    """What tasks hand on is a row for each block of hashes, however many phrases it has."""
+    many = [("en", " ".join(f"w{R.randrange(3000)}" for _ in range(1500))) for _ in range(60)]
+    scratch = Scratch(spark, "phrases-test")
+    counts, _ = phrases.phrase_counts(frame(spark, many), scratch)
+    want = Counter(w for _, text in many for w in text.split())
+    assert {r.phrase: r.f for r in counts.filter("size = 1").collect()} == {w: n for w, n in want.items() if n >= 10}
+    rows = [spark.read.parquet(f"{scratch.root}/*-step-{step}").count() for step in range(4)]
+    assert 0 < max(rows) <= 8 * 6  # of each length spelled ones and bits, for 8 blocks
+
+
+def test_phrases_that_share_a_hash_are_counted_apart():
+    h = np.array([7, 7, 9], "u8").tobytes()
+    rows = [(2, 0, "en", h, np.array([1, 2, 3]).tobytes(), b"a b\nc d\ne f"),
+            (2, 0, "en", h, np.array([10, 20, 30]).tobytes(), b"c d\na b\ne f"),
+            (2, 0, "de", h, np.array([4, 5, 6]).tobytes(), b"a b\nc d\ne f")]
+    part = phrases.pa.Table.from_batches([phrases.batch_of(phrases.FOUND, rows)])
+    got = {(lang, p): int(f) for lang, _, n, found in phrases.added(part) for p, f in zip(found, n)}
+    assert got == {("en", b"a b"): 21, ("en", b"c d"): 12, ("en", b"e f"): 33,
+                   ("de", b"a b"): 4, ("de", b"c d"): 5, ("de", b"e f"): 6}
+
+
+@pytest.mark.parametrize("slots", [2, 32, 1 << 18, 1 << 20, 1 << 22])
+@pytest.mark.parametrize("blocks", [8, 64])
+def test_blocks_set_the_slots_that_are_looked_at(slots, blocks):
+    key = phrases.mix(np.arange(3000, dtype="u8"))
+    table = np.zeros(-(-slots // 8), "u1")
+    for block in range(blocks):
+        own = key[key >> np.uint64(65 - blocks.bit_length()) == block]
+        begin, bits = phrases.bits_of(own[:len(own) // 2], slots, block, blocks)
+        table[begin // 8:begin // 8 + len(bits)] |= np.frombuffer(bits, "u1")
+    there = [key[key >> np.uint64(65 - blocks.bit_length()) == b] for b in range(blocks)]
+    there = np.concatenate([own[:len(own) // 2] for own in there])
+    look = phrases.Table(slots, table, None, 3, 4)
+    a, b = phrases.slots_of(there, len(look))
+    assert (look[a] == 2).all() and (look[b] == 2).all()
+    a, b = phrases.slots_of(key, slots)
+    if slots > 1 << 18:  # nearly empty
+        assert (np.maximum(look[a], look[b]) == 2).sum() < 1.02 * len(there)
+    # with what was there a cycle ago, their cycle is over
+    assert (phrases.Table(slots, table, table, 9, 4)[a][look[a] == 2] == 4).all()
+
+
+def test_tables_grow_with_the_corpus():
+    """At 6 GB (1.6 billion words) about 25 million pairs get there: a table of 2^24 slots is full."""
+    words, pairs, triples = phrases.table_sizes(1_600_000_000, 3, phrases.SLOT_BITS)
+    assert pairs >= 5 * 2 * 25_000_000 and min(words, triples) >= 1 << 24
+    assert pairs == 1 << phrases.SLOT_BITS == phrases.table_sizes(10 ** 13, 3, phrases.SLOT_BITS)[2]
+
+
 def test_empty(spark):
     assert collocations(frame(spark, [("en", "a")]).limit(0)).count() == 0
     assert collocations(frame(spark, [("en", None)])).count() == 0
