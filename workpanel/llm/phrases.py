@@ -289,9 +289,9 @@ def dealer(shards: int):
     return run
 
 
-def counter(step: int, shards: int, sizes: int, blocks: int, slots: list[int], got, old):
+def counter(step: int, shards: int, sizes: int, blocks: int, slots: list[int], shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = [Table(m, got.value[k], None if old is None else old.value[k], step, shards) for k, m in enumerate(slots)]
+        first = [Table(m, got, old, step, shards) for m, (got, old) in zip(slots, shared.value)]
         for batch in batches:
             for k in range(batch.num_rows):
                 lang, seen, words = (batch.column(name)[k].as_py() for name in ("lang", "seen", "words"))
@@ -386,28 +386,33 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, max_words: int = 3, thresho
     n_words = rows.agg(F.sum("n")).first()[0] or 0
     slots = table_sizes(n_words, max_words, slot_bits) if max_words > 1 else []
     blocks = min(MOST_BLOCKS, power_of_two(max(8, n_words // WORDS_A_BLOCK)))
-    first = [np.zeros(-(-m // 8), "u1") for m in slots]
+    got, old = ([np.zeros(-(-m // 8), "u1") for m in slots] for _ in range(2))
     steps, step, until = [], 0, shards - 1
-    known = []  # of the last steps, what workers knew; a shard needs what it went by the last time, too
+
+    def there(found: DataFrame, tables: list[np.ndarray]) -> bool:
+        """Set what got there in a step; whether that changes a table."""
+        new = False
+        # a bit a slot comes to the driver, however many phrases there are
+        for size, slot, bits in found.filter("bits is not null").select("size", "slot", "bits").collect():
+            part, bits = tables[size - 1][slot // 8:slot // 8 + len(bits)], np.frombuffer(bits, "u1")
+            if (bits & ~part).any():
+                part |= bits
+                new = True
+        return new
+
     while step <= until:
-        known.append(spark.sparkContext.broadcast(first))
-        old = known.pop(0) if step >= shards else None
+        if step > shards:  # read again: tables kept in the cluster for a cycle took more memory
+            there(steps[step - shards - 1], old)
+        shared = spark.sparkContext.broadcast([(a, b if step > shards else None) for a, b in zip(got, old)])
         found = (rows.filter(F.col("shard") == step % shards).select("lang", "seen", "words", "ids")
-                 .mapInArrow(counter(step, shards, max_words, blocks, slots, known[-1], old), as_ddl(FOUND))
+                 .mapInArrow(counter(step, shards, max_words, blocks, slots, shared), as_ddl(FOUND))
                  .groupBy("size", "block", F.col("phrases").isNotNull().alias("spelled"))
                  .applyInArrow(adder(share, slots, blocks), as_ddl(ADDED)))
         steps.append(scratch.write(found, f"step-{step}"))
-        if old is not None:
-            old.destroy()
-        # a bit a slot comes to the driver, however many phrases there are
-        for size, slot, bits in steps[step].filter("bits is not null").select("size", "slot", "bits").collect():
-            part, bits = first[size - 1][slot // 8:slot // 8 + len(bits)], np.frombuffer(bits, "u1")
-            if (bits & ~part).any():
-                part |= bits
-                until = step + shards
+        shared.destroy()
+        if there(steps[step], got):
+            until = step + shards
         step += 1
-    for table in known:
-        table.destroy()
     every = steps[0]
     for more in steps[1:]:
         every = every.unionAll(more)
